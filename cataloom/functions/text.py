@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The characters JavaScript's String.prototype.trim removes
 # (WhiteSpace and LineTerminator code points).
@@ -75,17 +73,83 @@ def like_term(term: str) -> str:
     return f"%{clean_escapes(term)}%"
 
 
+def _java_literal(ch: str) -> str:
+    return "\\" + ch if ch.isascii() and not ch.isalnum() else ch
+
+
+def like_regex(body: str) -> str:
+    """Java regex equal to ``LIKE body`` (escapes as in ``clean_escapes``).
+
+    ``%`` splits the body into fixed-length segments (``_`` is one
+    character). Each inner segment is an atomic lazy group, so it binds to
+    its earliest occurrence after the previous one and is never retried:
+    the earliest end is always the best choice for a fixed-length segment,
+    and the match stays linear in the text length instead of backtracking."""
+    segments, current, i = [], [], 0
+    while i < len(body):
+        ch = body[i]
+        if ch == "\\" and i + 1 < len(body):
+            current.append(_java_literal(body[i + 1]))
+            i += 2
+            continue
+        if ch == "%":
+            segments.append("".join(current))
+            current = []
+        elif ch == "_":
+            current.append(".")
+        else:
+            current.append(_java_literal(ch))
+        i += 1
+    segments.append("".join(current))
+    regex = "(?s)^"
+    last = len(segments) - 1
+    for n, seg in enumerate(segments):
+        if n == 0:
+            regex += seg
+            if last == 0:
+                regex += "\\z"
+        elif n == last:
+            regex += f".*{seg}\\z" if seg else ""
+        elif seg:
+            regex += f"(?>.*?{seg})"
+    return regex
+
+
 def fold_text(value: str | None) -> str | None:
+    """Python model of the folding: canonical decomposition, combining marks
+    dropped, lower case."""
     if value is None:
         return None
     decomposed = unicodedata.normalize("NFD", value)
     return "".join(c for c in decomposed if not unicodedata.combining(c)).lower()
 
 
-@F.pandas_udf(T.StringType())
-def fold_accents(s: pd.Series) -> pd.Series:
-    """Lower-case and strip combining accents, one Arrow batch at a time."""
-    return s.map(fold_text, na_action="ignore")
+def _accent_table() -> tuple[str, str]:
+    """Translate table derived from the Unicode data: every BMP character
+    whose canonical decomposition is one base character plus combining marks
+    maps to that base; combining marks themselves map to nothing."""
+    src, dst, marks = [], [], []
+    for cp in range(0x80, 0x10000):
+        ch = chr(cp)
+        if unicodedata.combining(ch):
+            marks.append(ch)
+            continue
+        d = unicodedata.normalize("NFD", ch)
+        if d != ch and not unicodedata.combining(d[0]) and all(unicodedata.combining(x) for x in d[1:]):
+            src.append(ch)
+            dst.append(d[0])
+    # translate() deletes the characters of the source list that have no
+    # counterpart in the target list, so the marks go last
+    return "".join(src + marks), "".join(dst)
+
+
+_FOLD_FROM, _FOLD_TO = _accent_table()
+
+
+def fold_column(col) -> Column:
+    """Case- and accent-folded text, JVM side (``translate`` + ``lower``)."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.lower(F.translate(c, _FOLD_FROM, _FOLD_TO))
 
 
 def contains_term(col, term: str, collation: str = DEFAULT_COLLATION) -> Column:
@@ -95,13 +159,15 @@ def contains_term(col, term: str, collation: str = DEFAULT_COLLATION) -> Column:
       pushes it into the Parquet scan.
     * a case/accent-insensitive collation: a literal term is a collated
       ``contains`` (ICU, JVM side); a term holding ``%`` or ``_`` wildcards is
-      matched as LIKE over the folded column (vectorised pandas UDF).
+      matched as LIKE over the folded column (also JVM side).
     A NULL column never matches.
     """
     c = F.col(col) if isinstance(col, str) else col
     cleaned = clean_escapes(term)
     if collation.lower() in ("binary", "utf8_binary"):
-        return c.like(f"%{cleaned}%")
+        if not has_wildcard(cleaned):
+            return c.like(f"%{cleaned}%")
+        return c.rlike(like_regex(f"%{cleaned}%"))
     if not has_wildcard(cleaned):
         return F.contains(F.collate(c, collation), F.lit(unescape(cleaned)))
-    return fold_accents(c).like(f"%{fold_text(cleaned)}%")
+    return fold_column(c).rlike(like_regex(f"%{fold_text(cleaned)}%"))

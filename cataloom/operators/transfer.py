@@ -173,6 +173,8 @@ def _execute(plan: DataFrame, allowed: str, runner, key: str, cols: list[str], o
     """Run ``runner`` over the rows with status ``allowed`` and write every
     plan row with its outcome to ``out_path`` once; read that back."""
     spark = plan.sparkSession
+    # one evaluation of the plan drives the file operations and the report
+    plan = plan.checkpoint()
     todo = plan.where(F.col("status") == allowed).select(F.col(key).cast("long").alias("row_key"), *cols)
     outcomes = todo.mapInPandas(runner, _OUTCOME)
     joined = (plan.join(outcomes, plan[key].cast("long") == outcomes["row_key"], "left")
