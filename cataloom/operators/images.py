@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+import os
+
+import pandas as pd
+from pyspark.sql import types as T
+
 from cataloom.functions.paths import image_path, static_url
 from cataloom.operators.sequence import number_within
 from cataloom.schema import conform
@@ -30,6 +35,44 @@ def image_assign(uploads: DataFrame, images: DataFrame, key: str = "upload_id")
                           F.when(F.col("has_file"), image_path("file_list_id", "sort")).alias("image")))
 
 
+_PLACED = T.StructType([T.StructField("upload_id", T.LongType()), T.StructField("outcome", T.StringType()),
+                        T.StructField("detail", T.StringType())])
+
+
+def _mover(public_root: str):
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for src, image in zip(pdf["upload_path"], pdf["image"]):
+                dest = os.path.join(public_root, image.lstrip("/"))
+                try:
+                    os.makedirs(os.path.dirname(dest), exist_ok=True)
+                    os.replace(src, dest)
+                    out.append(("placed", None))
+                except FileNotFoundError as err:
+                    # a retried task finds its file already moved
+                    out.append(("placed", "retry") if os.path.exists(dest) else ("upload_missing", str(err)))
+                except OSError as err:
+                    out.append(("failed", str(err)))
+            yield pd.DataFrame({"upload_id": pdf["upload_id"].astype("int64"),
+                                "outcome": [o[0] for o in out], "detail": [o[1] for o in out]})
+    return run
+
+
+def image_place(assigned: DataFrame, uploads: DataFrame, public_root: str, out_path: str) -> DataFrame:
+    """Move every uploaded file to its numbered name under ``public_root``
+    (an existing file of that name is replaced, as the reference does) and
+    write one outcome per upload once; uploads without a file are skipped."""
+    spark = assigned.sparkSession
+    todo = (assigned.where(F.col("image").isNotNull())
+                    .join(uploads.select("upload_id", "upload_path"), "upload_id")
+                    .checkpoint())
+    todo.select(F.col("upload_id").cast("long"), "upload_path", "image") \
+        .mapInPandas(_mover(public_root), _PLACED) \
+        .write.mode("errorifexists").parquet(out_path)
+    return spark.read.parquet(out_path)
+
+
 def image_commit(images: DataFrame, assigned: DataFrame, run_ts: str, key: str = "upload_id") -> DataFrame:
     """The image table with the assigned uploads appended (ids after the
     current maximum, in upload order)."""

@@ -41,7 +41,7 @@ def _first_per(df: DataFrame, key: str, order: str, eligible) -> DataFrame:
     return df.join(winners, cond, "left").drop("_w_key", "_w_order")
 
 
-def convert_plan(requests: DataFrame, catalog: DataFrame, existing: DataFrame, old_root: str, new_root: str,
+def convert_plan(requests: DataFrame, catalog: DataFrame, existing: DataFrame | None, old_root: str, new_root: str,
                  order: str = "req_id", probe: bool = False) -> DataFrame:
     """Status per copy request, in the reference's order of checks:
     ``missing_id`` (no id or 0), ``not_found`` (unknown id),
@@ -52,12 +52,18 @@ def convert_plan(requests: DataFrame, catalog: DataFrame, existing: DataFrame, o
 
     ``existing`` holds the paths known to exist (an inventory of both
     roots). With ``probe`` the paths it does not hold are asked on the
-    executors, so folders, links and paths outside the roots answer too."""
-    paths = existing.select(F.col("path")).distinct()
+    executors, so folders, links and paths outside the roots answer too.
+    Without ``existing`` every path of the batch is probed: the cost then
+    follows the number of requests, not the size of the trees."""
     r = _lookup(requests, catalog, ["origin_path"])
     r = r.withColumn("new_path", replace_first("origin_path", old_root, new_root))
-    r = r.join(paths.select(F.col("path").alias("new_path"), F.lit(True).alias("_t")), "new_path", "left")
-    r = r.join(paths.select(F.col("path").alias("origin_path"), F.lit(True).alias("_s")), "origin_path", "left")
+    if existing is None:
+        probe = True
+        r = r.withColumn("_t", F.lit(None).cast("boolean")).withColumn("_s", F.lit(None).cast("boolean"))
+    else:
+        paths = existing.select(F.col("path")).distinct()
+        r = r.join(paths.select(F.col("path").alias("new_path"), F.lit(True).alias("_t")), "new_path", "left")
+        r = r.join(paths.select(F.col("path").alias("origin_path"), F.lit(True).alias("_s")), "origin_path", "left")
     if probe:
         r = probe_missing(r, "new_path", "_t")
         r = probe_missing(r, "origin_path", "_s")

@@ -9,6 +9,7 @@ instead of overwriting a newer one.
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,29 +31,41 @@ class SnapshotStore:
     def _dir(self, version: int) -> str:
         return os.path.join(self.root, f"v={version:06d}")
 
-    def current(self) -> int | None:
+    def _pointer(self) -> dict | None:
         try:
             with open(os.path.join(self.root, _POINTER)) as f:
-                return int(f.read().strip())
+                return json.load(f)
         except FileNotFoundError:
             return None
 
+    def current(self) -> int | None:
+        p = self._pointer()
+        return None if p is None else p["version"]
+
+    def notes(self) -> dict:
+        """Small facts published together with the current version (for
+        instance the last stream batch it contains)."""
+        p = self._pointer()
+        return {} if p is None else p.get("notes", {})
+
     def read(self, spark: SparkSession, version: int | None = None) -> DataFrame:
         v = self.current() if version is None else version
         if v is None:
             return spark.createDataFrame([], SCHEMAS[self.table])
         return spark.read.schema(SCHEMAS[self.table]).parquet(self._dir(v))
 
-    def publish(self, df: DataFrame, expected: int | None) -> int:
-        """Write ``df`` as the version after ``expected`` and point to it."""
+    def publish(self, df: DataFrame, expected: int | None, notes: dict | None = None) -> int:
+        """Write ``df`` as the version after ``expected`` and point to it;
+        ``notes`` switch atomically with the pointer."""
         if self.current() != expected:
             raise SnapshotConflict(f"catalog moved on from version {expected} to {self.current()}")
         version = 0 if expected is None else expected + 1
         df.write.mode("errorifexists").parquet(self._dir(version))
         os.makedirs(self.root, exist_ok=True)
         tmp = os.path.join(self.root, f".{_POINTER}.{version}")
+        merged = {**self.notes(), **(notes or {})}
         with open(tmp, "w") as f:
-            f.write(str(version))
+            json.dump({"version": version, "notes": merged}, f)
         if self.current() != expected:
             raise SnapshotConflict(f"catalog moved on from version {expected} while writing")
         os.replace(tmp, os.path.join(self.root, _POINTER))
