@@ -34,7 +34,10 @@ def _lookup(requests: DataFrame, catalog: DataFrame, cols: list[str]) -> DataFra
 def _first_per(df: DataFrame, key: str, order: str, eligible) -> DataFrame:
     """Flag the first eligible request per key. ``min`` aggregates partially
     before the shuffle, and the flag is joined back on (key, order), which
-    spreads a hot key's requests over tasks by their order value."""
+    spreads a hot key's requests over tasks by their order value. The rows
+    are materialised once (checkpoint) because both sides of that join read
+    them; recomputing would repeat every join and probe above."""
+    df = df.checkpoint()
     winners = (df.where(eligible).groupBy(key).agg(F.min(order).alias("_w_order"))
                  .withColumnRenamed(key, "_w_key").withColumn("_winner", F.lit(True)))
     cond = (F.col(key) == F.col("_w_key")) & (F.col(order) == F.col("_w_order"))

@@ -20,6 +20,8 @@ BASE_CONF = {
     "spark.ui.showConsoleProgress": "false",
     # file copies and deletes run inside tasks: never launch a second copy
     "spark.speculation": "false",
+    # checkpoint files are removed once nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
