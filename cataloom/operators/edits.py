@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cataloom.operators.joins import lookup
+
 _LAST = "_last_edit"
 
 
@@ -38,7 +40,7 @@ def edit_report(catalog: DataFrame, edits: DataFrame, order: str = "req_id") ->
     (the reference answers success for those too) or ``missing_id``."""
     last = edits.where(F.col("id").isNotNull()).groupBy("id").agg(F.max(order).alias("_win"))
     known = catalog.select("id", F.lit(True).alias("_found"))
-    r = edits.join(known, "id", "left").join(last, "id", "left")
+    r = lookup(lookup(edits, known, "id", order), last, "id", order)
     status = (F.when(F.col("id").isNull(), F.lit("missing_id"))
                .when(F.col("_found").isNull(), F.lit("not_found"))
                .when(F.col(order) == F.col("_win"), F.lit("applied"))

@@ -24,12 +24,23 @@ def _present_paths(inventory: DataFrame, path_col: str = "origin_path") -> DataF
     return inventory.select(F.col(path_col).alias("origin_path")).distinct().withColumn(_EXISTS, F.lit(True))
 
 
+def _per_path(catalog: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Per distinct path: catalog rows ``c`` and inventory rows ``i``. Both
+    inputs share one exchange; duplicates collapse in the partial aggregate
+    before it, so a path held by a third of the catalog costs one row per
+    map task."""
+    sides = (catalog.select(F.col("origin_path").alias("p"), F.lit(1).alias("c"), F.lit(0).alias("i"))
+             .unionByName(inventory.select(F.col("origin_path").alias("p"), F.lit(0).alias("c"), F.lit(1).alias("i"))))
+    return sides.groupBy("p").agg(F.sum("c").alias("c"), F.sum("i").alias("i"))
+
+
 def new_files(inventory: DataFrame, catalog: DataFrame, style: str = "windows") -> DataFrame:
-    """Files on storage that the catalog does not list (exact path match)."""
-    known = catalog.select("origin_path").distinct()
-    return (inventory.select("origin_path")
-                     .join(known, "origin_path", "left_anti")
-                     .select("origin_path", basename("origin_path", style).alias("file_name")))
+    """Files on storage that the catalog does not list (exact path match).
+    Not an anti join: the optimizer drops a ``distinct`` under an anti join,
+    and a hot catalog path would then reach one task with all its rows."""
+    return (_per_path(catalog, inventory)
+            .where((F.col("c") == 0) & (F.col("i") > 0))
+            .select(F.col("p").alias("origin_path"), basename("p", style).alias("file_name")))
 
 
 def path_check(catalog: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -46,9 +57,7 @@ def sync_stats(catalog: DataFrame, inventory: DataFrame) -> DataFrame:
 
     Both inputs go through one exchange: a union of (path, side) counted per
     path, with partial aggregation before the shuffle."""
-    sides = (catalog.select(F.col("origin_path").alias("p"), F.lit(1).alias("c"), F.lit(0).alias("i"))
-             .unionByName(inventory.select(F.col("origin_path").alias("p"), F.lit(0).alias("c"), F.lit(1).alias("i"))))
-    per_path = sides.groupBy("p").agg(F.sum("c").alias("c"), F.sum("i").alias("i"))
+    per_path = _per_path(catalog, inventory)
     new = F.coalesce(F.sum(F.when(F.col("c") == 0, F.col("i"))), F.lit(0))
     return per_path.agg(
         F.coalesce(F.sum("i"), F.lit(0)).cast("long").alias("total_files_in_directory"),

@@ -20,15 +20,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cataloom.functions.paths import replace_first
+from cataloom.operators.joins import lookup
 from cataloom.sources.inventory import probe_missing
 
 _FOUND = "_found"
 
 
-def _lookup(requests: DataFrame, catalog: DataFrame, cols: list[str]) -> DataFrame:
+def _lookup(requests: DataFrame, catalog: DataFrame, cols: list[str], spread: str) -> DataFrame:
     """Requests joined to their catalog row by id (no row: not found)."""
     rows = catalog.select("id", *cols, F.lit(True).alias(_FOUND))
-    return requests.join(rows, "id", "left")
+    return lookup(requests, rows, "id", spread)
 
 
 def _first_per(df: DataFrame, key: str, order: str, eligible) -> DataFrame:
@@ -58,15 +59,16 @@ def convert_plan(requests: DataFrame, catalog: DataFrame, existing: DataFrame |
     executors, so folders, links and paths outside the roots answer too.
     Without ``existing`` every path of the batch is probed: the cost then
     follows the number of requests, not the size of the trees."""
-    r = _lookup(requests, catalog, ["origin_path"])
+    r = _lookup(requests, catalog, ["origin_path"], order)
     r = r.withColumn("new_path", replace_first("origin_path", old_root, new_root))
     if existing is None:
         probe = True
         r = r.withColumn("_t", F.lit(None).cast("boolean")).withColumn("_s", F.lit(None).cast("boolean"))
     else:
+        # rows without a catalog row have no paths: lookup() spreads them
         paths = existing.select(F.col("path")).distinct()
-        r = r.join(paths.select(F.col("path").alias("new_path"), F.lit(True).alias("_t")), "new_path", "left")
-        r = r.join(paths.select(F.col("path").alias("origin_path"), F.lit(True).alias("_s")), "origin_path", "left")
+        r = lookup(r, paths.select(F.col("path").alias("new_path"), F.lit(True).alias("_t")), "new_path", order)
+        r = lookup(r, paths.select(F.col("path").alias("origin_path"), F.lit(True).alias("_s")), "origin_path", order)
     if probe:
         r = probe_missing(r, "new_path", "_t")
         r = probe_missing(r, "origin_path", "_s")
@@ -88,7 +90,10 @@ def clear_plan(requests: DataFrame, catalog: DataFrame, order: str | None = None
     ``cleared``. With an ``order`` column, later requests for an id an
     earlier request clears see it already clear. ``new_target_path`` is the
     value after the request: NULL when cleared, else unchanged."""
-    r = _lookup(requests, catalog, ["target_path"])
+    spread = order if order is not None else "_clear_row"
+    if order is None:
+        requests = requests.withColumn(spread, F.monotonically_increasing_id())
+    r = _lookup(requests, catalog, ["target_path"], spread)
     pre = (F.when(F.col("id").isNull() | (F.col("id") == 0), F.lit("missing_id"))
             .when(F.col(_FOUND).isNull(), F.lit("not_found"))
             .when(F.coalesce(F.col("target_path"), F.lit("")) == "", F.lit("already_clear"))
