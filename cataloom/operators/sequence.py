@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from cataloom.session import ensure_checkpoint_dir, shuffle_partitions
 
 _PID, _LOCAL, _N, _BEFORE = "_seq_pid", "_seq_local", "_seq_n", "_seq_before"
+_RECORD_MASK = (1 << 33) - 1
 
 
 def _same_as_previous(values: pd.Series, previous) -> np.ndarray:
@@ -74,10 +75,16 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], out: str) ->
     staged = (df.repartitionByRange(shuffle_partitions(spark), *sort_cols)
                 .sortWithinPartitions(*sort_cols)
                 .withColumn(_PID, F.spark_partition_id()))
-    schema = T.StructType(staged.schema.fields + [T.StructField(_LOCAL, T.LongType(), False)])
+    if keys:
+        schema = T.StructType(staged.schema.fields + [T.StructField(_LOCAL, T.LongType(), False)])
+        numbered = staged.mapInPandas(partial(_local_numbers, keys), schema)
+    else:
+        # one group: the position inside the partition is the record number
+        # that monotonically_increasing_id keeps in its lower 33 bits
+        numbered = staged.withColumn(_LOCAL, F.monotonically_increasing_id().bitwiseAND(F.lit(_RECORD_MASK)) + 1)
     # checkpoint: the numbered rows are read twice below and must not be
     # recomputed with other range bounds; it also cuts the lineage
-    local = staged.mapInPandas(partial(_local_numbers, keys), schema).checkpoint()
+    local = numbered.checkpoint()
 
     per_part = local.groupBy(_PID, *keys).agg(F.max(_LOCAL).alias(_N))
     window = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(_PID)
