@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cataloom.operators.joins import lookup
+from cataloom.operators.joins import lookup, measured, only_keys
 
 _LAST = "_last_edit"
 
@@ -22,7 +22,7 @@ def last_edit_per_id(edits: DataFrame, order: str = "req_id") -> DataFrame:
 def apply_edits(catalog: DataFrame, edits: DataFrame, run_ts: str, order: str = "req_id") -> DataFrame:
     """Overwrite name, class and prompt of every edited row (a missing field
     becomes NULL) and stamp ``updated_at``. Unknown ids change nothing."""
-    last = last_edit_per_id(edits, order)
+    last = measured(last_edit_per_id(edits, order))
     joined = catalog.join(last, "id", "left")
     hit = F.col(_LAST).isNotNull()
     changed = {
@@ -39,7 +39,7 @@ def edit_report(catalog: DataFrame, edits: DataFrame, order: str = "req_id") ->
     id), ``superseded`` (a later edit of the same id wins), ``not_found``
     (the reference answers success for those too) or ``missing_id``."""
     last = edits.where(F.col("id").isNotNull()).groupBy("id").agg(F.max(order).alias("_win"))
-    known = catalog.select("id", F.lit(True).alias("_found"))
+    known = only_keys(catalog, edits, "id").select("id", F.lit(True).alias("_found"))
     r = lookup(lookup(edits, known, "id", order), last, "id", order)
     status = (F.when(F.col("id").isNull(), F.lit("missing_id"))
                .when(F.col("_found").isNull(), F.lit("not_found"))

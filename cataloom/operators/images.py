@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import types as T
 
 from cataloom.functions.paths import image_path, static_url
-from cataloom.operators.joins import lookup
+from cataloom.operators.joins import lookup, only_keys
 from cataloom.operators.sequence import number_within
 from cataloom.schema import conform
 
@@ -29,7 +29,9 @@ def image_assign(uploads: DataFrame, images: DataFrame, key: str = "upload_id")
     are numbered on in upload order, as sequential calls would. Uploads
     without a file still take a number, with a NULL image."""
     numbered = number_within(uploads, ["file_list_id"], [key], "_rn")
-    joined = lookup(numbered, max_sort(images), "file_list_id", key)
+    # only the image rows of the uploaded-to catalog rows are aggregated
+    touched = only_keys(images, uploads, "file_list_id")
+    joined = lookup(numbered, max_sort(touched), "file_list_id", key)
     sort = (F.coalesce(F.col("_max_sort"), F.lit(0)) + F.col("_rn")).cast("int")
     return (joined.withColumn("sort", sort)
                   .select(key, "file_list_id", "sort",

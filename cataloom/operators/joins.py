@@ -10,9 +10,13 @@ pass over the input.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cataloom.session import ensure_checkpoint_dir
+
 # Stand-ins: a string key gets a NUL-prefixed value (paths and names never
 # contain NUL); a 32-bit key gets a 64-bit value above the 32-bit range.
 _NUL = "\u0000"
@@ -39,3 +43,22 @@ def lookup(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFram
     l = left.withColumn(_LK, left_key)
     r = right.select(right_key.alias(_RK), *[F.col(c) for c in right.columns if c != key])
     return l.join(r, F.col(_LK) == F.col(_RK), "left").drop(_LK, _RK)
+
+
+def measured(df: DataFrame) -> DataFrame:
+    """Write a request-sized table to the shared checkpoint folder and read
+    it back. The planner then sizes it from its files: it is broadcast only
+    when under ``spark.sql.autoBroadcastJoinThreshold``, and joined by
+    shuffle beyond that, so a small batch never makes the catalog shuffle."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def only_keys(big: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``big`` whose ``key`` occurs in ``keys`` (a semi join against
+    the measured distinct keys): a request batch touches a few catalog rows,
+    and only those go on to the joins with the requests."""
+    wanted = measured(keys.select(key).where(F.col(key).isNotNull()).distinct())
+    return big.join(wanted, key, "left_semi")

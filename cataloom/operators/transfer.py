@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cataloom.functions.paths import replace_first
-from cataloom.operators.joins import lookup
+from cataloom.operators.joins import lookup, measured, only_keys
 from cataloom.sources.inventory import probe_missing
 
 _FOUND = "_found"
@@ -28,7 +28,7 @@ _FOUND = "_found"
 
 def _lookup(requests: DataFrame, catalog: DataFrame, cols: list[str], spread: str) -> DataFrame:
     """Requests joined to their catalog row by id (no row: not found)."""
-    rows = catalog.select("id", *cols, F.lit(True).alias(_FOUND))
+    rows = only_keys(catalog, requests, "id").select("id", *cols, F.lit(True).alias(_FOUND))
     return lookup(requests, rows, "id", spread)
 
 
@@ -218,8 +218,8 @@ def clear_execute(plan: DataFrame, out_path: str, key: str = "id") -> DataFrame:
 def convert_commit(catalog: DataFrame, results: DataFrame, run_ts: str, outcome_col: str = "status") -> DataFrame:
     """Catalog with ``target_path`` and ``updated_at`` set for every row whose
     copy was made; refused requests leave their row unchanged."""
-    done = (results.where(F.col(outcome_col) == "converted")
-                   .groupBy("id").agg(F.min("new_path").alias("_new_path")))
+    done = measured(results.where(F.col(outcome_col) == "converted")
+                           .groupBy("id").agg(F.min("new_path").alias("_new_path")))
     joined = catalog.join(done, "id", "left")
     hit = F.col("_new_path").isNotNull()
     changed = {"target_path": F.when(hit, F.col("_new_path")).otherwise(F.col("target_path")),
@@ -230,7 +230,8 @@ def convert_commit(catalog: DataFrame, results: DataFrame, run_ts: str, outcome_
 def clear_commit(catalog: DataFrame, plan: DataFrame) -> DataFrame:
     """Catalog with ``target_path`` NULL for every cleared id; ``updated_at``
     is left alone, as the reference leaves it."""
-    done = plan.where(F.col("status") == "cleared").select("id").distinct().withColumn("_cleared", F.lit(True))
+    done = measured(plan.where(F.col("status") == "cleared").select("id").distinct()
+                        .withColumn("_cleared", F.lit(True)))
     joined = catalog.join(done, "id", "left")
     target = F.when(F.col("_cleared").isNotNull(), F.lit(None).cast("string")).otherwise(F.col("target_path"))
     return joined.select(*[target.alias(c) if c == "target_path" else F.col(c) for c in catalog.columns])

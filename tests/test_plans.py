@@ -25,3 +25,14 @@ def test_stats_reads_two_columns(spark, sf_dir):
     plan = plan_text(entry.queries()["sync_stats"](spark, sf_dir))
     assert "ReadSchema: struct<doc_id:bigint,lang:string>" in plan
     assert "text" not in plan
+
+
+def test_small_edit_batch_does_not_shuffle_the_catalog(spark, sf_dir):
+    plan = plan_text(entry.queries()["apply_edits"](spark, sf_dir))
+    assert "BroadcastHashJoin" in plan
+    assert "SortMergeJoin" not in plan
+
+
+def test_requests_only_touch_requested_catalog_rows(spark, sf_dir):
+    plan = plan_text(entry.queries()["convert_plan"](spark, sf_dir))
+    assert "LeftSemi" in plan
