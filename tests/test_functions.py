@@ -102,3 +102,17 @@ def test_fold_column_matches_python_model(spark):
     words = ["Éléphant", "garçon", "Straße", "ÅNGSTRÖM", "naïve", "Cañón", "e\u0301tude", "İstanbul", "Ωmega"]
     got = _eval(spark, words, fold_column)
     assert got == [fold_text(w) for w in words]
+
+
+def test_whole_seconds_and_run_time(spark):
+    from cataloom.functions.times import run_time, whole_seconds
+    df = spark.createDataFrame([("2025-01-02 03:04:05.499",), ("2025-01-02 03:04:05.5",)], "v string")
+    got = [str(r[0]) for r in df.select(whole_seconds(F.col("v").cast("timestamp"))).collect()]
+    assert got == ["2025-01-02 03:04:05", "2025-01-02 03:04:06"]
+    assert str(spark.range(1).select(run_time("2025-01-02 00:00:00")).first()[0]) == "2025-01-02 00:00:00"
+
+
+def test_ordered_distinct_keeps_first_occurrence(spark):
+    from cataloom.operators.search import ordered_distinct
+    df = spark.createDataFrame([([1, 2, 2, 3, 4, 4, 5],), ([3, 1, 3, 1],)], "a array<int>")
+    assert [r[0] for r in df.select(ordered_distinct("a")).collect()] == [[1, 2, 3, 4, 5], [3, 1]]
