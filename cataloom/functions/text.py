@@ -146,6 +146,76 @@ def _accent_table() -> tuple[str, str]:
 _FOLD_FROM, _FOLD_TO = _accent_table()
 
 
+def _ranges(points: list[int]) -> str:
+    """Java regex class body for code points, as \\uXXXX ranges."""
+    out, i = [], 0
+    while i < len(points):
+        j = i
+        while j + 1 < len(points) and points[j + 1] == points[j] + 1:
+            j += 1
+        out.append(f"\\u{points[i]:04x}" if i == j else f"\\u{points[i]:04x}-\\u{points[j]:04x}")
+        i = j + 1
+    return "".join(out)
+
+
+def _fold_classes() -> tuple[dict[str, str], str]:
+    """For every folded character, the class of raw BMP characters that fold
+    to it; and the class of combining marks, which folding removes."""
+    groups: dict[str, list[int]] = {}
+    marks: list[int] = []
+    for cp in range(0x10000):
+        if 0xD800 <= cp <= 0xDFFF:
+            continue
+        ch = chr(cp)
+        if unicodedata.combining(ch):
+            marks.append(cp)
+            continue
+        f = fold_text(ch)
+        if len(f) == 1:
+            groups.setdefault(f, []).append(cp)
+    return {f: f"[{_ranges(cps)}]" for f, cps in groups.items()}, f"[{_ranges(marks)}]"
+
+
+_FOLD_CLASSES, _MARKS = _fold_classes()
+
+
+def folded_like_regex(body: str) -> str:
+    """Java regex that, applied to the RAW text, equals ``fold(text) LIKE
+    fold(body)``: every literal character is the class of the characters
+    folding to it, followed by any combining marks; ``_`` is one character
+    that is not a mark. The text itself is never rewritten."""
+    def lit(ch: str) -> str:
+        return _FOLD_CLASSES.get(ch, _java_literal(ch)) + _MARKS + "*"
+    segments, current, i = [], [], 0
+    while i < len(body):
+        ch = body[i]
+        if ch == "\\" and i + 1 < len(body):
+            current.append(lit(body[i + 1]))
+            i += 2
+            continue
+        if ch == "%":
+            segments.append("".join(current))
+            current = []
+        elif ch == "_":
+            current.append(f"[^{_MARKS[1:-1]}]{_MARKS}*")
+        else:
+            current.append(lit(ch))
+        i += 1
+    segments.append("".join(current))
+    regex = "(?s)^" + _MARKS + "*"
+    last = len(segments) - 1
+    for n, seg in enumerate(segments):
+        if n == 0:
+            regex += seg
+            if last == 0:
+                regex += "\\z"
+        elif n == last:
+            regex += f".*{seg}\\z" if seg else ""
+        elif seg:
+            regex += f"(?>.*?{seg})"
+    return regex
+
+
 def fold_column(col) -> Column:
     """Case- and accent-folded text, JVM side (``translate`` + ``lower``)."""
     c = F.col(col) if isinstance(col, str) else col
@@ -159,7 +229,8 @@ def contains_term(col, term: str, collation: str = DEFAULT_COLLATION) -> Column:
       pushes it into the Parquet scan.
     * a case/accent-insensitive collation: a literal term is a collated
       ``contains`` (ICU, JVM side); a term holding ``%`` or ``_`` wildcards is
-      matched as LIKE over the folded column (also JVM side).
+      a regex over the raw text whose characters match every character that
+      folds to them (also JVM side; the text is not rewritten).
     A NULL column never matches.
     """
     c = F.col(col) if isinstance(col, str) else col
@@ -170,4 +241,4 @@ def contains_term(col, term: str, collation: str = DEFAULT_COLLATION) -> Column:
         return c.rlike(like_regex(f"%{cleaned}%"))
     if not has_wildcard(cleaned):
         return F.contains(F.collate(c, collation), F.lit(unescape(cleaned)))
-    return fold_column(c).rlike(like_regex(f"%{fold_text(cleaned)}%"))
+    return c.rlike(folded_like_regex(f"%{fold_text(cleaned)}%"))

@@ -116,3 +116,18 @@ def test_ordered_distinct_keeps_first_occurrence(spark):
     from cataloom.operators.search import ordered_distinct
     df = spark.createDataFrame([([1, 2, 2, 3, 4, 4, 5],), ([3, 1, 3, 1],)], "a array<int>")
     assert [r[0] for r in df.select(ordered_distinct("a")).collect()] == [[1, 2, 3, 4, 5], [3, 1]]
+
+
+def test_folded_regex_equals_fold_then_like(spark):
+    from cataloom.functions.text import folded_like_regex
+    rnd = random.Random(11)
+    alpha = ["a", "b", "e", "E", "é", "É", "è", "́", "ß", "x", "İ", "i", ".", "%", "\n"]
+    rows = []
+    for _ in range(2000):
+        body = fold_text(clean_escapes("".join(rnd.choice("abe%_\\é") for _ in range(rnd.randint(0, 5)))))
+        text = "".join(rnd.choice(alpha) for _ in range(rnd.randint(0, 8)))
+        rows.append((folded_like_regex(body), like_regex(body), text))
+    df = spark.createDataFrame(rows, "raw_rx string, folded_rx string, t string")
+    df = df.withColumn("folded", fold_column("t"))
+    bad = df.where(F.expr("t rlike raw_rx") != F.expr("folded rlike folded_rx")).count()
+    assert bad == 0
