@@ -127,13 +127,13 @@ def _copy_one(src: str, dst: str, token: str) -> tuple[str, str | None]:
     to be its own marker's file reports the copy again instead of a clash."""
     import shutil
     marker = f"{dst}.{token}.done"
+    tmp = f"{dst}.{token}.part"
     try:
         if os.path.lexists(dst):
             if os.path.exists(marker) and os.path.samefile(dst, marker):
                 return "converted", "retry"
             return "target_exists", None
         os.makedirs(os.path.dirname(dst) or ".", exist_ok=True)
-        tmp = f"{dst}.{token}.part"
         shutil.copyfile(src, tmp)
         try:
             os.link(tmp, dst)
@@ -143,6 +143,9 @@ def _copy_one(src: str, dst: str, token: str) -> tuple[str, str | None]:
         os.replace(tmp, marker)
         return "converted", None
     except OSError as err:
+        # a copy that failed half-way leaves no partial file behind
+        if os.path.exists(tmp):
+            os.unlink(tmp)
         return _copy_errno(err), str(err)
 
 

@@ -126,3 +126,18 @@ def test_snapshot_store(spark, tmp_path):
     assert v1 == 1 and store.read(spark).count() == 1 and store.read(spark, 0).count() == 2
     with pytest.raises(SnapshotConflict):
         store.publish(cat, v0)
+
+
+def test_copy_errors_map_to_statuses(spark, tree, tmp_path):
+    new_root = tree.replace("file_path", "file_new_path")
+    cat = _catalog(spark, tree, ["x.png", "a/1.txt"])
+    reqs = spark.createDataFrame([(1, 1), (2, 2)], "req_id int, id int")
+    existing = walk(spark, [tree]).select(F.col("origin_path").alias("path"))
+    plan = convert_plan(reqs, cat, existing, tree, new_root).checkpoint()
+    assert {r.req_id: r.status for r in plan.collect()} == {1: "converted", 2: "converted"}
+    # the source disappears between planning and copying
+    os.unlink(os.path.join(tree, "a/1.txt"))
+    res = {r.req_id: (r.outcome, r.detail is not None)
+           for r in convert_execute(plan, str(tmp_path / "runs" / "c")).collect()}
+    assert res == {1: ("converted", False), 2: ("source_missing", True)}
+    assert not os.path.exists(os.path.join(new_root, "a/1.txt"))
