@@ -104,7 +104,8 @@ def gallery_status(requests: DataFrame, images: DataFrame, image_inventory: Data
     ``ok``). Counts only, so a row with millions of images stays cheap; the
     image list itself is the flat ``gallery`` output, ordered by the caller."""
     present = image_inventory.select("image").distinct().withColumn("_present", F.lit(1))
-    per_row = (images.join(present, "image", "left")
+    # image rows without a file (NULL image) are spread by their row id
+    per_row = (lookup(images, present, "image", "id")
                      .groupBy("file_list_id")
                      .agg(F.count(F.lit(1)).alias("n_rows"), F.count("_present").alias("n_present")))
     asked = requests.select("file_list_id").distinct()
