@@ -58,20 +58,25 @@ def convert_plan(requests: DataFrame, catalog: DataFrame, existing: DataFrame |
     roots). With ``probe`` the paths it does not hold are asked on the
     executors, so folders, links and paths outside the roots answer too.
     Without ``existing`` every path of the batch is probed: the cost then
-    follows the number of requests, not the size of the trees."""
-    r = _lookup(requests, catalog, ["origin_path"], order)
-    r = r.withColumn("new_path", replace_first("origin_path", old_root, new_root))
+    follows the number of requested catalog rows, not the size of the trees."""
+    # existence depends on the catalog row only: look it up once per
+    # requested row (a few), not once per request (many), then join
+    rows = only_keys(catalog, requests, "id").select("id", "origin_path")
+    rows = rows.withColumn("new_path", replace_first("origin_path", old_root, new_root))
     if existing is None:
         probe = True
-        r = r.withColumn("_t", F.lit(None).cast("boolean")).withColumn("_s", F.lit(None).cast("boolean"))
+        rows = rows.withColumn("_t", F.lit(None).cast("boolean")).withColumn("_s", F.lit(None).cast("boolean"))
     else:
-        # rows without a catalog row have no paths: lookup() spreads them
         paths = existing.select(F.col("path")).distinct()
-        r = lookup(r, paths.select(F.col("path").alias("new_path"), F.lit(True).alias("_t")), "new_path", order)
-        r = lookup(r, paths.select(F.col("path").alias("origin_path"), F.lit(True).alias("_s")), "origin_path", order)
+        rows = rows.join(paths.select(F.col("path").alias("new_path"), F.lit(True).alias("_t")), "new_path", "left")
+        rows = rows.join(paths.select(F.col("path").alias("origin_path"), F.lit(True).alias("_s")), "origin_path", "left")
     if probe:
-        r = probe_missing(r, "new_path", "_t")
-        r = probe_missing(r, "origin_path", "_s")
+        rows = probe_missing(rows, "new_path", "_t")
+        rows = probe_missing(rows, "origin_path", "_s")
+    # measured: one row per requested catalog row, broadcast when small, so
+    # the requests (a hot id among them) are never shuffled for this join
+    rows = measured(rows.withColumn(_FOUND, F.lit(True)))
+    r = lookup(requests, rows, "id", order)
     pre = (F.when(F.col("id").isNull() | (F.col("id") == 0), F.lit("missing_id"))
             .when(F.col(_FOUND).isNull(), F.lit("not_found"))
             .when(F.col("_t").isNotNull(), F.lit("target_exists"))
