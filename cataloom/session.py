@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -36,9 +37,24 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each Spark context:
+    their path doesn't hold the folder that the driver imported it from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_cataloom_shipped", None):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    # executors fetch the archive while the context lives; it goes with this process
+    sc._cataloom_shipped = made = tempfile.TemporaryDirectory(prefix="cataloom-ship-")
+    copy = os.path.join(made.name, "tree", "cataloom")
+    shutil.copytree(package, copy, ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(os.path.join(made.name, "cataloom"), "zip", os.path.dirname(copy)))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the folder that `DataFrame.checkpoint()` writes to.
 
@@ -64,7 +80,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-
-def local_scratch(prefix: str = "cataloom-") -> str:
-    """A private folder for tests and local runs only."""
-    return tempfile.mkdtemp(prefix=prefix, dir=os.environ.get("TMPDIR", "/tmp"))
