@@ -6,6 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cataloom.llm import secret_scan, url_rules
+from cataloom.llm.decontaminate import contained_items
 from cataloom.llm.exact_dedup import exact_dedup
 from cataloom.llm.near_dedup import near_dedup
 from cataloom.llm.substring_dedup import substring_dedup
@@ -19,19 +21,91 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op5_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("tag")
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op8_exact_dedup, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op2_substring_dedup, op5_benchmark_containment, op7_secret_scan, op8_exact_dedup, op9_url_rules, op10_near_dedup)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _secret_sql() -> str:
+    """Each kind's matches one after another: the text before a match has
+    the lengths of the pieces and matches before it."""
+    kinds = []
+    for i, r in enumerate(secret_scan.RULES):
+        regex = _quoted(r.regex)
+        kinds.append(f"""
+            SELECT doc_id, {i} AS rule, '{r.kind}' AS kind, {r.least} AS least, unnest(regexp_extract_all(text, {regex}, 0)) AS m,
+                   unnest(regexp_extract_all(text, {regex}, {r.group})) AS g, unnest(string_split_regex(text, {regex})[:-2]) AS gap,
+                   unnest(range(1, len(regexp_extract_all(text, {regex}, 0)) + 1)) AS k FROM t""")
+    base = [i for i, r in enumerate(secret_scan.RULES) if r.base]
+    count = ", ".join(f"CAST(count(*) FILTER (rule = {i}) AS BIGINT) AS n_{secret_scan.RULES[i].kind}" for i in base)
+    return f"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        hits AS ({" UNION ALL ".join(kinds)}),
+        placed AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, rule ORDER BY k) AS stop FROM hits),
+        spans AS (SELECT doc_id, rule, stop - length(m) AS start, kind || ':' || CAST(stop - length(m) AS BIGINT) || ':' || CAST(stop AS BIGINT) AS said
+                  FROM placed WHERE length(g) >= least),
+        per AS (SELECT doc_id, {count}, string_agg(said, ',' ORDER BY start, rule) AS spans,
+                       string_agg(said, ',' ORDER BY start, rule) FILTER (rule <= {max(base)}) AS base FROM spans GROUP BY doc_id)
+        SELECT t.doc_id, {", ".join(f"coalesce(n_{secret_scan.RULES[i].kind}, 0) AS n_{secret_scan.RULES[i].kind}" for i in base)},
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM t LEFT JOIN per USING (doc_id)"""
+
+
+def _url_sql() -> str:
+    sites = sorted(url_rules.SITE_RULES, key=lambda r: -len(r.pattern))
+    fit = lambda r: f"regexp_matches(host || path, {_quoted(url_rules.expression(r.pattern))})"
+    site = " ".join(f"WHEN {fit(r)} THEN {_quoted(r.pattern[2:])}" for r in sites)
+    first = " ".join(f"WHEN {fit(r)} THEN {_quoted(r.pattern)}" for r in url_rules.PATTERN_RULES)
+    said = " ".join(f"WHEN {_quoted(r.pattern[2:])} THEN '{r.verdict}'" for r in sites)
+    told = " ".join(f"WHEN {_quoted(r.pattern)} THEN '{r.verdict}'" for r in url_rules.PATTERN_RULES)
+    parts = _quoted("(?s)^.*?://([^/?#]*)([^?#]*)")
+    return f"""
+        WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), {parts}, 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                          regexp_extract(coalesce(url, ''), {parts}, 2) AS path FROM pages),
+        r AS (SELECT *, CASE {site} END AS rule, CASE {first} END AS first FROM p)
+        SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN CASE rule {said} END ELSE coalesce(CASE first {told} END, 'allow') END AS verdict,
+               CASE WHEN rule IS NULL THEN first END AS pattern FROM r"""
+
+
 ORACLE = {
+    "op5_benchmark_containment": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+        ds AS MATERIALIZED (SELECT DISTINCT doc_id, s FROM (
+            SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' '))) AS s FROM d)),
+        bs AS MATERIALIZED (SELECT DISTINCT item_id, s FROM (
+            SELECT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' '))) AS s FROM b)),
+        n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
+        f AS (SELECT doc_id, item_id, count(*) AS n_found FROM bs JOIN ds USING (s) GROUP BY ALL)
+        SELECT doc_id, item_id, n_item, n_found, n_found / n_item AS containment FROM f JOIN n USING (item_id) WHERE 100 * n_found >= 80 * n_item""",
+    "op7_secret_scan": _secret_sql(),
+    "op9_url_rules": _url_sql(),
     "op2_substring_dedup": f"""
         WITH w AS MATERIALIZED (SELECT doc_id, {_WORDS} AS words FROM documents),
         win AS MATERIALIZED (
