@@ -80,7 +80,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         "doc_id", F.shiftrightunsigned(F.xxhash64("norm"), 64 - FINGERPRINT_BITS).alias("fp"), F.sha2("norm", 256).alias("sha")))
     total = prints.count()
     parts = stored(prints.mapInArrow(_pack, "part long, keys binary, rows binary"))
-    rows = stored(ask(parts, FINGERPRINT_BITS, total).select("keys", "rows", "answers")
+    rows = stored(parts.join(ask(parts, FINGERPRINT_BITS, total), "part").select("keys", "rows", "answers")
                   .mapInArrow(_unpack, "doc_id long, sha string, suspect boolean"))
     suspects = stored(rows.where("suspect").select(F.col("doc_id").alias("suspect_id")).distinct())
     groups = stored(plain.join(suspects, F.col("doc_id").eqNullSafe(F.col("suspect_id")), "left_semi")

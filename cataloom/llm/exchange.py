@@ -48,6 +48,18 @@ def ungolomb(n: int, r: int, unary: bytes, low: bytes) -> np.ndarray:
     return gaps
 
 
+def _numbers(x: np.ndarray) -> bytes:
+    """Numbers as deflated offsets from the least one, as wide as needed."""
+    base = x.min()
+    offset = (x - base).view(U)
+    width = next(w for w in (1, 2, 4, 8) if int(offset.max()) < 1 << 8 * w)
+    return base.tobytes() + bytes([width]) + zlib.compress(offset.astype(f"<u{width}").tobytes(), 1)
+
+
+def _unnumbers(said: bytes) -> np.ndarray:
+    return np.frombuffer(said[:8], np.int64) + np.frombuffer(zlib.decompress(said[9:]), f"<u{said[8]}").astype(U).view(np.int64)
+
+
 def _owners(bits: int, owners: int) -> int:
     """Shift that leaves a key its owner; the number of owners is a power of two."""
     return bits - max(1, math.ceil(math.log2(max(2, owners))))
@@ -64,7 +76,7 @@ def _sender(bits: int, shift: int):
                 cuts = np.flatnonzero(np.diff(at, prepend=at[:1] + U(1))) if len(keys) else []
                 for lo, hi in zip(cuts, [*cuts[1:], len(keys)]):
                     r, unary, low = golomb(np.diff(keys[lo:hi], prepend=at[lo] << U(shift)), 2.0 ** shift)
-                    said = b"" if firsts is None else zlib.compress(firsts[lo:hi].tobytes(), 1)
+                    said = b"" if firsts is None else _numbers(firsts[lo:hi])
                     for k, v in zip(rows, (int(at[lo]), part, int(hi - lo), r, unary, low, said)):
                         rows[k].append(v)
                 if sum(map(len, rows["unary"])) + sum(map(len, rows["low"])) > 8 << 20:
@@ -86,7 +98,7 @@ def _judge(shift: int, earlier: bool):
                                zip(sent["n"], sent["r"], sent["unary"], sent["low"])])
         _, where, times = np.unique(keys, return_inverse=True, return_counts=True)
         if earlier:
-            firsts = np.concatenate([np.frombuffer(zlib.decompress(x), np.int64) for x in sent["firsts"]])
+            firsts = np.concatenate([_unnumbers(x) for x in sent["firsts"]])
             least = np.full(len(times), np.iinfo(np.int64).max)
             np.minimum.at(least, where, firsts)
             yes = least[where] < firsts
@@ -99,9 +111,9 @@ def _judge(shift: int, earlier: bool):
 
 
 def ask(parts: DataFrame, bits: int, total: int, earlier: bool = False) -> DataFrame:
-    """``parts`` (part long, keys binary, and firsts binary if ``earlier``;
-    every part with at least one key) plus ``answers``: an array of (owner,
-    n, bits) in the order of the part's keys. A bit says that another part
+    """For ``parts`` (part long, keys binary, and firsts binary if
+    ``earlier``; every part with at least one key) the table (part,
+    answers): an array of (owner, n, bits) in the order of the part's keys. A bit says that another part
     holds the key too or, with ``earlier``, that another part gives the key a
     smaller number in ``firsts``.
 
@@ -113,7 +125,7 @@ def ask(parts: DataFrame, bits: int, total: int, earlier: bool = False) -> DataF
         _sender(bits, shift), "owner long, part long, n long, r long, unary binary, low binary, firsts binary")
     back = sent.groupBy("owner").applyInPandas(_judge(shift, earlier), "part long, owner long, n long, bits binary")
     answers = back.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("owner", "n", "bits"))).alias("answers"))
-    return parts.drop("firsts").join(answers, "part") if earlier else parts.join(answers, "part")
+    return answers
 
 
 def answer_bits(answers: list[dict]) -> np.ndarray:

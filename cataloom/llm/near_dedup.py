@@ -266,7 +266,7 @@ def near_dedup(docs: DataFrame, threshold: int = 85) -> DataFrame:
     total = reps.count()
 
     parts = stored(reps.select("rep", "sig").mapInArrow(_pack, "part long, keys binary, ids array<long>, sigs binary"))
-    sharing = stored(ask(parts, TOKEN_BITS, total * COORDINATES).select("keys", "ids", "sigs", "answers")
+    sharing = stored(parts.join(ask(parts, TOKEN_BITS, total * COORDINATES), "part").select("keys", "ids", "sigs", "answers")
                      .mapInArrow(_sharing, "rep long, sig binary, tokens array<long>"))
     posted = sharing.select("rep", F.explode("tokens").alias("token"))
     times = stored(posted.groupBy(F.col("token").alias("posted")).agg(F.count(F.lit(1)).alias("times")).where("times > 1"))

@@ -5,8 +5,8 @@ pairs of neighbours (a symbol of the left class followed by one of the right
 class) by a hash of what they stand for, so all tasks give equal substrings
 equal names without a shared dictionary, except near the ends of the
 substring. Each symbol carries the words that its name depends on. A window
-of WINDOW words is represented by the least of the high-level symbols that
-depend on nothing outside it: equal windows have equal representatives.
+of WINDOW words is represented by one of the high-level symbols that depend
+on nothing outside it (of those of most words, the one with the least name): equal windows have equal representatives.
 
 Round one over the cluster finds the representatives that several parts or
 documents share. Only windows under a shared one are named themselves; round
@@ -35,16 +35,17 @@ _PAIR_ROUNDS = 2
 _K1, _K2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
 
-def recompress(name: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, from, to): high-level symbols of consecutive texts, and the
-    words from (included) to (excluded) that each one's name depends on. A
-    name that depends on a text's border reaches past it."""
+def recompress(name: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, words, from, to): high-level symbols of consecutive texts,
+    how many words each stands for, and the words from (included) to
+    (excluded) that its name depends on. A name that depends on a text's
+    border reaches past it."""
     n = len(name)
     new = np.ones(n, bool)
     new[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
     start = np.flatnonzero(new)
     length = np.diff(start, append=n)
-    symbol, low, high, doc = mix(name[start] + length.astype(U) * _K1), start - 1, start + length + 1, doc[start]
+    symbol, words, low, high, doc = mix(name[start] + length.astype(U) * _K1), length, start - 1, start + length + 1, doc[start]
     for r in range(_PAIR_ROUNDS):
         salt = mix(np.array([r + 1], U))[0]
         right = mix(symbol ^ salt) >> U(63) == 1
@@ -58,9 +59,11 @@ def recompress(name: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
         named = symbol.copy()
         named[joined] = mix(symbol[:-1][pair] * _K1 + symbol[1:][pair] * _K2 + salt)
         since[joined], to[joined] = low[joined], high[1:][pair]
+        spanned = words.copy()
+        spanned[joined] += words[1:][pair]
         keep = np.insert(~pair, 0, True)
-        symbol, low, high, doc = named[keep], since[keep], to[keep], doc[keep]
-    return symbol, low, high
+        symbol, words, low, high, doc = named[keep], spanned[keep], since[keep], to[keep], doc[keep]
+    return symbol, words, low, high
 
 
 def _starts(w: Words, size: int) -> np.ndarray:
@@ -75,8 +78,9 @@ def representatives(w: Words, size: int = WINDOW) -> tuple[np.ndarray, np.ndarra
     starts = _starts(w, size)
     if not len(starts):
         return starts, np.zeros(0, U)
-    symbol, low, high = recompress(w.name, w.owner())
-    least = [symbol]
+    symbol, words, low, high = recompress(w.name, w.owner())
+    # symbols of many words come first: those of one or two are everywhere
+    least = [(U(15) - np.minimum(words, 15).astype(U) << U(60)) | (symbol >> U(4))]
     while 2 << (len(least) - 1) <= size:
         step, last = 1 << (len(least) - 1), least[-1]
         least.append(np.minimum(last, np.append(last[step:], last[-1:].repeat(min(step, len(last))))[:len(last)]))
@@ -88,8 +92,8 @@ def representatives(w: Words, size: int = WINDOW) -> tuple[np.ndarray, np.ndarra
     for k in range(len(least)):
         here = ~own & (level == k)
         keys[here] = np.minimum(least[k][a[here]], least[k][b[here] - (1 << k)])
-    keys[own] = mix(windows(w.name, size)[starts[own]] ^ _K2)
-    return starts, keys >> U(64 - SYMBOL_BITS)
+    keys[own] = windows(w.name, size)[starts[own]] ^ _K2
+    return starts, mix(keys) >> U(64 - SYMBOL_BITS)
 
 
 def _stretches(w: Words, starts: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -100,15 +104,6 @@ def _stretches(w: Words, starts: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _sha(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[str, bytes]:
-    text = b" ".join([data[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist())])
-    return hashlib.sha256(text).hexdigest(), text
-
-
-def _whole(rows_data: bytes) -> str:
-    return hashlib.sha256(b" ".join(rows_data.split())).hexdigest()
-
-
 _REVEALED = pa.schema([("part", pa.int64()), ("keys", pa.binary()), ("index", pa.binary()), ("stretches", pa.list_(pa.int64())),
                        ("ids", pa.list_(pa.int64())), ("tags", pa.list_(pa.int64())), ("words", pa.list_(pa.int64())), ("shas", pa.list_(pa.string()))])
 
@@ -126,7 +121,7 @@ def _reveal(batches):
         yield pa.RecordBatch.from_pydict({
             "part": [seq], "keys": [distinct.tobytes()], "index": [index.astype(np.uint32).tobytes()],
             "stretches": [np.bincount(doc, minlength=rows.num_rows)], "ids": [rows.column(0).to_pylist()], "tags": [rows.column(2).to_pylist()],
-            "words": [w.counts], "shas": [[_whole(whole[a:b]) for a, b in zip(offsets, offsets[1:])]]}, _REVEALED)
+            "words": [w.counts], "shas": [[hashlib.sha256(b" ".join(whole[a:b].split())).hexdigest() for a, b in zip(offsets, offsets[1:])]]}, _REVEALED)
         seq += 1
 
 
@@ -154,54 +149,67 @@ def _told(batches):
                                                          ("kept_sha256", pa.string()), ("flags", pa.binary())]))
 
 
-_NAMED = pa.schema([("part", pa.int64()), ("keys", pa.binary()), ("firsts", pa.binary()), ("index", pa.binary()), ("begins", pa.binary()),
-                    ("ends", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.string()))])
+_SUSPECT = pa.schema([("part", pa.int64()), ("ids", pa.list_(pa.int64())), ("flags", pa.list_(pa.binary())), ("texts", pa.list_(pa.string()))])
 
 
-def _name(batches):
-    """Names of the windows under shared representatives, with the smallest
-    document of the part that has each."""
+def _gather(batches):
+    """Documents with shared representatives, in parts."""
     seq = TaskContext.get().partitionId() << 32
-    for rows, data, offsets in chunks(batches):
-        w = Words(data, offsets)
-        starts, keys = representatives(w)
-        at = _stretches(w, starts, keys)
-        owner = w.owner()[starts]
-        flags = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8))[:n] for f, n in
-                                zip(rows.column(1).to_pylist(), np.bincount(owner[at], minlength=rows.num_rows))]).astype(bool)
-        open_ = np.repeat(flags, np.diff(at, append=len(starts)))
-        starts, owner = starts[open_], owner[open_]
-        ids = rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        distinct, index = np.unique(windows(w.name, WINDOW)[starts], return_inverse=True)
-        firsts = np.full(len(distinct), np.iinfo(np.int64).max)
-        np.minimum.at(firsts, index, ids[owner])
-        yield pa.RecordBatch.from_pydict({
-            "part": [seq], "keys": [distinct.tobytes()], "firsts": [firsts.tobytes()], "index": [index.astype(np.uint32).tobytes()],
-            "begins": [(starts - w.first[owner]).astype(np.uint32).tobytes()], "ends": [np.cumsum(np.bincount(owner, minlength=len(ids)))],
-            "ids": [ids], "texts": [rows.column(2).to_pylist()]}, _NAMED)
+    for rows, _, _ in chunks(batches):
+        yield pa.RecordBatch.from_pydict({"part": [seq], "ids": [rows.column(0)], "flags": [rows.column(1)], "texts": [rows.column(2)]}, _SUSPECT)
         seq += 1
 
 
+def _open_windows(row: dict) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, starts, owners, names) of a part's windows under shared
+    representatives."""
+    raw = [t.encode() for t in row["texts"]]
+    w = Words(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])]))
+    starts, keys = representatives(w)
+    at = _stretches(w, starts, keys)
+    owner = w.owner()[starts]
+    flags = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8))[:n] for f, n in
+                            zip(row["flags"], np.bincount(owner[at], minlength=len(raw)))]).astype(bool)
+    shared = np.repeat(flags, np.diff(at, append=len(starts)))
+    return w, starts[shared], owner[shared], windows(w.name, WINDOW)[starts[shared]]
+
+
+def _firsts(row: dict) -> tuple:
+    """(words, starts, owners, index, distinct names, firsts): the smallest
+    document of the part that has each name."""
+    w, starts, owner, names = _open_windows(row)
+    distinct, index = np.unique(names, return_inverse=True)
+    firsts = np.full(len(distinct), np.iinfo(np.int64).max)
+    np.minimum.at(firsts, index, np.array(row["ids"], np.int64)[owner])
+    return w, starts, owner, index, distinct, firsts
+
+
+def _name(batches):
+    for batch in batches:
+        for row in batch.to_pylist():
+            *_, distinct, firsts = _firsts(row)
+            yield pa.RecordBatch.from_pydict({"part": [row["part"]], "keys": [distinct.tobytes()], "firsts": [firsts.tobytes()]},
+                                             pa.schema([("part", pa.int64()), ("keys", pa.binary()), ("firsts", pa.binary())]))
+
+
 def _cut(with_text: bool):
     def cut(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                earlier = answer_bits(row["answers"])
-                index, begins = np.frombuffer(row["index"], np.uint32), np.frombuffer(row["begins"], np.uint32)
-                firsts = np.frombuffer(row["firsts"], np.int64)
+                w, starts, owner, index, _, firsts = _firsts(row)
+                ids = np.array(row["ids"], np.int64)
+                covered = starts[answer_bits(row["answers"])[index] | (firsts[index] < ids[owner])]
+                depth = np.zeros(len(w.name) + 1, np.int64)
+                np.add.at(depth, covered, 1)
+                np.add.at(depth, covered + WINDOW, -1)
+                stays = np.cumsum(depth)[:-1] == 0
+                whole = w.data.tobytes()
                 out = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")}
-                a = 0
-                for doc, b, text in zip(row["ids"], row["ends"], row["texts"]):
-                    words = text.encode().split()
-                    covered = begins[a:b][earlier[index[a:b]] | (firsts[index[a:b]] < doc)].astype(np.int64)
-                    depth = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(depth, covered, 1)
-                    np.add.at(depth, covered + WINDOW, -1)
-                    gone = np.cumsum(depth)[:len(words)] > 0
-                    kept = b" ".join([x for x, g in zip(words, gone.tolist()) if not g])
-                    for k, v in zip(out, (doc, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None)):
+                for doc, a, b in zip(row["ids"], w.first, w.first[1:]):
+                    kept = a + np.flatnonzero(stays[a:b])
+                    text = b" ".join([whole[x:y] for x, y in zip(w.start[kept].tolist(), w.end[kept].tolist())])
+                    for k, v in zip(out, (doc, int(b - a), int(b - a) - len(kept), hashlib.sha256(text).hexdigest(), text.decode() if with_text else None)):
                         out[k].append(v)
-                    a = b
                 yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()),
                                                                  ("kept_sha256", pa.string()), ("kept_text", pa.string())]))
     return cut
@@ -226,16 +234,16 @@ def substring_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     parts = stored(tagged.mapInArrow(_reveal, "part long, keys binary, index binary, stretches array<long>, ids array<long>, "
                                               "tags array<long>, words array<long>, shas array<string>"))
     total = parts.agg(F.sum(F.length("keys"))).first()[0] or 0
-    answered = ask(parts.select("part", "keys").where("length(keys) > 0"), SYMBOL_BITS, total // 8).select("part", "answers")
-    told = stored(parts.drop("keys").join(answered, "part", "left").drop("part")
+    answers = ask(parts.select("part", "keys").where("length(keys) > 0"), SYMBOL_BITS, total // 8)
+    told = stored(parts.drop("keys").join(answers, "part", "left").drop("part")
                   .mapInArrow(_told, "doc_id long, tag long, n_words long, kept_sha256 string, flags binary"))
     clean = told.where("flags is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept_text"))
     shared = stored(told.where("flags is not null").select("doc_id", "tag", "flags").dropDuplicates(["doc_id", "tag"]))
-    named = stored(tagged.join(shared, ["doc_id", "tag"]).select("doc_id", "flags", "text")
-                   .mapInArrow(_name, "part long, keys binary, firsts binary, index binary, begins binary, ends array<long>, ids array<long>, texts array<string>"))
-    total = named.agg(F.sum(F.length("keys"))).first()[0] or 0
-    answers = ask(named.select("part", "keys", "firsts"), 64, total // 8, earlier=True).select("part", "answers")
-    cut = (named.drop("keys").join(answers, "part")
+    suspects = stored(tagged.join(shared, ["doc_id", "tag"]).select("doc_id", "flags", "text")
+                      .mapInArrow(_gather, "part long, ids array<long>, flags array<binary>, texts array<string>"))
+    named = suspects.mapInArrow(_name, "part long, keys binary, firsts binary")
+    answers = ask(named, 64, total // 8, earlier=True)
+    cut = (suspects.join(answers, "part")
            .mapInArrow(_cut(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"))
     out = clean.unionByName(cut)
     return out if with_text else out.drop("kept_text")
