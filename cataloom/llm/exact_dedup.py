@@ -57,13 +57,13 @@ def _unpack(batches):
             table = pa.ipc.open_stream(rows).read_all()
             at = np.searchsorted(np.frombuffer(keys, U), table.column("fp").to_numpy().astype(U))
             twice = (np.bincount(at) > 1) | answer_bits(answers)
-            out = table.select(["doc_id", "sha"]).append_column("suspect", pa.array(twice[at]))
+            out = table.select(["doc_id", "tag", "sha"]).append_column("suspect", pa.array(twice[at]))
             yield from out.to_batches()
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, keep_id,
-    group_size, kept, text_sha256.
+    group_size, kept, text_sha256, tag (a hash of the unchanged text).
 
     Texts are equal when identical after each run of ``[\\x20\\x09-\\x0D]`` is
     replaced by one space; a null text counts as empty, and empty texts are
@@ -75,21 +75,21 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     no rows.
     """
     spark = docs.sparkSession
-    plain = texts(docs).select("doc_id", F.regexp_replace("text", _SPACE, " ").alias("norm"))
+    plain = texts(docs).select("doc_id", F.xxhash64("text").alias("tag"), F.regexp_replace("text", _SPACE, " ").alias("norm"))
     prints = stored(plain.select(
-        "doc_id", F.shiftrightunsigned(F.xxhash64("norm"), 64 - FINGERPRINT_BITS).alias("fp"), F.sha2("norm", 256).alias("sha")))
+        "doc_id", "tag", F.shiftrightunsigned(F.xxhash64("norm"), 64 - FINGERPRINT_BITS).alias("fp"), F.sha2("norm", 256).alias("sha")))
     total = prints.count()
     parts = stored(prints.mapInArrow(_pack, "part long, keys binary, rows binary"))
     rows = stored(parts.join(ask(parts, FINGERPRINT_BITS, total), "part").select("keys", "rows", "answers")
-                  .mapInArrow(_unpack, "doc_id long, sha string, suspect boolean"))
+                  .mapInArrow(_unpack, "doc_id long, tag long, sha string, suspect boolean"))
     suspects = stored(rows.where("suspect").select(F.col("doc_id").alias("suspect_id")).distinct())
     groups = stored(plain.join(suspects, F.col("doc_id").eqNullSafe(F.col("suspect_id")), "left_semi")
                     .groupBy("norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
                     .where("group_size > 1").select(F.sha2("norm", 256).alias("group_sha"), "keep_id", "group_size"))
-    alone = rows.where("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
+    alone = rows.where("not suspect").select("doc_id", "tag", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
     several = (rows.where("suspect").join(groups, F.col("sha") == F.col("group_sha"), "left")
-               .select("doc_id", F.when(F.col("group_sha").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+               .select("doc_id", "tag", F.when(F.col("group_sha").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
                        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "sha"))
     return alone.unionByName(several).select(
         "doc_id", "keep_id", "group_size",
-        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.col("sha").alias("text_sha256"))
+        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.col("sha").alias("text_sha256"), "tag")

@@ -73,9 +73,9 @@ def _sketch(batches):
     for rows, data, offsets in chunks(batches):
         names, at = shingle_sets(Words(data, offsets, lower=True))
         yield pa.RecordBatch.from_arrays([
-            rows.column(0), pa.array(np.diff(at)),
+            rows.column(0), rows.column(2), pa.array(np.diff(at)),
             *map(pa.array, _sums(names, at)),
-            pa.array([s.tobytes() for s in signatures(names, at)], pa.binary())], ["doc_id", "n_shingles", "s1", "s2", "sig"])
+            pa.array([s.tobytes() for s in signatures(names, at)], pa.binary())], ["doc_id", "tag", "n_shingles", "s1", "s2", "sig"])
 
 
 def _tokens(sigs: np.ndarray) -> np.ndarray:
@@ -241,7 +241,7 @@ def _units(rows: DataFrame, key: str, blocks, packed: int) -> DataFrame:
 
 def near_dedup(docs: DataFrame, threshold: int = 85) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles,
-    component_id, kept.
+    component_id, kept, tag (a hash of the text).
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased; a document's
     set holds its distinct five-word shingles, or its whole sequence if it is
@@ -257,8 +257,8 @@ def near_dedup(docs: DataFrame, threshold: int = 85) -> DataFrame:
     """
     if not 80 <= threshold <= 100:
         raise ValueError("threshold is a percentage from 80 to 100")
-    plain = texts(docs)
-    sketch = stored(plain.mapInArrow(_sketch, "doc_id long, n_shingles long, s1 long, s2 long, sig binary"))
+    plain = texts(docs).withColumn("tag", F.xxhash64("text"))
+    sketch = stored(plain.mapInArrow(_sketch, "doc_id long, tag long, n_shingles long, s1 long, s2 long, sig binary"))
     ident = ["n_shingles", "s1", "s2"]
     classes = stored(sketch.where("n_shingles > 0 and doc_id is not null").groupBy(*ident).agg(F.min("doc_id").alias("stands"))
                      .withColumn("rep", F.xxhash64(*ident)))
@@ -303,6 +303,6 @@ def near_dedup(docs: DataFrame, threshold: int = 85) -> DataFrame:
     least = stored(reached.groupBy(F.col("component").alias("least_of")).agg(F.min("stands").alias("reached")))
     named = stored(reached.join(least, F.col("component") == F.col("least_of")).select(*[F.col(c).alias(f"class_{c}") for c in ident], "reached"))
     return (sketch.join(named, [F.col(c) == F.col(f"class_{c}") for c in ident], "left")
-            .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("reached")).otherwise(F.col("doc_id")).alias("component_id"))
+            .select("doc_id", "tag", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("reached")).otherwise(F.col("doc_id")).alias("component_id"))
             .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))
+            .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "tag"))

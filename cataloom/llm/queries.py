@@ -5,32 +5,59 @@ result as DuckDB SQL where SQL can express it."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cataloom.llm import secret_scan, url_rules
+from cataloom.llm import secret_scan, url_rules, warc_fixity
 from cataloom.llm.decontaminate import contained_items
 from cataloom.llm.exact_dedup import exact_dedup
+from cataloom.llm.line_windows import line_dedup
 from cataloom.llm.near_dedup import near_dedup
+from cataloom.llm.sentencepiece_nbest import encode_nbest
 from cataloom.llm.substring_dedup import substring_dedup
+from cataloom.llm.tables import stored
+from cataloom.llm.toxicity import score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_nbest(_table(spark, sf_dir, "documents"), with_ids=0)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("tag")
+
+
+def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits the archives of ``pages`` against a replica with faults."""
+    pages = _table(spark, sf_dir, "pages")
+    manifest = stored(warc_fixity.placed(warc_fixity.leaves(warc_fixity.warc_records(pages))))
+    found = warc_fixity.audit(manifest, warc_fixity.damaged_replica(pages, manifest))
+    named = manifest.select("page_id", F.col("archive").alias("m_archive"), F.col("offset").alias("m_offset"), "length")
+    return (found.join(named, (F.col("archive") == F.col("m_archive")) & (F.col("offset") == F.col("m_offset")), "left")
+            .select("page_id", "archive", "offset", "length", "kind"))
+
+
 def op5_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("tag")
 
 
+def op6_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(_table(spark, sf_dir, "documents"))
+    return exact_dedup(_table(spark, sf_dir, "documents")).drop("tag")
 
 
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,11 +65,12 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(_table(spark, sf_dir, "documents"))
+    return near_dedup(_table(spark, sf_dir, "documents")).drop("tag")
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_substring_dedup, op5_benchmark_containment, op7_secret_scan, op8_exact_dedup, op9_url_rules, op10_near_dedup)}
+    op1_sentencepiece_nbest, op2_substring_dedup, op3_toxicity, op4_warc_fixity, op5_benchmark_containment,
+    op6_line_windows, op7_secret_scan, op8_exact_dedup, op9_url_rules, op10_near_dedup)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -94,6 +122,18 @@ def _url_sql() -> str:
 
 
 ORACLE = {
+    "op4_warc_fixity": r"""
+        WITH head AS (
+            SELECT page_id, coalesce(html, '') AS html,
+                   'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>'
+                   || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+                   || 'Content-Length: ' AS head FROM pages),
+        rec AS (SELECT page_id, CAST(floor(page_id / 1000) AS BIGINT) AS archive,
+                       CAST(octet_length(encode(head || octet_length(encode(html)) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10))) AS BIGINT) AS length,
+                       html FROM head),
+        placed AS (SELECT *, CAST(sum(length) OVER (PARTITION BY archive ORDER BY page_id) - length AS BIGINT) AS "offset" FROM rec)
+        SELECT page_id, archive, "offset", length, CASE WHEN page_id % 503 = 11 THEN 'missing' ELSE 'changed' END AS kind FROM placed
+        WHERE page_id % 503 = 11 OR (page_id % 97 = 13 AND '#' || substr(html, 2) <> html) OR (page_id % 211 = 7 AND page_id % 97 <> 13 AND length(html) > 0)""",
     "op5_benchmark_containment": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
         b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
@@ -104,6 +144,17 @@ ORACLE = {
         n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
         f AS (SELECT doc_id, item_id, count(*) AS n_found FROM bs JOIN ds USING (s) GROUP BY ALL)
         SELECT doc_id, item_id, n_item, n_found, n_found / n_item AS containment FROM f JOIN n USING (item_id) WHERE 100 * n_found >= 80 * n_item""",
+    "op6_line_windows": """
+        WITH t AS MATERIALIZED (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS lines FROM documents),
+        win AS MATERIALIZED (
+            SELECT doc_id, p, lines[p:p + 2] AS win FROM (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS p FROM t)),
+        later AS (SELECT doc_id, p FROM (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, p) AS k FROM win) WHERE k > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 3)) AS k FROM later),
+        lined AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS k FROM t),
+        kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.k) AS kept, count(*) AS n
+                 FROM lined l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.k = l.k WHERE g.k IS NULL GROUP BY l.doc_id)
+        SELECT t.doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM t LEFT JOIN kept USING (doc_id)""",
     "op7_secret_scan": _secret_sql(),
     "op9_url_rules": _url_sql(),
     "op2_substring_dedup": f"""

@@ -248,7 +248,7 @@ def _worker(pieces) -> Lattice:
     return Lattice(pieces.value)
 
 
-def _encoder(pieces, n: int, with_ids: bool):
+def _encoder(pieces, n: int, with_ids: int):
     import hashlib
 
     def encode(batches):
@@ -268,7 +268,7 @@ def _encoder(pieces, n: int, with_ids: bool):
                 best = np.frombuffer(whole[0], "<i4")
                 for k, v in zip(out, (doc, len(best), len(found), [float(s) for s, _ in found], hashlib.sha256(whole[0]).hexdigest(),
                                       hashlib.sha256(b"".join(hashlib.sha256(x).digest() for x in whole)).hexdigest(),
-                                      lattice.decode(best) == text, [np.frombuffer(x, "<i4") for x in whole] if with_ids else None)):
+                                      lattice.decode(best) == text, [np.frombuffer(x, "<i4") for x in whole[:with_ids]])):
                     out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, _SCHEMA)
     return encode
@@ -278,12 +278,12 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("n_found
                      ("ids_sha256", pa.string()), ("nbest_sha256", pa.string()), ("round_trip", pa.bool_()), ("ids", pa.list_(pa.list_(pa.int32())))])
 
 
-def encode_nbest(docs: DataFrame, model: str = MODEL, n: int = NBEST, with_ids: bool = True) -> DataFrame:
+def encode_nbest(docs: DataFrame, model: str = MODEL, n: int = NBEST, with_ids: int = NBEST) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_pieces (of the
     best segmentation), n_found (segmentations, ``n`` at most), scores
     (descending), ids_sha256 (best ids as little-endian 32-bit numbers),
     nbest_sha256, round_trip (decoding gives the text back), and ids (an
-    array for each segmentation) if ``with_ids``.
+    array for each of the first ``with_ids`` segmentations) unless that is 0.
 
     The score of a segmentation is the sum of its pieces' scores in the
     model. A blank goes before the text. A null or empty text has one
