@@ -1,0 +1,87 @@
+"""The registered queries against their SQL, and the pipeline's stages."""
+
+import hashlib
+import re
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+import corpus_pipeline
+import support
+from cataloom.llm.queries import ORACLE, QUERIES
+
+
+@pytest.fixture(scope="module")
+def duck(sf_dir):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "labels"):
+        con.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
+    return con
+
+
+def test_registered():
+    assert len({re.match(r"op(\d+)_", name)[1] for name in QUERIES}) == 10
+    assert {*QUERIES, "pipeline"} <= set(entry.queries()) and set(ORACLE) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_matches_sql(spark, sf_dir, duck, name):
+    df = QUERIES[name](spark, sf_dir)
+    rel = duck.sql(ORACLE[name])
+    order = sorted(range(len(rel.columns)), key=lambda i: rel.columns[i])
+    assert sorted(rel.columns) == sorted(df.columns)
+    assert sorted(repr(tuple(r[c] for c in sorted(df.columns))) for r in df.collect()) == sorted(repr(tuple(r[i] for i in order)) for r in rel.fetchall())
+
+
+def test_toxicity_on_held_out_rows(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    larger = sf_dir.replace("0.001", "0.1")
+    labels = spark.read.parquet(f"{larger}/labels.parquet").select("doc_id", "toxic")
+    rows = QUERIES["op3_toxicity"](spark, larger).where("held_out").join(labels, "doc_id").select("score", "predicted", F.col("toxic")).collect()
+    assert sum(r.predicted == r.toxic for r in rows) / len(rows) > 0.95
+    toxic = [r for r in rows if r.toxic]
+    assert sum(r.predicted for r in toxic) / len(toxic) > 0.8
+    clean = [r for r in rows if not r.toxic]
+    assert sum(r.predicted for r in clean) / len(clean) < 0.02
+
+
+def test_stages_against_plain_versions(spark, sf_dir):
+    """Each stage but the classifier, on what the one before has kept."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    stage = dict(corpus_pipeline.STAGES)
+    got = stage["exact_dedup"](spark, docs, sf_dir)
+    assert got.columns == docs.columns
+    keep = {i for i, k, *_ in support.exact(rows) if i == k}
+    rows = [(i, t) for i, t in rows if i in keep]
+    support.same(got, rows, ["doc_id", "text"])
+    got = stage["near_dedup"](spark, got, sf_dir)
+    reach = support.components(rows)
+    rows = [(i, t) for i, t in rows if reach[i] == i]
+    support.same(got, rows, ["doc_id", "text"])
+    got = stage["decontamination"](spark, got, sf_dir)
+    assert got.columns == docs.columns
+    bad = {r.doc_id for r in QUERIES["op5_benchmark_containment"](spark, sf_dir).collect()}
+    rows = [(i, t) for i, t in rows if i not in bad]
+    support.same(got, rows, ["doc_id", "text"])
+    assert {(r.doc_id, r.round_trip) for r in stage["sentencepiece"](spark, got, sf_dir).collect()} == {(i, True) for i, _ in rows}
+
+
+def test_awkward_documents(spark, sf_dir):
+    rows = support.awkward()
+    docs = support.frame(spark, rows).drop("rule")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        assert stage(spark, docs.limit(0), sf_dir).collect() == [], name
+    once = corpus_pipeline.drop_copies(spark, docs, sf_dir)
+    assert sorted(r.doc_id for r in once.where("doc_id >= 300").collect() if r.doc_id in (300, 301, 302, 303, 320, 321, 323, 330)) == [300, 301, 302, 320]
+    assert once.where("doc_id is null").count() == sum(i is None and support.exact(rows)[k][1] is None for k, (i, _) in enumerate(rows))
+
+
+def test_pipeline(spark, sf_dir):
+    out = corpus_pipeline.run(spark, sf_dir).collect()
+    assert out and all(r.round_trip and len(r.ids) == r.n_pieces for r in out)
+    assert len({hashlib.sha256(str(r.ids).encode()).hexdigest() for r in out}) == len(out)
