@@ -37,6 +37,10 @@ _STEMS = (4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+").findall
 _MASKS = ("###", "***", "$$$", "&&&", "%%%")
 PATTERNS = ("shouting", "exclaiming", "masking", "repeating")
+#: A lexicon votes when its words are so many of a thousand; more voters
+#: look at the words of all lexicons together.
+LEXICON_RATE, DENSITIES = 2, (5, 10, 15)
+VOTERS = LEXICONS + len(DENSITIES) + len(PATTERNS)
 _HELD_OUT = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 5 = 0, false)"
 
 
@@ -81,21 +85,29 @@ def _voter(lexicon: list[str]):
 
     def vote(batches):
         for rows, _, _ in chunks(batches):
-            votes, hits = [], []
+            out = {k: [] for k in ("votes", "hits", "rates", "rate")}
             for text in rows.column(1).to_pylist():
-                words = {w.lower() for w in set(_WORD(text))}
-                found = [place[w] for w in words & whole]
-                for n, own in stems.items():
-                    if own:
-                        found += [place[w + "-"] for w in {w[:n] for w in words if len(w) > n} & own]
-                bits = 0
-                for i in found:
-                    bits |= 1 << i % LEXICONS
-                for i, yes in enumerate(patterns(text)):
-                    bits |= yes << LEXICONS + i
-                votes.append(bits)
-                hits.append(sorted(found))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(votes, pa.int32()), pa.array(hits, pa.list_(pa.int32()))], ["doc_id", "tag", "votes", "hits"])
+                words = Counter(_WORD(text))
+                total, hit_words = sum(words.values()), 0
+                by_entry: Counter = Counter()
+                for word, n in words.items():
+                    word = word.lower()
+                    found = [word] if word in whole else []
+                    found += [word[:k] + "-" for k, own in stems.items() if len(word) > k and word[:k] in own]
+                    hit_words += n if found else 0
+                    for entry in found:
+                        by_entry[place[entry]] += n
+                own = [0] * LEXICONS
+                for i, n in by_entry.items():
+                    own[i % LEXICONS] += n
+                rate = 1000 * hit_words / max(total, 1)
+                yes = [n and 1000 * n >= LEXICON_RATE * total for n in own] + [rate >= d for d in DENSITIES] + patterns(text)
+                hits = sorted(by_entry)
+                for k, v in zip(out, (sum(1 << i for i, y in enumerate(yes) if y), hits, [1000 * by_entry[i] / total for i in hits], rate)):
+                    out[k].append(v)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(out["votes"], pa.int32()), pa.array(out["hits"], pa.list_(pa.int32())),
+                                              pa.array(out["rates"], pa.list_(pa.float64())), pa.array(out["rate"], pa.float64())],
+                                             ["doc_id", "tag", "votes", "hits", "rates", "rate"])
     return vote
 
 
@@ -165,11 +177,12 @@ def label_model(votes: np.ndarray, label: np.ndarray, times: np.ndarray, voters:
 
 
 def _features(size: int):
-    """A vector of which entries and patterns a text has."""
-    has = F.transform(F.sequence(F.lit(0), F.lit(max(size, 1) - 1)), lambda i: F.array_contains("hits", i.cast("int")).cast("double"))
-    wrote = F.transform(F.sequence(F.lit(0), F.lit(LEXICONS + len(PATTERNS) - 1)), lambda i: F.expr("cast(0 as double)") + F.call_function("getbit", F.col("votes"), i).cast("double"))
-    number = F.log1p(F.size("hits").cast("double"))
-    return array_to_vector(F.concat(has, wrote, F.array(number)))
+    """A vector: how often a text has each entry, and entries at all, in a
+    thousand words (as logarithms), and what the voters say."""
+    number = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    often = F.transform(number(max(size, 1)), lambda i: F.coalesce(F.log1p(F.get("rates", F.array_position("hits", i.cast("int")).cast("int") - 1)), F.lit(0.0)))
+    said = F.transform(number(VOTERS), lambda i: F.call_function("getbit", F.col("votes"), i).cast("double"))
+    return array_to_vector(F.concat(often, said, F.array(F.log1p("rate"), F.col("rate") / 10)))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -204,12 +217,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
               .orderBy((F.col("lift") * F.sqrt("toxic")).desc(), "entry").limit(LEXICON))
     lexicon = [r["entry"] for r in chosen.collect()]
 
-    voted = stored(plain.mapInArrow(_voter(lexicon), "doc_id long, tag long, votes int, hits array<int>"))
-    voters = LEXICONS + len(PATTERNS)
+    voted = stored(plain.mapInArrow(_voter(lexicon), "doc_id long, tag long, votes int, hits array<int>, rates array<double>, rate double"))
     known = voted.join(learnt, F.col("doc_id") == F.col("l_id"), "left")
-    seen = known.groupBy("votes", F.coalesce("toxic", F.lit(-1)).alias("label")).count().collect()  # 3 * 2**voters rows at most
+    seen = known.groupBy("votes", F.coalesce("toxic", F.lit(-1)).alias("label")).count().collect()  # 3 * 2**VOTERS rows at most
     votes, label, times = (np.array([r[c] for r in seen], np.int64) for c in ("votes", "label", "count"))
-    model = label_model(votes, label, times, voters)
+    model = label_model(votes, label, times, VOTERS)
 
     keys = np.unique(votes)
     blind = model.posterior(keys, np.full(len(keys), -1))
