@@ -59,8 +59,8 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = CONTAINED)
 
     keyed = texts(docs).withColumn("tag", F.xxhash64("text"))
     if not bounds:
-        return keyed.where("false").join(worded.select("item_id"), F.lit(False)).select(
-            "doc_id", "tag", "item_id", *[F.lit(None).cast(t).alias(n) for n, t in (("n_item", "long"), ("n_found", "long"), ("containment", "double"))])
+        none = {"item_id": dict(items.dtypes)["item_id"], "n_item": "long", "n_found": "long", "containment": "double"}
+        return keyed.where("false").select("doc_id", "tag", *[F.lit(None).cast(kind).alias(name) for name, kind in none.items()])
     hashed = _worded(keyed).select("doc_id", "tag", _hashes().alias("hashes"))
     # the partitions whose items the document can hold give the bound for its shingles
     bound = F.greatest(*[F.when(F.size("hashes") >= r["need"], F.lit(r["bound"])) for r in bounds.values()], F.lit(-2**63).cast("long"))
@@ -83,5 +83,5 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = CONTAINED)
 def decontaminate(docs: DataFrame, items: DataFrame, percent: int = CONTAINED) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no item."""
     bad = stored(contained_items(docs, items, percent).select(F.col("doc_id").alias("_leak_id"), F.col("tag").alias("_leak_tag")).distinct())
-    own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_leak_id")) & (own == F.col("_leak_tag")), "left_anti")
+    own = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_leak_id"]) & (own == bad["_leak_tag"]), "left_anti")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cataloom.llm.tables import partitions
+from cataloom.llm.tables import few, partitions
 
 U = np.uint64
 #: Keys that one owner merges at a time, on average.
@@ -123,7 +123,7 @@ def ask(parts: DataFrame, bits: int, total: int, earlier: bool = False) -> DataF
     firsts = F.col("firsts") if earlier else F.lit(b"").alias("firsts")
     sent = parts.select("part", "keys", firsts).mapInArrow(
         _sender(bits, shift), "owner long, part long, n long, r long, unary binary, low binary, firsts binary")
-    back = sent.groupBy("owner").applyInPandas(_judge(shift, earlier), "part long, owner long, n long, bits binary")
+    back = few(sent.groupBy("owner").applyInPandas(_judge(shift, earlier), "part long, owner long, n long, bits binary"))
     answers = back.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("owner", "n", "bits"))).alias("answers"))
     return answers
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cataloom.llm.exchange import answer_bits, ask
-from cataloom.llm.graph import components
+from cataloom.llm.graph import Sets, components
 from cataloom.llm.tables import stored, texts
 from cataloom.llm.words import Words, chunks, mix, windows
 
@@ -120,26 +120,9 @@ def _colliding(batches):
             yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= MATCHES))
 
 
-class _Sets:
-    """Disjoint sets of 0..n-1."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        self.up[i] = j
-        return i != j
-
-
 def _forest(n: int, pairs, ids: np.ndarray, start=None) -> list[tuple[int, int]]:
     """Of ``pairs``, those that join two groups; ``start`` are the groups so far."""
-    sets, out = _Sets(n), []
+    sets, out = Sets(n), []
     if start is not None:
         _, first, where = np.unique(start, return_index=True, return_inverse=True)
         for i, g in enumerate(where):
@@ -261,47 +244,47 @@ def near_dedup(docs: DataFrame, threshold: int = 85) -> DataFrame:
     sketch = stored(plain.mapInArrow(_sketch, "doc_id long, tag long, n_shingles long, s1 long, s2 long, sig binary"))
     ident = ["n_shingles", "s1", "s2"]
     classes = stored(sketch.where("n_shingles > 0 and doc_id is not null").groupBy(*ident).agg(F.min("doc_id").alias("stands"))
-                     .withColumn("rep", F.xxhash64(*ident)))
-    reps = stored(sketch.join(classes, ident).where("doc_id = stands").select("rep", "sig").dropDuplicates(["rep"]))
+                     .withColumn("rep", F.xxhash64(*ident)), narrow=True)
+    reps = stored(sketch.join(classes, ident).where("doc_id = stands").select("rep", "sig").dropDuplicates(["rep"]), narrow=True)
     total = reps.count()
 
     parts = stored(reps.select("rep", "sig").mapInArrow(_pack, "part long, keys binary, ids array<long>, sigs binary"))
     sharing = stored(parts.join(ask(parts, TOKEN_BITS, total * COORDINATES), "part").select("keys", "ids", "sigs", "answers")
-                     .mapInArrow(_sharing, "rep long, sig binary, tokens array<long>"))
+                     .mapInArrow(_sharing, "rep long, sig binary, tokens array<long>"), narrow=True)
     posted = sharing.select("rep", F.explode("tokens").alias("token"))
-    times = stored(posted.groupBy(F.col("token").alias("posted")).agg(F.count(F.lit(1)).alias("times")).where("times > 1"))
+    times = stored(posted.groupBy(F.col("token").alias("posted")).agg(F.count(F.lit(1)).alias("times")).where("times > 1"), narrow=True)
     ranked = posted.join(times, F.col("token") == F.col("posted")).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("ranked"))
     prefix = F.explode(F.slice("ranked", F.lit(1), F.greatest(F.size("ranked") - (MATCHES - 1), F.lit(0)))).alias("entry")
-    postings = stored(ranked.select("rep", prefix).select("rep", "entry.token", "entry.times"))
+    postings = stored(ranked.select("rep", prefix).select("rep", "entry.token", "entry.times"), narrow=True)
 
-    pivots = stored(postings.groupBy(F.col("token").alias("pivot_token")).agg(F.min("rep").alias("pivot")))
+    pivots = stored(postings.groupBy(F.col("token").alias("pivot_token")).agg(F.min("rep").alias("pivot")), narrow=True)
     signed = sharing.select("rep", "sig")
     tried = (postings.join(pivots, F.col("token") == F.col("pivot_token")).where("rep <> pivot").select("rep", "pivot").distinct()
              .join(signed, "rep").join(signed.select(F.col("rep").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
              .select(F.col("rep").alias("a"), F.col("pivot").alias("b"), "sig", "pivot_sig"))
-    stars = stored(tried.mapInArrow(_colliding, "a long, b long"))
+    stars = stored(tried.mapInArrow(_colliding, "a long, b long"), narrow=True)
     grouped = stored(postings.join(components(stars).withColumnRenamed("node", "rep"), "rep", "left")
-                     .select("rep", "token", "times", F.coalesce("component", "rep").alias("group")))
+                     .select("rep", "token", "times", F.coalesce("component", "rep").alias("group")), narrow=True)
     mixed = stored(grouped.where("times > 2").groupBy(F.col("token").alias("mixed"))
-                   .agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("mixed"))
-    open_lists = stored(grouped.join(mixed, F.col("token") == F.col("mixed")).join(signed, "rep").select("rep", "token", "times", "group", "sig"))
+                   .agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("mixed"), narrow=True)
+    open_lists = stored(grouped.join(mixed, F.col("token") == F.col("mixed")).join(signed, "rep").select("rep", "token", "times", "group", "sig"), narrow=True)
     blocks = F.ceil(F.col("times") / BLOCK)
     more = (_units(open_lists, "token", blocks, max(1, open_lists.count() // 2000)).select("unit", "i", "j", "token", "rep", "group", "sig")
             .groupBy("unit", "i", "j").applyInPandas(_collide, "a long, b long"))
-    candidates = stored(components(stored(stars.unionByName(more))).select(F.col("node").alias("rep"), F.col("component").alias("candidate")))
+    candidates = stored(components(stored(stars.unionByName(more), narrow=True)).select(F.col("node").alias("rep"), F.col("component").alias("candidate")), narrow=True)
 
-    members = stored(candidates.join(classes, "rep"))
-    sizes = stored(members.groupBy("candidate").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("total")))
-    wanted = stored(members.join(sizes, "candidate").select("rep", "candidate", "members", "total", *ident, "stands"))
-    sets = stored(plain.join(wanted, F.col("doc_id") == F.col("stands"))
-                  .select("rep", "candidate", "members", "total", *ident, "text").mapInArrow(_set_rows, _SET_ROWS).dropDuplicates(["rep"]))
+    members = stored(candidates.join(classes, "rep"), narrow=True)
+    sizes = stored(members.groupBy("candidate").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("total")), narrow=True)
+    wanted = stored(members.join(sizes, "candidate").select("rep", "candidate", "members", "total", *ident, "stands"), narrow=True)
+    sets = stored(plain.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("stands"))
+                  .select("rep", "candidate", "members", "total", *ident, "text").mapInArrow(_set_rows, _SET_ROWS))
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES))
     packed = max(1, (wanted.count()) // 200)
     links = (_units(sets, "candidate", blocks, packed).select("unit", "i", "j", "candidate", "rep", "shingles")
              .groupBy("unit", "i", "j").applyInPandas(_verifier(threshold), "a long, b long"))
     reached = classes.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    least = stored(reached.groupBy(F.col("component").alias("least_of")).agg(F.min("stands").alias("reached")))
-    named = stored(reached.join(least, F.col("component") == F.col("least_of")).select(*[F.col(c).alias(f"class_{c}") for c in ident], "reached"))
+    least = stored(reached.groupBy(F.col("component").alias("least_of")).agg(F.min("stands").alias("reached")), narrow=True)
+    named = stored(reached.join(least, F.col("component") == F.col("least_of")).select(*[F.col(c).alias(f"class_{c}") for c in ident], "reached"), narrow=True)
     return (sketch.join(named, [F.col(c) == F.col(f"class_{c}") for c in ident], "left")
             .select("doc_id", "tag", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("reached")).otherwise(F.col("doc_id")).alias("component_id"))
             .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))

@@ -10,10 +10,19 @@ from pyspark.sql import functions as F
 from cataloom.session import ensure_checkpoint_dir
 
 
-def stored(df: DataFrame) -> DataFrame:
+def few(df: DataFrame) -> DataFrame:
+    """Four tasks a core at most: shuffle partitions are sized for texts and
+    would give a table of numbers tiny tasks."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def stored(df: DataFrame, narrow: bool = False) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back:
-    cuts the lineage, and lets the planner size the table from its files."""
+    cuts the lineage, and lets the planner size the table from its files. A
+    ``narrow`` table (numbers only) is made by few tasks."""
     spark = df.sparkSession
+    if narrow:
+        df = few(df)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
