@@ -200,7 +200,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     plain = texts(docs).withColumn("tag", F.xxhash64("text"))
     learnt = stored(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-                    .where("doc_id is not null and toxic in (0, 1)").where(f"not {_HELD_OUT}")
+                    .where("doc_id is not null and toxic in (0, 1)").where(f"not {_HELD_OUT}").join(plain.select("doc_id"), "doc_id", "left_semi")
                     .groupBy(F.col("doc_id").alias("l_id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other"))
     sizes = {r["toxic"]: r["count"] for r in learnt.groupBy("toxic").count().collect()}
     out = plain.select("doc_id", "tag", F.expr(_HELD_OUT).alias("held_out"))
