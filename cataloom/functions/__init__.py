@@ -1,6 +0,0 @@
-from cataloom.functions.paths import (basename, dirname, image_file_name, image_path, pad3, path_join,
-                                     replace_first, static_url)
-from cataloom.functions.text import blank, contains_term, like_term
-
-__all__ = ["basename", "dirname", "image_file_name", "image_path", "pad3", "path_join", "replace_first",
-           "static_url", "blank", "contains_term", "like_term"]

@@ -39,9 +39,23 @@ def dirname(path, style: str = "windows") -> Column:
 
 
 def path_join(*parts, style: str = "windows") -> Column:
-    """Join segments with the style's separator, collapsing repeated separators."""
-    joined = F.concat_ws(_WRITE_SEP[style], *[_col(p) for p in parts])
-    return F.regexp_replace(joined, f"{_SEP_CLASS[style]}+", _WRITE_SEP[style].replace("\\", "\\\\"))
+    """Join segments with the style's separator: repeated separators count
+    once, ``.`` is dropped, ``..`` drops the segment before it (at the root,
+    nothing; before the first name of a relative path it stays)."""
+    whole = F.concat_ws(_WRITE_SEP[style], *[_col(p) for p in parts])
+    rooted = whole.rlike(f"^{_SEP_CLASS[style]}")
+    names = F.filter(F.split(whole, _SEP_CLASS[style]), lambda x: ~x.isin("", "."))
+    up = lambda done: (F.size(done) > 0) & (F.element_at(done, -1) != "..")
+
+    def step(done, name):
+        return (F.when(name != "..", F.array_append(done, name))
+                 .when(up(done), F.slice(done, F.lit(1), F.size(done) - 1))
+                 .when(rooted, done)
+                 .otherwise(F.array_append(done, name)))
+
+    kept = F.aggregate(names, F.array().cast("array<string>"), step)
+    sep = F.lit(_WRITE_SEP[style])
+    return F.concat(F.when(rooted, sep).otherwise(F.lit("")), F.array_join(kept, _WRITE_SEP[style]))
 
 
 def replace_first(path, old: str, new: str) -> Column:
@@ -52,12 +66,8 @@ def replace_first(path, old: str, new: str) -> Column:
     return F.when(at > 0, F.overlay(p, F.lit(new), at, F.lit(len(old)))).otherwise(p)
 
 
-def pad3(n) -> Column:
-    """Zero-pad to three digits, never truncating (``1000`` stays ``1000``)."""
-    return F.format_string("%03d", _col(n))
-
-
 def image_file_name(file_list_id, sort) -> Column:
+    """The sort number has three digits at least and is never cut."""
     return F.format_string("img%d_%03d.png", _col(file_list_id), _col(sort))
 
 

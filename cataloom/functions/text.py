@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ JS_WHITESPACE = ("\t\n\v\f\r \u00a0\u1680"
                  "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
                  "\u2028\u2029\u202f\u205f\u3000\ufeff")
 
-DEFAULT_COLLATION = "UNICODE_CI_AI"
+INSENSITIVE, BINARY = "insensitive", "binary"
 
 
 def blank(term: str | None) -> bool:
@@ -68,17 +69,14 @@ def unescape(cleaned: str) -> str:
     return "".join(out)
 
 
-def like_term(term: str) -> str:
-    """The ``%term%`` pattern the reference builds, nothing escaped."""
-    return f"%{clean_escapes(term)}%"
-
-
 def _java_literal(ch: str) -> str:
     return "\\" + ch if ch.isascii() and not ch.isalnum() else ch
 
 
-def like_regex(body: str) -> str:
-    """Java regex equal to ``LIKE body`` (escapes as in ``clean_escapes``).
+def like_regex(body: str, literal=_java_literal, one: str = ".", lead: str = "") -> str:
+    """Java regex equal to ``LIKE body`` (escapes as in ``clean_escapes``);
+    ``literal`` writes a character of the body, ``one`` stands for ``_`` and
+    ``lead`` for what may precede the first character.
 
     ``%`` splits the body into fixed-length segments (``_`` is one
     character). Each inner segment is an atomic lazy group, so it binds to
@@ -89,19 +87,17 @@ def like_regex(body: str) -> str:
     while i < len(body):
         ch = body[i]
         if ch == "\\" and i + 1 < len(body):
-            current.append(_java_literal(body[i + 1]))
+            current.append(literal(body[i + 1]))
             i += 2
             continue
         if ch == "%":
             segments.append("".join(current))
             current = []
-        elif ch == "_":
-            current.append(".")
         else:
-            current.append(_java_literal(ch))
+            current.append(one if ch == "_" else literal(ch))
         i += 1
     segments.append("".join(current))
-    regex = "(?s)^"
+    regex = "(?s)^" + lead
     last = len(segments) - 1
     for n, seg in enumerate(segments):
         if n == 0:
@@ -116,36 +112,14 @@ def like_regex(body: str) -> str:
 
 
 def fold_text(value: str | None) -> str | None:
-    """Python model of the folding: canonical decomposition, combining marks
-    dropped, lower case."""
+    """The folding: canonical decomposition, combining marks dropped, lower
+    case. Character by character: ``ß`` stays one character, for instance."""
     if value is None:
         return None
     decomposed = unicodedata.normalize("NFD", value)
     return "".join(c for c in decomposed if not unicodedata.combining(c)).lower()
 
 
-def _accent_table() -> tuple[str, str]:
-    """Translate table derived from the Unicode data: every BMP character
-    whose canonical decomposition is one base character plus combining marks
-    maps to that base; combining marks themselves map to nothing."""
-    src, dst, marks = [], [], []
-    for cp in range(0x80, 0x10000):
-        ch = chr(cp)
-        if unicodedata.combining(ch):
-            marks.append(ch)
-            continue
-        d = unicodedata.normalize("NFD", ch)
-        if d != ch and not unicodedata.combining(d[0]) and all(unicodedata.combining(x) for x in d[1:]):
-            src.append(ch)
-            dst.append(d[0])
-    # translate() deletes the characters of the source list that have no
-    # counterpart in the target list, so the marks go last
-    return "".join(src + marks), "".join(dst)
-
-
-_FOLD_FROM, _FOLD_TO = _accent_table()
-
-
 def _ranges(points: list[int]) -> str:
     """Java regex class body for code points, as \\uXXXX ranges."""
     out, i = [], 0
@@ -158,9 +132,11 @@ def _ranges(points: list[int]) -> str:
     return "".join(out)
 
 
+@cache
 def _fold_classes() -> tuple[dict[str, str], str]:
     """For every folded character, the class of raw BMP characters that fold
-    to it; and the class of combining marks, which folding removes."""
+    to it; and the class of combining marks, which folding removes. Built on
+    first use."""
     groups: dict[str, list[int]] = {}
     marks: list[int] = []
     for cp in range(0x10000):
@@ -176,69 +152,39 @@ def _fold_classes() -> tuple[dict[str, str], str]:
     return {f: f"[{_ranges(cps)}]" for f, cps in groups.items()}, f"[{_ranges(marks)}]"
 
 
-_FOLD_CLASSES, _MARKS = _fold_classes()
-
-
 def folded_like_regex(body: str) -> str:
     """Java regex that, applied to the RAW text, equals ``fold(text) LIKE
     fold(body)``: every literal character is the class of the characters
     folding to it, followed by any combining marks; ``_`` is one character
     that is not a mark. The text itself is never rewritten."""
-    def lit(ch: str) -> str:
-        return _FOLD_CLASSES.get(ch, _java_literal(ch)) + _MARKS + "*"
-    segments, current, i = [], [], 0
-    while i < len(body):
-        ch = body[i]
-        if ch == "\\" and i + 1 < len(body):
-            current.append(lit(body[i + 1]))
-            i += 2
-            continue
-        if ch == "%":
-            segments.append("".join(current))
-            current = []
-        elif ch == "_":
-            current.append(f"[^{_MARKS[1:-1]}]{_MARKS}*")
-        else:
-            current.append(lit(ch))
-        i += 1
-    segments.append("".join(current))
-    regex = "(?s)^" + _MARKS + "*"
-    last = len(segments) - 1
-    for n, seg in enumerate(segments):
-        if n == 0:
-            regex += seg
-            if last == 0:
-                regex += "\\z"
-        elif n == last:
-            regex += f".*{seg}\\z" if seg else ""
-        elif seg:
-            regex += f"(?>.*?{seg})"
-    return regex
-
-
-def fold_column(col) -> Column:
-    """Case- and accent-folded text, JVM side (``translate`` + ``lower``)."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.lower(F.translate(c, _FOLD_FROM, _FOLD_TO))
+    classes, marks = _fold_classes()
+    return like_regex(body, lambda ch: classes.get(ch, _java_literal(ch)) + marks + "*",
+                      f"[^{marks[1:-1]}]{marks}*", marks + "*")
 
 
-def contains_term(col, term: str, collation: str = DEFAULT_COLLATION) -> Column:
-    """``col LIKE '%term%'`` under a collation.
+def contains_term(col, term: str, collation: str = INSENSITIVE) -> Column:
+    """``col LIKE '%term%'``.
 
     * ``binary``: plain LIKE; Catalyst turns ``%x%`` into ``Contains`` and
       pushes it into the Parquet scan.
-    * a case/accent-insensitive collation: a literal term is a collated
-      ``contains`` (ICU, JVM side); a term holding ``%`` or ``_`` wildcards is
-      a regex over the raw text whose characters match every character that
-      folds to them (also JVM side; the text is not rewritten).
+    * ``insensitive`` to case and accents, compared character by character,
+      with or without wildcards: a regex over the raw text whose characters
+      match every character that folds to them. Texts of ASCII characters
+      only, where folding is lower-casing, answer a literal term by a plain
+      ``contains``, with the same result.
     A NULL column never matches.
     """
     c = F.col(col) if isinstance(col, str) else col
     cleaned = clean_escapes(term)
-    if collation.lower() in ("binary", "utf8_binary"):
+    if collation == BINARY:
         if not has_wildcard(cleaned):
             return c.like(f"%{cleaned}%")
         return c.rlike(like_regex(f"%{cleaned}%"))
-    if not has_wildcard(cleaned):
-        return F.contains(F.collate(c, collation), F.lit(unescape(cleaned)))
-    return c.rlike(folded_like_regex(f"%{fold_text(cleaned)}%"))
+    if collation != INSENSITIVE:
+        raise ValueError(f"collation is {INSENSITIVE!r} or {BINARY!r}")
+    folded = fold_text(cleaned)
+    matches = c.rlike(folded_like_regex(f"%{folded}%"))
+    if has_wildcard(cleaned):
+        return matches
+    ascii_only = F.octet_length(c) == F.length(c)
+    return F.when(ascii_only, F.contains(F.lower(c), F.lit(unescape(folded)))).otherwise(matches)

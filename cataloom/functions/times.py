@@ -10,7 +10,7 @@ def whole_seconds(ts) -> Column:
     """Round a timestamp to whole seconds, as a seconds-precision column
     stores it (half a second rounds up)."""
     c = F.col(ts) if isinstance(ts, str) else ts
-    return F.timestamp_seconds(F.round(F.unix_micros(c) / F.lit(1_000_000)).cast("long"))
+    return F.timestamp_seconds(F.floor((F.unix_micros(c) + 500_000) / F.lit(1_000_000)).cast("long"))
 
 
 def run_time(value: str) -> Column:

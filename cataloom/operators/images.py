@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 import os
 
 import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cataloom.functions.paths import image_path, static_url
-from cataloom.operators.joins import lookup, only_keys
+from cataloom.functions.paths import image_path, path_join, static_url
+from cataloom.functions.times import run_time
+from cataloom.operators.joins import lookup, measured, only_keys
 from cataloom.operators.sequence import number_within
 from cataloom.schema import conform
+from cataloom.sources.inventory import probe_missing
 
 
 def max_sort(images: DataFrame) -> DataFrame:
@@ -22,22 +23,41 @@ def max_sort(images: DataFrame) -> DataFrame:
 
 
 def image_assign(uploads: DataFrame, images: DataFrame, key: str = "upload_id") -> DataFrame:
-    """Sort number and stored name for every upload of a batch.
+    """Sort number and stored name for every upload of a batch that has a
+    parent id; the others take no number.
 
     One upload gets ``max(sort) + 1`` of its row (1 when the row has no
     image, or only NULL or 0 sorts); several uploads for one row in a batch
     are numbered on in upload order, as sequential calls would. Uploads
     without a file still take a number, with a NULL image."""
-    numbered = number_within(uploads, ["file_list_id"], [key], "_rn")
+    numbered = number_within(uploads.where(F.col("file_list_id").isNotNull()), ["file_list_id"], [key], "_rn")
     # only the image rows of the uploaded-to catalog rows are aggregated
     touched = only_keys(images, uploads, "file_list_id")
-    joined = lookup(numbered, max_sort(touched), "file_list_id", key)
+    joined = lookup(numbered, measured(max_sort(touched)), "file_list_id", key)
     sort = (F.coalesce(F.col("_max_sort"), F.lit(0)) + F.col("_rn")).cast("int")
     return (joined.withColumn("sort", sort)
                   .select(key, "file_list_id", "sort",
                           F.when(F.col("has_file"), image_path("file_list_id", "sort")).alias("image")))
 
 
+def upload_status(uploads: DataFrame, assigned: DataFrame, key: str = "upload_id") -> DataFrame:
+    """Per upload: ``missing_id`` (no parent id, or one that isn't a number:
+    no number, no file, no row), ``no_file`` or ``numbered``."""
+    named = assigned.select(F.col(key).alias("_key"), "sort", "image", F.lit(True).alias("_assigned"))
+    status = (F.when(F.col("file_list_id").isNull(), F.lit("missing_id"))
+               .when(F.col("_assigned").isNull(), F.lit("upload_missing"))
+               .when(F.col("image").isNull(), F.lit("no_file"))
+               .otherwise(F.lit("numbered")))
+    return uploads.join(named, F.col(key) == F.col("_key"), "left").select(key, "file_list_id", status.alias("status"), "sort", "image")
+
+
+def placeable(uploads: DataFrame) -> DataFrame:
+    """Uploads that have no file, or one that is there: a missing file fails
+    its upload before it takes a number, as a failed move did."""
+    asked = probe_missing(uploads.withColumn("_there", F.lit(None).cast("boolean")), "upload_path", "_there")
+    return asked.where(~F.col("has_file") | F.coalesce("_there", F.lit(False))).drop("_there")
+
+
 _PLACED = T.StructType([T.StructField("upload_id", T.LongType()), T.StructField("outcome", T.StringType()),
                         T.StructField("detail", T.StringType())])
 
@@ -80,7 +100,7 @@ def image_commit(images: DataFrame, assigned: DataFrame, run_ts: str, key: str =
     """The image table with the assigned uploads appended (ids after the
     current maximum, in upload order)."""
     top = images.agg(F.max("id")).first()[0] or 0
-    ts = F.lit(run_ts).cast("timestamp")
+    ts = run_time(run_ts)
     fresh = (number_within(assigned, [], [key], "_n")
              .withColumn("id", (F.lit(top) + F.col("_n")).cast("int"))
              .withColumn("created_at", ts)
@@ -88,34 +108,70 @@ def image_commit(images: DataFrame, assigned: DataFrame, run_ts: str, key: str =
     return conform(images, "file_image").unionByName(conform(fresh, "file_image"))
 
 
+def _urls(base_url: str):
+    return static_url("image").alias("image_url"), static_url("image", base_url).alias("full_url")
+
+
 def gallery(images: DataFrame, image_inventory: DataFrame, base_url: str) -> DataFrame:
     """Images whose file exists, with the page URL and the absolute URL.
     Rows with a NULL image drop out (they never match)."""
-    present = image_inventory.select("image").distinct()
-    return (images.join(present, "image", "left_semi")
-                  .select("file_list_id", "sort", "image",
-                          static_url("image").alias("image_url"),
-                          static_url("image", base_url).alias("full_url")))
-
-
-def gallery_status(requests: DataFrame, images: DataFrame, image_inventory: DataFrame) -> DataFrame:
+    # a semi join needs no distinct, and a plain side lets a hot image split
+    return (images.join(image_inventory.select("image"), "image", "left_semi")
+                  .select("file_list_id", "sort", "image", *_urls(base_url)))
+
+
+def _asked_images(requests: DataFrame, images: DataFrame, image_inventory: DataFrame | None,
+                  public_root: str | None) -> DataFrame:
+    """Image rows of the requested catalog rows, with ``_present``: from the
+    listing, or asked of the file system for these rows alone."""
+    mine = only_keys(images, requests, "file_list_id")
+    if image_inventory is not None:
+        # written once: a plain side of the join, which can split a hot image
+        present = image_inventory.select("image").distinct().withColumn("_present", F.lit(True)).checkpoint()
+        # image rows without a file (NULL image) are spread by their row id
+        return lookup(mine, present, "image", "id")
+    paths = mine.withColumn("_present", F.lit(None).cast("boolean")).withColumn(
+        "_path", F.when(F.col("image").isNotNull(), path_join(F.lit(public_root), "image", style="posix")))
+    return probe_missing(paths, "_path", "_present").drop("_path")
+
+
+def _status(n_rows, n_present):
+    return (F.when(n_rows == 0, F.lit("no_image_rows"))
+             .when(n_present == 0, F.lit("no_image_files"))
+             .otherwise(F.lit("ok")))
+
+
+def gallery_status(requests: DataFrame, images: DataFrame, image_inventory: DataFrame | None,
+                   public_root: str | None = None) -> DataFrame:
     """Per requested catalog row: how many image rows it has, how many of
     them exist, and the outcome (``no_image_rows``, ``no_image_files`` or
     ``ok``). Counts only, so a row with millions of images stays cheap; the
-    image list itself is the flat ``gallery`` output, ordered by the caller."""
-    present = image_inventory.select("image").distinct().withColumn("_present", F.lit(1))
-    # image rows without a file (NULL image) are spread by their row id
-    per_row = (lookup(images, present, "image", "id")
-                     .groupBy("file_list_id")
-                     .agg(F.count(F.lit(1)).alias("n_rows"), F.count("_present").alias("n_present")))
+    image list itself is ``gallery_for_ids``, ordered by the caller."""
+    per_row = (_asked_images(requests, images, image_inventory, public_root)
+               .groupBy(F.col("file_list_id").alias("_row"))
+               .agg(F.count(F.lit(1)).alias("n_rows"), F.count("_present").alias("n_present")))
     asked = requests.select("file_list_id").distinct()
-    out = asked.join(per_row, "file_list_id", "left")
+    out = asked.join(per_row, F.col("file_list_id") == F.col("_row"), "left")
     n_rows = F.coalesce(F.col("n_rows"), F.lit(0))
     n_present = F.coalesce(F.col("n_present"), F.lit(0))
-    status = (F.when(n_rows == 0, F.lit("no_image_rows"))
-               .when(n_present == 0, F.lit("no_image_files"))
-               .otherwise(F.lit("ok")))
-    return out.select("file_list_id", n_rows.alias("n_rows"), n_present.alias("n_present"), status.alias("status"))
+    return out.select("file_list_id", n_rows.alias("n_rows"), n_present.alias("n_present"), _status(n_rows, n_present).alias("status"))
+
+
+def gallery_for_ids(requests: DataFrame, images: DataFrame, image_inventory: DataFrame | None, base_url: str,
+                    public_root: str | None = None) -> DataFrame:
+    """The galleries of the requested catalog rows: one row for each existing
+    image of an ``ok`` row, and one without an image for the others. Without
+    a listing, only the files of the requested rows are asked for."""
+    mine = _asked_images(requests, images, image_inventory, public_root).checkpoint()
+    per_row = measured(mine.groupBy(F.col("file_list_id").alias("_row"))
+                       .agg(F.count(F.lit(1)).alias("n_rows"), F.count("_present").alias("n_present")))
+    asked = requests.select("file_list_id").distinct().join(per_row, F.col("file_list_id") == F.col("_row"), "left")
+    none = F.lit(None).cast("string")
+    empty = (asked.where(F.coalesce("n_present", F.lit(0)) == 0)
+             .select("file_list_id", _status(F.coalesce("n_rows", F.lit(0)), F.lit(0)).alias("status"),
+                     F.lit(None).cast("int").alias("sort"), none.alias("image"), none.alias("image_url"), none.alias("full_url")))
+    shown = mine.where("_present").select("file_list_id", F.lit("ok").alias("status"), "sort", "image", *_urls(base_url))
+    return shown.unionByName(empty)
 
 
 def catalog_images(catalog: DataFrame, images: DataFrame) -> DataFrame:

@@ -11,8 +11,9 @@ pass over the input.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cataloom.session import ensure_checkpoint_dir
@@ -45,6 +46,24 @@ def lookup(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFram
     return l.join(r, F.col(_LK) == F.col(_RK), "left").drop(_LK, _RK)
 
 
+_open_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession):
+    """Tables that ``measured`` writes inside are deleted at the end: for a
+    job whose results are written tables of their own."""
+    made: list[str] = []
+    _open_scopes.append(made)
+    try:
+        yield
+    finally:
+        _open_scopes.remove(made)
+        for path in made:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def measured(df: DataFrame) -> DataFrame:
     """Write a request-sized table to the shared checkpoint folder and read
     it back. The planner then sizes it from its files: it is broadcast only
@@ -53,6 +72,8 @@ def measured(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _open_scopes:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.functions.text import DEFAULT_COLLATION, blank, contains_term
+from cataloom.functions.text import INSENSITIVE, blank, contains_term
 from cataloom.schema import all_of
 
 SEARCH_FIELDS = ("name", "class", "prompt", "file_name")
@@ -13,7 +13,7 @@ SEARCH_FIELDS = ("name", "class", "prompt", "file_name")
 
 def search(catalog: DataFrame, name: str | None = None, class_: str | None = None,
            prompt: str | None = None, file_name: str | None = None,
-           collation: str = DEFAULT_COLLATION) -> DataFrame:
+           collation: str = INSENSITIVE) -> DataFrame:
     """All catalog columns plus the constant ``img_exist`` = 1, for rows
     whose fields contain every non-blank term. A blank term adds nothing,
     yet the untrimmed term is what gets matched; ``%`` and ``_`` typed by
@@ -42,11 +42,7 @@ def distinct_first(df: DataFrame, keys: list[str], order: str, out: str = "first
     return df.groupBy(*keys).agg(F.min(order).alias(out))
 
 
-def ordered_distinct(values) -> F.Column:
-    """Ordered distinct of an array column (first occurrence kept)."""
-    return F.array_distinct(values if not isinstance(values, str) else F.col(values))
-
-
 def as_json_rows(df: DataFrame) -> DataFrame:
-    """Rows as JSON objects, one per row, the way the API answered."""
-    return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("json"))
+    """Rows as JSON objects, one per row, the way the API answered: every
+    column is there, NULL ones as ``null``."""
+    return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"}).alias("json"))

@@ -12,15 +12,18 @@ from __future__ import annotations
 
 import errno
 import os
+import shutil
 import uuid
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cataloom.functions.paths import replace_first
+from cataloom.functions.times import run_time
 from cataloom.operators.joins import lookup, measured, only_keys
+from cataloom.schema import LENGTH_LIMITS
 from cataloom.sources.inventory import probe_missing
 
 _FOUND = "_found"
@@ -51,7 +54,8 @@ def convert_plan(requests: DataFrame, catalog: DataFrame, existing: DataFrame |
     ``missing_id`` (no id or 0), ``not_found`` (unknown id),
     ``target_exists`` (checked before the source; also every later request
     for a target an earlier request of the batch copies), ``source_missing``,
-    else ``converted``. The target is the path with the first occurrence of
+    ``rejected`` (the table can't hold the target's path), else ``converted``.
+    The target is the path with the first occurrence of
     ``old_root`` replaced by ``new_root``.
 
     ``existing`` holds the paths known to exist (an inventory of both
@@ -61,13 +65,15 @@ def convert_plan(requests: DataFrame, catalog: DataFrame, existing: DataFrame |
     follows the number of requested catalog rows, not the size of the trees."""
     # existence depends on the catalog row only: look it up once per
     # requested row (a few), not once per request (many), then join
-    rows = only_keys(catalog, requests, "id").select("id", "origin_path")
+    rows = only_keys(catalog, requests, "id").select("id", "name", "origin_path")
     rows = rows.withColumn("new_path", replace_first("origin_path", old_root, new_root))
     if existing is None:
         probe = True
         rows = rows.withColumn("_t", F.lit(None).cast("boolean")).withColumn("_s", F.lit(None).cast("boolean"))
     else:
-        paths = existing.select(F.col("path")).distinct()
+        # written once: a plain side of both joins, so that adaptive execution
+        # can split a path that very many requested rows share
+        paths = existing.select(F.col("path")).distinct().checkpoint()
         rows = rows.join(paths.select(F.col("path").alias("new_path"), F.lit(True).alias("_t")), "new_path", "left")
         rows = rows.join(paths.select(F.col("path").alias("origin_path"), F.lit(True).alias("_s")), "origin_path", "left")
     if probe:
@@ -81,63 +87,60 @@ def convert_plan(requests: DataFrame, catalog: DataFrame, existing: DataFrame |
             .when(F.col(_FOUND).isNull(), F.lit("not_found"))
             .when(F.col("_t").isNotNull(), F.lit("target_exists"))
             .when(F.col("_s").isNull(), F.lit("source_missing"))
+            .when(F.length("new_path") > LENGTH_LIMITS["file_list"]["target_path"], F.lit("rejected"))
             .otherwise(F.lit("ok")))
     r = _first_per(r.withColumn("_pre", pre), "new_path", order, F.col("_pre") == "ok")
     status = (F.when(F.col("_pre") != "ok", F.col("_pre"))
                .when(F.col("_winner").isNotNull(), F.lit("converted"))
                .otherwise(F.lit("target_exists")))
-    return r.select(order, "id", status.alias("status"), "origin_path", "new_path")
+    return r.select(order, "id", status.alias("status"), "name", "origin_path", "new_path")
 
 
-def clear_plan(requests: DataFrame, catalog: DataFrame, order: str | None = None) -> DataFrame:
+def clear_plan(requests: DataFrame, catalog: DataFrame, order: str = "req_id") -> DataFrame:
     """Status per clear request: ``missing_id``, ``not_found``,
-    ``already_clear`` (target NULL or empty; the row stays as it is) or
-    ``cleared``. With an ``order`` column, later requests for an id an
-    earlier request clears see it already clear. ``new_target_path`` is the
-    value after the request: NULL when cleared, else unchanged."""
-    spread = order if order is not None else "_clear_row"
-    if order is None:
-        requests = requests.withColumn(spread, F.monotonically_increasing_id())
-    r = _lookup(requests, catalog, ["target_path"], spread)
+    ``already_clear`` (target NULL or empty, the row stays as it is; also a
+    later request, by the unique ``order``, for an id that an earlier one
+    clears) or ``cleared``. ``new_target_path`` is the value after the
+    request: NULL when cleared, else unchanged."""
+    r = _lookup(requests, catalog, ["target_path"], order)
     pre = (F.when(F.col("id").isNull() | (F.col("id") == 0), F.lit("missing_id"))
             .when(F.col(_FOUND).isNull(), F.lit("not_found"))
             .when(F.coalesce(F.col("target_path"), F.lit("")) == "", F.lit("already_clear"))
             .otherwise(F.lit("cleared")))
-    r = r.withColumn("status", pre)
-    if order is not None:
-        r = _first_per(r, "id", order, F.col("status") == "cleared")
-        r = r.withColumn("status", F.when((F.col("status") == "cleared") & F.col("_winner").isNull(),
-                                          F.lit("already_clear")).otherwise(F.col("status")))
-    new_target = F.when(F.col("status") == "cleared", F.lit(None).cast("string")).otherwise(F.col("target_path"))
-    keep = [order] if order is not None else []
-    return r.select(*keep, "id", "status", "target_path", new_target.alias("new_target_path"))
+    r = _first_per(r.withColumn("status", pre), "id", order, F.col("status") == "cleared")
+    status = F.when((F.col("status") == "cleared") & F.col("_winner").isNull(), F.lit("already_clear")).otherwise(F.col("status"))
+    new_target = F.when(status == "cleared", F.lit(None).cast("string")).otherwise(F.col("target_path"))
+    return r.select(order, "id", status.alias("status"), "target_path", new_target.alias("new_target_path"))
 
 
 # --------------------------------------------------------------------------
 # execution on the executors
 
-_OUTCOME = T.StructType([T.StructField("row_key", T.LongType()), T.StructField("outcome", T.StringType()),
-                         T.StructField("detail", T.StringType())])
-
-
 def _copy_errno(err: OSError) -> str:
     return {errno.ENOENT: "source_missing", errno.EACCES: "no_permission", errno.EPERM: "no_permission",
             errno.ENOSPC: "disk_full"}.get(err.errno, "failed")
 
 
+def _own_copy(dst: str, *names: str) -> str | None:
+    """The name under which this run made ``dst``, if it did."""
+    return next((n for n in names if os.path.exists(n) and os.path.samefile(dst, n)), None)
+
+
 def _copy_one(src: str, dst: str, token: str) -> tuple[str, str | None]:
     """Copy without ever overwriting: write a temp file next to the target,
     hard-link it into place (fails if the target appeared meanwhile) and keep
     the temp name as this run's marker. A retried task that finds the target
-    to be its own marker's file reports the copy again instead of a clash."""
-    import shutil
+    to be this run's own file, under the marker's or still under the temp
+    file's name, reports the copy again instead of a clash."""
     marker = f"{dst}.{token}.done"
     tmp = f"{dst}.{token}.part"
     try:
         if os.path.lexists(dst):
-            if os.path.exists(marker) and os.path.samefile(dst, marker):
-                return "converted", "retry"
-            return "target_exists", None
+            own = _own_copy(dst, marker, tmp)
+            if own is None:
+                return "target_exists", None
+            os.replace(own, marker)
+            return "converted", "retry"
         os.makedirs(os.path.dirname(dst) or ".", exist_ok=True)
         shutil.copyfile(src, tmp)
         try:
@@ -151,76 +154,70 @@ def _copy_one(src: str, dst: str, token: str) -> tuple[str, str | None]:
         # a copy that failed half-way leaves no partial file behind
         if os.path.exists(tmp):
             os.unlink(tmp)
-        return _copy_errno(err), str(err)
+        return {errno.ENOENT: "source_missing", errno.EACCES: "no_permission", errno.EPERM: "no_permission",
+                errno.ENOSPC: "disk_full"}.get(err.errno, "failed"), str(err)
 
 
-def _copier(token: str):
-    def run(batches):
-        for pdf in batches:
-            res = [_copy_one(s, d, token) for s, d in zip(pdf["origin_path"], pdf["new_path"])]
-            yield pd.DataFrame({"row_key": pdf["row_key"].astype("int64"),
-                                "outcome": [r[0] for r in res], "detail": [r[1] for r in res]})
-    return run
+def _delete_one(path: str) -> tuple[str, str | None]:
+    try:
+        if not os.path.lexists(path):
+            return "absent", None
+        os.unlink(path)
+        return "deleted", None
+    except OSError as err:
+        return "delete_failed", str(err)
+
+
+def _sweep_one(dst: str, token: str) -> None:
+    for end in ("done", "part"):
+        try:
+            os.unlink(f"{dst}.{token}.{end}")
+        except FileNotFoundError:
+            pass
 
 
-def _marker_sweeper(token: str):
+def _execute(plan: DataFrame, allowed: str, action, cols: list[str], out_path: str) -> DataFrame:
+    """Run ``action`` on ``cols`` of the rows with status ``allowed`` and
+    write every plan row with its ``outcome`` and ``detail`` to ``out_path``
+    once; read that back. Each row carries its own outcome: no key is joined."""
     def run(batches):
-        for pdf in batches:
-            for dst in pdf["new_path"]:
-                try:
-                    os.unlink(f"{dst}.{token}.done")
-                except FileNotFoundError:
-                    pass
-            yield pdf[["row_key"]].assign(outcome="swept", detail=None)
-    return run
-
-
-def _run_deletes(batches):
-    for pdf in batches:
-        out = []
-        for path in pdf["target_path"]:
-            try:
-                if os.path.lexists(path):
-                    os.unlink(path)
-                    out.append(("deleted", None))
-                else:
-                    out.append(("absent", None))
-            except OSError as err:
-                out.append(("delete_failed", str(err)))
-        yield pd.DataFrame({"row_key": pdf["row_key"].astype("int64"),
-                            "outcome": [o[0] for o in out], "detail": [o[1] for o in out]})
-
-
-def _execute(plan: DataFrame, allowed: str, runner, key: str, cols: list[str], out_path: str) -> DataFrame:
-    """Run ``runner`` over the rows with status ``allowed`` and write every
-    plan row with its outcome to ``out_path`` once; read that back."""
+        for batch in batches:
+            rows = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ["status", *cols]))
+            done = [action(*values) if status == allowed else (None, None) for status, *values in rows]
+            said = [pa.array([d[k] for d in done], pa.string()) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *said], names=[*batch.schema.names, "outcome", "detail"])
+
     spark = plan.sparkSession
     # one evaluation of the plan drives the file operations and the report
     plan = plan.checkpoint()
-    todo = plan.where(F.col("status") == allowed).select(F.col(key).cast("long").alias("row_key"), *cols)
-    outcomes = todo.mapInPandas(runner, _OUTCOME)
-    joined = (plan.join(outcomes, plan[key].cast("long") == outcomes["row_key"], "left")
-                  .drop("row_key"))
-    joined.write.mode("errorifexists").parquet(out_path)
+    schema = T.StructType([*plan.schema.fields, T.StructField("outcome", T.StringType()), T.StructField("detail", T.StringType())])
+    plan.mapInArrow(run, schema).write.mode("errorifexists").parquet(out_path)
     return spark.read.parquet(out_path)
 
 
-def convert_execute(plan: DataFrame, out_path: str, order: str = "req_id") -> DataFrame:
+def convert_execute(plan: DataFrame, out_path: str) -> DataFrame:
     """Copy the files of the ``converted`` rows; ``outcome`` is the copy's
     own result (``converted``, ``target_exists``, ``source_missing``,
     ``no_permission``, ``disk_full`` or ``failed``). Once the outcomes are
     written, the run's retry markers are removed."""
     token = uuid.uuid4().hex
-    written = _execute(plan, "converted", _copier(token), order, ["origin_path", "new_path"], out_path)
-    made = written.where(F.col("outcome") == "converted").select(F.col(order).cast("long").alias("row_key"), "new_path")
-    made.mapInPandas(_marker_sweeper(token), _OUTCOME).write.format("noop").mode("overwrite").save()
+    written = _execute(plan, "converted", lambda src, dst: _copy_one(src, dst, token), ["origin_path", "new_path"], out_path)
+
+    def sweep(batches):
+        for batch in batches:
+            for dst in batch.column(0).to_pylist():
+                _sweep_one(dst, token)
+            yield batch
+
+    tried = written.where(F.col("outcome").isNotNull()).select("new_path")
+    tried.mapInArrow(sweep, tried.schema).write.format("noop").mode("overwrite").save()
     return written
 
 
-def clear_execute(plan: DataFrame, out_path: str, key: str = "id") -> DataFrame:
+def clear_execute(plan: DataFrame, out_path: str) -> DataFrame:
     """Delete the copies of the ``cleared`` rows: ``deleted``, ``absent`` or
     ``delete_failed`` (the row is cleared all the same, as in the reference)."""
-    return _execute(plan, "cleared", _run_deletes, key, ["target_path"], out_path)
+    return _execute(plan, "cleared", _delete_one, ["target_path"], out_path)
 
 
 def convert_commit(catalog: DataFrame, results: DataFrame, run_ts: str, outcome_col: str = "status") -> DataFrame:
@@ -231,15 +228,15 @@ def convert_commit(catalog: DataFrame, results: DataFrame, run_ts: str, outcome_
     joined = catalog.join(done, "id", "left")
     hit = F.col("_new_path").isNotNull()
     changed = {"target_path": F.when(hit, F.col("_new_path")).otherwise(F.col("target_path")),
-               "updated_at": F.when(hit, F.lit(run_ts).cast("timestamp")).otherwise(F.col("updated_at"))}
+               "updated_at": F.when(hit, run_time(run_ts)).otherwise(F.col("updated_at"))}
     return joined.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in catalog.columns])
 
 
 def clear_commit(catalog: DataFrame, plan: DataFrame) -> DataFrame:
-    """Catalog with ``target_path`` NULL for every cleared id; ``updated_at``
-    is left alone, as the reference leaves it."""
-    done = measured(plan.where(F.col("status") == "cleared").select("id").distinct()
-                        .withColumn("_cleared", F.lit(True)))
+    """Catalog with ``target_path`` NULL for every cleared id that still has
+    the path that was cleared; ``updated_at`` is left alone, as the reference
+    leaves it."""
+    done = measured(plan.where(F.col("status") == "cleared").groupBy("id").agg(F.min("target_path").alias("_cleared")))
     joined = catalog.join(done, "id", "left")
-    target = F.when(F.col("_cleared").isNotNull(), F.lit(None).cast("string")).otherwise(F.col("target_path"))
+    target = F.when(F.col("_cleared") == F.col("target_path"), F.lit(None).cast("string")).otherwise(F.col("target_path"))
     return joined.select(*[target.alias(c) if c == "target_path" else F.col(c) for c in catalog.columns])

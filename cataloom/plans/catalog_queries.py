@@ -93,12 +93,13 @@ def table_scan(spark, d):
 
 
 @register("search_json", """
-select to_json(struct_pack(id := id, name := name, class := class, file_name := file_name, img_exist := 1)) as json
+select to_json(struct_pack(id := id, name := name, class := class, file_name := file_name, target_path := target_path,
+                           updated_at := updated_at, img_exist := 1)) as json
 from fx_file_list
-where name like '%src1%' and class like '%e%'""")
+where class like '%e%' and file_name like '%7%'""")
 def search_json(spark, d):
-    found = se.search(fx.fx_file_list(spark, d), name="src1", class_="e", collation="binary")
-    return se.as_json_rows(found.select("id", "name", "class", "file_name", "img_exist"))
+    found = se.search(fx.fx_file_list(spark, d), class_="e", file_name="7", collation="binary")
+    return se.as_json_rows(found.select("id", "name", "class", "file_name", "target_path", "updated_at", "img_exist"))
 
 
 @register("schema_rejects", """
@@ -179,19 +180,20 @@ def sync_next_catalog(spark, d):
 # ---------------------------------------------------------------- convert / clear
 
 _CONVERT_SQL = """
-select req_id, id,
+select req_id, id, name,
        case when pre = 'ok' and row_number() over (partition by new_path, pre order by req_id) > 1 then 'target_exists'
             when pre = 'ok' then 'converted'
             else pre end as status,
        new_path
-from (select r.req_id, r.id, f.new_path,
+from (select r.req_id, r.id, f.name, f.new_path,
              case when r.id is null or r.id = 0 then 'missing_id'
                   when f.id is null then 'not_found'
                   when t.path is not null then 'target_exists'
                   when s.path is null then 'source_missing'
+                  when length(f.new_path) > 255 then 'rejected'
                   else 'ok' end as pre
       from fx_convert_requests r
-      left join (select id, origin_path,
+      left join (select id, name, origin_path,
                         replace(origin_path, concat('D:', chr(92), 'ttt', chr(92), 'file_path'),
                                 concat('D:', chr(92), 'ttt', chr(92), 'file_new_path')) as new_path
                  from fx_file_list) f on f.id = r.id
@@ -206,7 +208,7 @@ def _convert(spark, d):
 
 @register("convert_plan", _CONVERT_SQL)
 def convert_plan(spark, d):
-    return _convert(spark, d).select("req_id", "id", "status", "new_path")
+    return _convert(spark, d).select("req_id", "id", "name", "status", "new_path")
 
 
 @register("convert_commit", f"""
@@ -225,7 +227,7 @@ select f.id,
        case when f.target_path = '' then f.target_path else cast(null as varchar) end as target_path
 from fx_file_list f join fx_clear_requests r on r.id = f.id""")
 def clear_targets(spark, d):
-    plan = tr.clear_plan(fx.fx_clear_requests(spark, d), fx.fx_file_list(spark, d))
+    plan = tr.clear_plan(fx.fx_clear_requests(spark, d), fx.fx_file_list(spark, d), "req_id")
     return plan.select("id", "status", F.col("new_target_path").alias("target_path"))
 
 
@@ -237,7 +239,7 @@ select f.id,
 from fx_file_list f left join (select distinct id from fx_clear_requests) r on r.id = f.id""")
 def clear_commit(spark, d):
     f = fx.fx_file_list(spark, d)
-    plan = tr.clear_plan(fx.fx_clear_requests(spark, d), f)
+    plan = tr.clear_plan(fx.fx_clear_requests(spark, d), f, "req_id")
     return tr.clear_commit(f, plan).select("id", "target_path", "updated_at")
 
 # ---------------------------------------------------------------- edits
@@ -251,7 +253,8 @@ select f.id,
 from fx_file_list f
 left join (select * from (select id, name, class_name, prompt,
                                  row_number() over (partition by id order by req_id desc) as rn
-                          from fx_edits) y where rn = 1) e on e.id = f.id""")
+                          from fx_edits where not coalesce(length(name) > 50 or length(class_name) > 50 or length(prompt) > 255, false)) y
+           where rn = 1) e on e.id = f.id""")
 def apply_edits(spark, d):
     out = ed.apply_edits(fx.fx_file_list(spark, d), fx.fx_edits(spark, d), RUN_TS)
     return out.select("id", "name", "class", "prompt", "updated_at")
@@ -261,9 +264,11 @@ def apply_edits(spark, d):
 select e.req_id, e.id,
        case when e.id is null then 'missing_id'
             when f.id is null then 'not_found'
-            when e.req_id = (select max(req_id) from fx_edits e2 where e2.id = e.id) then 'applied'
+            when e.refused then 'rejected'
+            when e.req_id = max(case when not e.refused then e.req_id end) over (partition by e.id) then 'applied'
             else 'superseded' end as status
-from fx_edits e left join fx_file_list f on f.id = e.id""")
+from (select *, coalesce(length(name) > 50 or length(class_name) > 50 or length(prompt) > 255, false) as refused from fx_edits) e
+left join fx_file_list f on f.id = e.id""")
 def edit_report(spark, d):
     return ed.edit_report(fx.fx_file_list(spark, d), fx.fx_edits(spark, d))
 
@@ -276,7 +281,8 @@ from (select u.upload_id, u.file_list_id, u.has_file,
              cast(coalesce(m.mx, 0) + row_number() over (partition by u.file_list_id order by u.upload_id) as int) as sort
       from fx_uploads u
       left join (select file_list_id, max(sort) as mx from fx_file_image group by file_list_id) m
-        on m.file_list_id = u.file_list_id) x""")
+        on m.file_list_id = u.file_list_id
+      where u.file_list_id is not null) x""")
 def image_assign(spark, d):
     return im.image_assign(fx.fx_uploads(spark, d), fx.fx_file_image(spark, d))
 
@@ -289,7 +295,8 @@ def image_assign(spark, d):
            cast(coalesce(m.mx, 0) + row_number() over (partition by u.file_list_id order by u.upload_id) as int) as sort
     from fx_uploads u
     left join (select file_list_id, max(sort) as mx from fx_file_image group by file_list_id) m
-      on m.file_list_id = u.file_list_id)
+      on m.file_list_id = u.file_list_id
+    where u.file_list_id is not null)
 select id, file_list_id, image, sort, cast(null as timestamp) as created_at from fx_file_image
 union all
 select cast((select max(id) from fx_file_image) + row_number() over (order by upload_id) as int) as id,
@@ -297,11 +304,44 @@ select cast((select max(id) from fx_file_image) + row_number() over (order by up
 from assigned""")
 def image_commit(spark, d):
     images = fx.fx_file_image(spark, d)
-    assigned = im.image_assign(fx.fx_uploads(spark, d), images)
+    # written once: the second numbering reads it for its bounds and its rows
+    assigned = im.image_assign(fx.fx_uploads(spark, d), images).checkpoint()
     out = im.image_commit(images, assigned, RUN_TS)
     return out.select("id", "file_list_id", "image", "sort", "created_at")
 
 
+@register("upload_status", """
+select u.upload_id, u.file_list_id,
+       case when u.file_list_id is null then 'missing_id' when not u.has_file then 'no_file' else 'numbered' end as status,
+       case when u.file_list_id is not null then s.sort end as sort,
+       case when u.file_list_id is not null and u.has_file then printf('/images/img%d_%03d.png', u.file_list_id, s.sort) end as image
+from fx_uploads u
+join (select v.upload_id, cast(coalesce(m.mx, 0) + row_number() over (partition by v.file_list_id order by v.upload_id) as int) as sort
+      from fx_uploads v
+      left join (select file_list_id, max(sort) as mx from fx_file_image group by file_list_id) m
+        on m.file_list_id = v.file_list_id) s on s.upload_id = u.upload_id""")
+def upload_status(spark, d):
+    uploads = fx.fx_uploads(spark, d)
+    return im.upload_status(uploads, im.image_assign(uploads, fx.fx_file_image(spark, d)))
+
+
+@register("gallery_for_ids", f"""
+, found as (select g.file_list_id, g.sort, g.image, i.image is not null as present
+            from fx_file_image g left join (select distinct image from fx_image_inventory) i on i.image = g.image),
+asked as (select distinct file_list_id from fx_uploads),
+counted as (select a.file_list_id, count(f.file_list_id) as n_rows, count(case when f.present then 1 end) as n_present
+            from asked a left join found f on f.file_list_id = a.file_list_id group by a.file_list_id)
+select f.file_list_id, 'ok' as status, f.sort, f.image, concat('/static/', f.image) as image_url,
+       concat('{BASE_URL}', '/static/', f.image) as full_url
+from found f semi join asked a on a.file_list_id = f.file_list_id where f.present
+union all
+select file_list_id, case when n_rows = 0 then 'no_image_rows' else 'no_image_files' end,
+       cast(null as int), cast(null as varchar), cast(null as varchar), cast(null as varchar)
+from counted where n_present = 0""")
+def gallery_for_ids(spark, d):
+    return im.gallery_for_ids(fx.fx_uploads(spark, d), fx.fx_file_image(spark, d), fx.fx_image_inventory(spark, d), BASE_URL)
+
+
 @register("image_gallery", f"""
 select g.file_list_id, g.sort, g.image, concat('/static/', g.image) as image_url,
        concat('{BASE_URL}', '/static/', g.image) as full_url

@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,14 +20,15 @@ from cataloom.operators import edits as ed
 from cataloom.operators import images as im
 from cataloom.operators import sync as sy
 from cataloom.operators import transfer as tr
+from cataloom.operators.joins import scratch_tables
 from cataloom.session import ensure_checkpoint_dir
 from cataloom.sources.inventory import walk
-from cataloom.sources.store import SnapshotStore
+from cataloom.sources.store import SnapshotConflict, SnapshotStore
 
 
 def now_run_ts() -> str:
-    """One time per run, whole seconds, UTC."""
-    return dt.datetime.now(dt.timezone.utc).replace(microsecond=0).strftime("%Y-%m-%d %H:%M:%S")
+    """One time per run, UTC; tables store it rounded to whole seconds."""
+    return dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
 
 
 @dataclass
@@ -47,79 +49,134 @@ class Catalog:
         return os.path.join(self.root, "runs", f"{kind}-from-v{version}-{uuid.uuid4().hex[:12]}")
 
 
+def _publish(spark: SparkSession, store: SnapshotStore, change: Callable[[DataFrame], DataFrame], tries: int = 5) -> int:
+    """Publish ``change`` of the current snapshot. When another writer was
+    faster, the change is made again from the newer snapshot: ``change`` reads
+    written outcomes only, so files already copied or moved are recorded."""
+    for left in range(tries - 1, -1, -1):
+        version = store.current()
+        try:
+            with scratch_tables(spark):
+                return store.publish(change(store.read(spark, version)), version)
+        except SnapshotConflict:
+            if not left:
+                raise
+    raise AssertionError("unreachable")
+
+
 def sync_job(spark: SparkSession, catalog: Catalog, roots: list[str], run_ts: str | None = None,
              style: str = "posix") -> dict:
-    """Walk the folders, publish the reconciled catalog, return the stats."""
+    """Walk the folders, publish the reconciled catalog, return the stats.
+
+    Catalogued files that the walk didn't list (other roots, links) are asked
+    for on the executors. Files that break a limit of the table are reported
+    under ``runs`` (origin_path, reason) and counted in ``refused_files``. A
+    folder that can't be listed stops the job; nothing is published."""
     ensure_checkpoint_dir(spark)
     run_ts = run_ts or now_run_ts()
     version = catalog.files.current()
     current = catalog.files.read(spark, version)
-    inventory = walk(spark, roots).checkpoint()  # one listing feeds stats and snapshot
-    nxt, stats = sy.sync(current, inventory, run_ts, style)
-    before = stats.first().asDict()
+    inventory = walk(spark, roots)
+    nxt, stats, refused = sy.sync(current, inventory, run_ts, style, probe=True)
+    report = catalog.run_dir("sync", version)
+    refused.write.mode("errorifexists").parquet(report)
+    out = stats.first().asDict()
     catalog.files.publish(nxt, version)
-    return before
+    return out | {"refused_files": spark.read.parquet(report).select("origin_path").distinct().count()}
 
 
 def convert_job(spark: SparkSession, catalog: Catalog, requests: DataFrame, old_root: str, new_root: str,
                 run_ts: str | None = None, existing: DataFrame | None = None) -> DataFrame:
     """Copy the requested files to the parallel root and record the copies."""
     ensure_checkpoint_dir(spark)
-    run_ts = run_ts or now_run_ts()
-    version = catalog.files.current()
-    current = catalog.files.read(spark, version)
-    plan = tr.convert_plan(requests, current, existing, old_root, new_root, probe=True)
-    results = tr.convert_execute(plan, catalog.run_dir("convert", version))
-    catalog.files.publish(tr.convert_commit(current, results, run_ts, outcome_col="outcome"), version)
+    out_path = catalog.run_dir("convert", catalog.files.current())
+    with scratch_tables(spark):
+        plan = tr.convert_plan(requests, catalog.files.read(spark), existing, old_root, new_root, probe=True)
+        tr.convert_execute(plan, out_path)
+    return convert_record(spark, catalog, out_path, run_ts)
+
+
+def convert_record(spark: SparkSession, catalog: Catalog, out_path: str, run_ts: str | None = None) -> DataFrame:
+    """Record the written outcomes of a convert run, for instance of one that
+    died after copying. Recording them twice changes nothing but the time."""
+    results, run_ts = spark.read.parquet(out_path), run_ts or now_run_ts()
+    _publish(spark, catalog.files, lambda current: tr.convert_commit(current, results, run_ts, outcome_col="outcome"))
     return results
 
 
-def clear_job(spark: SparkSession, catalog: Catalog, requests: DataFrame, order: str | None = "req_id") -> DataFrame:
+def clear_job(spark: SparkSession, catalog: Catalog, requests: DataFrame, order: str = "req_id") -> DataFrame:
     """Delete the copies of the requested rows and clear their target paths."""
     ensure_checkpoint_dir(spark)
-    version = catalog.files.current()
-    current = catalog.files.read(spark, version)
-    plan = tr.clear_plan(requests, current, order)
-    key = order or "id"
-    results = tr.clear_execute(plan, catalog.run_dir("clear", version), key=key)
-    cleared = results.where(F.col("status") == "cleared").select("id", "status")
-    catalog.files.publish(tr.clear_commit(current, cleared), version)
+    out_path = catalog.run_dir("clear", catalog.files.current())
+    with scratch_tables(spark):
+        tr.clear_execute(tr.clear_plan(requests, catalog.files.read(spark), order), out_path)
+    return clear_record(spark, catalog, out_path)
+
+
+def clear_record(spark: SparkSession, catalog: Catalog, out_path: str) -> DataFrame:
+    """Record the written outcomes of a clear run; a row that has a new copy
+    since then keeps it."""
+    results = spark.read.parquet(out_path)
+    _publish(spark, catalog.files, lambda current: tr.clear_commit(current, results))
     return results
 
 
-def edit_job(spark: SparkSession, catalog: Catalog, edits: DataFrame, run_ts: str | None = None,
-             notes: dict | None = None) -> DataFrame:
+def edit_job(spark: SparkSession, catalog: Catalog, edits: DataFrame, run_ts: str | None = None) -> DataFrame:
     """Apply a batch of edits; the report is written before publishing."""
+    ensure_checkpoint_dir(spark)
     run_ts = run_ts or now_run_ts()
-    version = catalog.files.current()
-    current = catalog.files.read(spark, version)
-    report_path = catalog.run_dir("edit", version)
-    ed.edit_report(current, edits).write.mode("errorifexists").parquet(report_path)
-    catalog.files.publish(ed.apply_edits(current, edits, run_ts), version, notes)
+    report_path = catalog.run_dir("edit", catalog.files.current())
+    with scratch_tables(spark):
+        ed.edit_report(catalog.files.read(spark), edits).write.mode("errorifexists").parquet(report_path)
+    _publish(spark, catalog.files, lambda current: ed.apply_edits(current, edits, run_ts))
     return spark.read.parquet(report_path)
 
 
 def image_job(spark: SparkSession, catalog: Catalog, uploads: DataFrame, public_root: str,
               run_ts: str | None = None) -> DataFrame:
-    """Number the uploads, move their files into place, append image rows."""
+    """Number the uploads, move their files into place, then append the rows
+    of those that were placed or have no file. An upload without a parent id,
+    or whose file is not there, takes no number and gets no row. (If a move
+    fails otherwise, its number stays unused: later names are on disk.)"""
     ensure_checkpoint_dir(spark)
-    run_ts = run_ts or now_run_ts()
-    version = catalog.images.current()
-    images = catalog.images.read(spark, version)
-    assigned = im.image_assign(uploads, images).checkpoint()
-    placed = im.image_place(assigned, uploads, public_root, catalog.run_dir("image", version))
-    catalog.images.publish(im.image_commit(images, assigned, run_ts), version)
-    return assigned.join(placed, "upload_id", "left")
+    out_path = catalog.run_dir("image", catalog.images.current())
+    with scratch_tables(spark):
+        uploads = uploads.checkpoint()
+        assigned = im.image_assign(im.placeable(uploads).checkpoint(), catalog.images.read(spark)).checkpoint()
+        placed = im.image_place(assigned, uploads, public_root, f"{out_path}-moves")
+        status = im.upload_status(uploads, assigned).join(placed, "upload_id", "left")
+        status.write.mode("errorifexists").parquet(out_path)
+    return image_record(spark, catalog, out_path, run_ts)
+
+
+def image_record(spark: SparkSession, catalog: Catalog, out_path: str, run_ts: str | None = None) -> DataFrame:
+    """Append the rows of a written image run that the table lacks."""
+    results, run_ts = spark.read.parquet(out_path), run_ts or now_run_ts()
+    done = results.where("outcome = 'placed' or status = 'no_file'")
+
+    def change(images: DataFrame) -> DataFrame:
+        there = images.select(F.col("file_list_id").alias("_row"), F.col("sort").alias("_sort"))
+        fresh = done.join(there, (F.col("file_list_id") == F.col("_row")) & (F.col("sort") == F.col("_sort")), "left_anti")
+        return im.image_commit(images, fresh, run_ts)
+
+    _publish(spark, catalog.images, change)
+    return results
 
 
 def image_inventory(spark: SparkSession, public_root: str) -> DataFrame:
     """Stored image values of the files under the public folder."""
-    root = public_root.rstrip("/")
+    root = os.path.normpath(public_root)
     files = walk(spark, [root])
     return files.select(F.expr(f"substring(origin_path, {len(root) + 1})").alias("image"))
 
 
-def gallery_job(spark: SparkSession, catalog: Catalog, public_root: str, base_url: str) -> DataFrame:
-    """Images that exist, with their URLs (ordered by the caller)."""
+def gallery_job(spark: SparkSession, catalog: Catalog, public_root: str, base_url: str,
+                requests: DataFrame | None = None) -> DataFrame:
+    """Images that exist, with their URLs (ordered by the caller). With
+    ``requests`` (file_list_id) a status for each, and only the files of the
+    requested rows are asked for; else the whole public folder is listed."""
+    ensure_checkpoint_dir(spark)
     images = catalog.images.read(spark)
+    if requests is not None:
+        return im.gallery_for_ids(requests, images, None, base_url, public_root)
     return im.gallery(images, image_inventory(spark, public_root), base_url)

@@ -79,34 +79,46 @@ def fx_image_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.where(F.col("image").isNotNull() & (F.col("sort") % 3 != 2)).select("image")
 
 
+# Requested ids grow with the tables: most are asked for twice, one is hot
+# (about a tenth of the requests), and unknown ones are negative, which no
+# document reaches. The expressions are shared with the oracle's SQL.
+UPLOAD_ROW = """case when page_id % 23 = 0 then null
+     when page_id % 10 = 7 then 5
+     else (page_id - page_id % 3) / 3 + 1 end"""
+CONVERT_ID = """case when doc_id % 17 = 0 then null
+     when doc_id % 19 = 0 then -1 - doc_id
+     when doc_id % 10 = 6 then 3
+     else (doc_id - doc_id % 4) / 2 + doc_id % 2 + 1 end"""
+EDIT_ID = """case when doc_id % 130 = 39 then 27
+     when doc_id % 169 = 26 then -1 - doc_id
+     else doc_id - doc_id % 26 + 1 end"""
+EDIT_PROMPT = "case when doc_id % 39 = 13 then text else concat('prompt of ', source) end"
+
+
 def fx_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _table(spark, sf_dir, "pages")
     return p.select(F.col("page_id").cast("int").alias("upload_id"),
-                    (F.col("page_id") % 140 + 1).cast("int").alias("file_list_id"),
+                    F.expr(f"cast({UPLOAD_ROW} as int)").alias("file_list_id"),
                     (F.col("page_id") % 9 != 4).alias("has_file"))
 
 
 def fx_convert_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _table(spark, sf_dir, "documents")
-    return (d.where(F.col("doc_id") % 3 != 1)
-             .select(F.col("doc_id").cast("int").alias("req_id"),
-                     F.when(F.col("doc_id") % 17 == 0, F.lit(None))
-                      .when(F.col("doc_id") % 19 == 0, F.col("doc_id") + 1000000)
-                      .otherwise(F.col("doc_id") % 600 + 1).cast("int").alias("id")))
+    return d.where(F.col("doc_id") % 3 != 1).select(F.col("doc_id").cast("int").alias("req_id"), F.expr(f"cast({CONVERT_ID} as int)").alias("id"))
 
 
 def fx_clear_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx_file_list(spark, sf_dir).where(F.col("id") % 3 == 0).select("id")
+    return fx_file_list(spark, sf_dir).where(F.col("id") % 3 == 0).select("id", F.col("id").alias("req_id"))
 
 
 def fx_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _table(spark, sf_dir, "documents")
     return (d.where(F.col("doc_id") % 13 == 0)
              .select(F.col("doc_id").cast("int").alias("req_id"),
-                     (F.col("doc_id") % 260 + 1).cast("int").alias("id"),
+                     F.expr(f"cast({EDIT_ID} as int)").alias("id"),
                      F.concat(F.lit("edited_"), F.col("doc_id").cast("string")).alias("name"),
                      F.when(F.col("doc_id") % 26 == 0, F.lit(None).cast("string")).otherwise(F.lit("cls")).alias("class_name"),
-                     F.col("text").alias("prompt")))
+                     F.expr(EDIT_PROMPT).alias("prompt")))
 
 
 # ---------------------------------------------------------------------------
@@ -149,26 +161,24 @@ select cast(conv_id * 10 + turn + 1 as int) as id,
 from conversations""",
     "fx_image_inventory": """
 select image from fx_file_image where image is not null and sort % 3 <> 2""",
-    "fx_uploads": """
+    "fx_uploads": f"""
 select cast(page_id as int) as upload_id,
-       cast(page_id % 140 + 1 as int) as file_list_id,
+       cast({UPLOAD_ROW} as int) as file_list_id,
        page_id % 9 <> 4 as has_file
 from pages""",
-    "fx_convert_requests": """
+    "fx_convert_requests": f"""
 select cast(doc_id as int) as req_id,
-       cast(case when doc_id % 17 = 0 then null
-                 when doc_id % 19 = 0 then doc_id + 1000000
-                 else doc_id % 600 + 1 end as int) as id
+       cast({CONVERT_ID} as int) as id
 from documents
 where doc_id % 3 <> 1""",
     "fx_clear_requests": """
 select id from fx_file_list where id % 3 = 0""",
-    "fx_edits": """
+    "fx_edits": f"""
 select cast(doc_id as int) as req_id,
-       cast(doc_id % 260 + 1 as int) as id,
+       cast({EDIT_ID} as int) as id,
        concat('edited_', cast(doc_id as varchar)) as name,
        case when doc_id % 26 = 0 then null else 'cls' end as class_name,
-       text as prompt
+       {EDIT_PROMPT} as prompt
 from documents
 where doc_id % 13 = 0""",
 }

@@ -32,14 +32,28 @@ def require_root(root: str) -> None:
         raise FileNotFoundError(f"folder to sync does not exist: {root}")
 
 
+class UnreadableFolder(OSError):
+    """A folder below a root could not be listed, so what is there is unknown."""
+
+
+def outermost(roots: list[str]) -> list[str]:
+    """The roots that lie in no other root, so that no file is listed twice."""
+    paths = sorted({os.path.normpath(r) for r in roots})
+    return [p for p in paths if not any(p != q and p.startswith(q.rstrip(os.sep) + os.sep) for q in paths)]
+
+
 def _entries(folder: str):
+    """Entries of a folder; one that vanishes meanwhile is left out alone."""
     with os.scandir(folder) as it:
         for e in it:
-            if e.is_dir(follow_symlinks=False):
-                yield e.path, "dir", None, None
-            elif e.is_file(follow_symlinks=False):
-                st = e.stat(follow_symlinks=False)
-                yield e.path, "file", st.st_size, st.st_mtime
+            try:
+                if e.is_dir(follow_symlinks=False):
+                    yield e.path, "dir", None, None
+                elif e.is_file(follow_symlinks=False):
+                    st = e.stat(follow_symlinks=False)
+                    yield e.path, "file", st.st_size, st.st_mtime
+            except FileNotFoundError:
+                continue
 
 
 def _frame(rows) -> pd.DataFrame:
@@ -47,72 +61,67 @@ def _frame(rows) -> pd.DataFrame:
         {"length": "Int64", "mtime": "float64"})
 
 
-def _list_children(batches):
-    """One level: the direct entries of every folder in the batch."""
-    for pdf in batches:
-        rows = []
-        for folder in pdf["path"]:
-            try:
-                rows.extend(_entries(folder))
-            except OSError:
-                rows.append((folder, "unreadable", None, None))
-        yield _frame(rows)
-
-
-def _walk_subtrees(batches):
-    """Everything below each folder, depth first, emitted in chunks."""
-    for pdf in batches:
-        rows = []
-        for top in pdf["path"]:
-            stack = [top]
+def _walker(budget: int):
+    """Lists the folders of a task and what is below them, depth first, until
+    ``budget`` entries are seen; folders still to be listed are handed on as
+    ``dir`` rows. Rows leave in chunks, also within one large folder."""
+    def run(batches):
+        rows, seen = [], 0
+        for pdf in batches:
+            stack = list(pdf["path"])
             while stack:
+                if seen >= budget:
+                    rows += [(folder, "dir", None, None) for folder in stack]
+                    break
                 folder = stack.pop()
                 try:
                     for entry in _entries(folder):
+                        seen += 1
                         if entry[1] == "dir":
                             stack.append(entry[0])
-                        else:
-                            rows.append(entry)
-                except OSError:
-                    rows.append((folder, "unreadable", None, None))
-                if len(rows) >= _CHUNK:
-                    yield _frame(rows)
-                    rows = []
-        if rows:
-            yield _frame(rows)
-
-
-def walk(spark: SparkSession, roots: list[str], min_folders: int | None = None, max_levels: int = 8) -> DataFrame:
-    """Inventory ``(origin_path, length, mtime)`` of every regular file below
-    ``roots``.
+                            continue
+                        rows.append(entry)
+                        if len(rows) >= _CHUNK:
+                            yield _frame(rows)
+                            rows = []
+                except OSError as err:
+                    rows.append((f"{folder}: {err.strerror}", "unreadable", None, None))
+        yield _frame(rows)
+    return run
 
-    Folders are expanded level by level as a distributed job until there are
-    enough of them to keep every core busy (or the tree ends); the remaining
-    subtrees are then spread over tasks and walked inside them. Each level is
-    checkpointed, so a lost executor never re-lists the levels above it.
-    One very large flat folder is listed by a single task."""
+
+def walk(spark: SparkSession, roots: list[str], budget: int = 50_000) -> DataFrame:
+    """Inventory ``(origin_path, length, mtime)`` of every regular file below
+    ``roots``; roots inside other roots are listed with those.
+
+    Each round lists the open folders as a distributed job; a task goes down
+    into their subtrees for ``budget`` entries and hands the rest on, so deep
+    and large trees spread over all tasks. Each round is checkpointed: a lost
+    executor never re-lists earlier rounds. A very large flat folder is
+    listed by one task, in chunks. A folder that can't be listed stops the
+    walk with ``UnreadableFolder``, as nothing is known about its files."""
+    roots = outermost(roots)
     for root in roots:
         require_root(root)
-    target = min_folders or 4 * spark.sparkContext.defaultParallelism
+    tasks = 4 * spark.sparkContext.defaultParallelism
     frontier = spark.createDataFrame([(r,) for r in roots], "path string")
-    found: list[DataFrame] = []
-    for _ in range(max_levels):
-        listed = frontier.mapInPandas(_list_children, _ENTRY).checkpoint()
-        found.append(listed.where(F.col("kind") == "file"))
+    found, first = None, True
+    while True:
+        # the roots' own entries are few: the first round only opens them
+        listed = frontier.mapInPandas(_walker(1 if first else budget), _ENTRY).checkpoint()
+        unreadable = listed.where(F.col("kind") == "unreadable")
+        bad = [r["path"] for r in unreadable.limit(20).collect()]
+        if bad:
+            raise UnreadableFolder(f"{unreadable.count()} folders can't be listed, such as {'; '.join(bad)}")
+        files = listed.where(F.col("kind") == "file")
+        found = files if found is None else found.unionByName(files)
         frontier = listed.where(F.col("kind") == "dir").select("path")
         n = frontier.count()
-        if n == 0 or n >= target:
+        if not n:
             break
-    else:
-        n = frontier.count()
-    if n:
-        spread = frontier.repartition(min(n, target * 4))
-        found.append(spread.mapInPandas(_walk_subtrees, _ENTRY).where(F.col("kind") == "file"))
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out.select(F.col("path").alias("origin_path"), "length",
-                      F.col("mtime").cast("timestamp").alias("mtime"))
+        frontier, first = frontier.repartition(min(n, tasks)), False
+    return found.select(F.col("path").alias("origin_path"), "length",
+                        F.col("mtime").cast("timestamp").alias("mtime"))
 
 
 @F.pandas_udf(T.BooleanType())

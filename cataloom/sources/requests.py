@@ -22,10 +22,8 @@ _RAW = {
     "edit": [("req_id", T.LongType()), ("id", T.StringType()), ("name", T.StringType()),
              ("class_name", T.StringType()), ("prompt", T.StringType())],
     "image": [("upload_id", T.LongType()), ("file_list_id", T.StringType()), ("upload_path", T.StringType())],
-    "search": [("req_id", T.LongType()), ("name", T.StringType()), ("class", T.StringType()),
-               ("prompt", T.StringType()), ("file_name", T.StringType())],
 }
-_ID_COLUMNS = {"convert": ["id"], "clear": ["id"], "edit": ["id"], "image": ["file_list_id"], "search": []}
+_ID_COLUMNS = {"convert": ["id"], "clear": ["id"], "edit": ["id"], "image": ["file_list_id"]}
 
 
 def raw_schema(kind: str) -> T.StructType:

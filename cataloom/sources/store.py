@@ -1,23 +1,22 @@
 """Versioned catalog snapshots on a shared folder.
 
 Parquet tables cannot be updated in place, so each mutation writes the next
-snapshot ``v=00000N`` next to the previous ones and then moves a small
-pointer file by atomic rename. Readers follow the pointer and never see a
-half-written snapshot; a writer that started from an older version fails
-instead of overwriting a newer one.
+snapshot into a folder of its own and then claims the next version: a small
+file ``versions/00000N.json`` that names the folder and comes into being in
+one step that fails if it is there already. Readers never see a half-written
+snapshot, of two writers one fails, and what a dead writer left is in nobody's
+way. All file operations go through Spark's Hadoop file system, as the data does.
 """
 
 from __future__ import annotations
 
 import json
-import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from cataloom.schema import SCHEMAS
 
-_POINTER = "_CURRENT"
-
 
 class SnapshotConflict(RuntimeError):
     pass
@@ -25,48 +24,73 @@ class SnapshotConflict(RuntimeError):
 
 class SnapshotStore:
     def __init__(self, root: str, table: str = "file_list"):
-        self.root = root
+        self.root = root.rstrip("/")
         self.table = table
 
-    def _dir(self, version: int) -> str:
-        return os.path.join(self.root, f"v={version:06d}")
+    def _fs(self, *parts: str):
+        spark = SparkSession.active()
+        path = spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
+        return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _pointer(self) -> dict | None:
-        try:
-            with open(os.path.join(self.root, _POINTER)) as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return None
+    def _versions(self) -> list[int]:
+        path, fs = self._fs("versions")
+        if not fs.exists(path):
+            return []
+        names = [status.getPath().getName() for status in fs.listStatus(path)]
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
     def current(self) -> int | None:
-        p = self._pointer()
-        return None if p is None else p["version"]
+        return max(self._versions(), default=None)
 
-    def notes(self) -> dict:
-        """Small facts published together with the current version (for
-        instance the last stream batch it contains)."""
-        p = self._pointer()
-        return {} if p is None else p.get("notes", {})
+    def _folder(self, version: int) -> str:
+        path, fs = self._fs("versions", f"{version:06d}.json")
+        stream = fs.open(path)
+        try:
+            said = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        return f"{self.root}/{json.loads(said)['folder']}"
 
     def read(self, spark: SparkSession, version: int | None = None) -> DataFrame:
         v = self.current() if version is None else version
         if v is None:
             return spark.createDataFrame([], SCHEMAS[self.table])
-        return spark.read.schema(SCHEMAS[self.table]).parquet(self._dir(v))
-
-    def publish(self, df: DataFrame, expected: int | None, notes: dict | None = None) -> int:
-        """Write ``df`` as the version after ``expected`` and point to it;
-        ``notes`` switch atomically with the pointer."""
+        return spark.read.schema(SCHEMAS[self.table]).parquet(self._folder(v))
+
+    def _claim(self, version: int, folder: str) -> bool:
+        """Make the version's file, complete and only if there is none: it is
+        written under another name and renamed (or, on a local file system,
+        where a rename replaces, linked)."""
+        name = f"{version:06d}.json"
+        tmp, fs = self._fs("versions", f".{name}.{uuid.uuid4().hex}")
+        final, _ = self._fs("versions", name)
+        stream = fs.create(tmp, False)
+        stream.write(bytearray(json.dumps({"folder": folder}).encode()))
+        stream.close()
+        try:
+            if fs.getUri().getScheme() != "file":
+                return bool(fs.rename(tmp, final))
+            java = SparkSession.active()._jvm.java
+            link, made = (java.io.File(p.toUri().getPath()).toPath() for p in (final, tmp))
+            try:
+                java.nio.file.Files.createLink(link, made)
+                return True
+            except Exception as err:
+                if "FileAlreadyExists" in str(err):
+                    return False
+                raise
+        finally:
+            fs.delete(tmp, False)
+
+    def publish(self, df: DataFrame, expected: int | None) -> int:
+        """Write ``df`` as the version after ``expected``."""
         if self.current() != expected:
             raise SnapshotConflict(f"catalog moved on from version {expected} to {self.current()}")
         version = 0 if expected is None else expected + 1
-        df.write.mode("errorifexists").parquet(self._dir(version))
-        os.makedirs(self.root, exist_ok=True)
-        tmp = os.path.join(self.root, f".{_POINTER}.{version}")
-        merged = {**self.notes(), **(notes or {})}
-        with open(tmp, "w") as f:
-            json.dump({"version": version, "notes": merged}, f)
-        if self.current() != expected:
+        folder = f"data/{version:06d}-{uuid.uuid4().hex}"
+        df.write.mode("errorifexists").parquet(f"{self.root}/{folder}")
+        if not self._claim(version, folder):
+            path, fs = self._fs(folder)
+            fs.delete(path, True)
             raise SnapshotConflict(f"catalog moved on from version {expected} while writing")
-        os.replace(tmp, os.path.join(self.root, _POINTER))
         return version

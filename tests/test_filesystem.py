@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from cataloom.operators.transfer import (clear_commit, clear_execute, clear_plan, convert_commit, convert_execute,
                                          convert_plan)
 from cataloom.schema import FILE_LIST
-from cataloom.sources.inventory import probe_missing, require_root, walk
+from cataloom.operators import transfer
+from cataloom.sources import inventory
+from cataloom.sources.inventory import UnreadableFolder, outermost, probe_missing, require_root, walk
 from cataloom.sources.store import SnapshotConflict, SnapshotStore
 
 
@@ -36,9 +38,9 @@ def _expected(root):
     return sorted(os.path.join(root, r) for r in rels)
 
 
-@pytest.mark.parametrize("min_folders", [1, 2, 100])
-def test_walk_lists_regular_files_only(spark, tree, min_folders):
-    inv = walk(spark, [tree], min_folders=min_folders)
+@pytest.mark.parametrize("budget", [1, 3, 1000])
+def test_walk_lists_regular_files_only(spark, tree, budget):
+    inv = walk(spark, [tree, tree + "/", os.path.join(tree, "a")], budget=budget)
     got = sorted(r.origin_path for r in inv.collect())
     assert got == _expected(tree)
     sizes = {r.origin_path: r.length for r in inv.collect()}
@@ -109,7 +111,7 @@ def test_clear_execute_and_commit(spark, tree, tmp_path):
     plan = clear_plan(reqs, cat, order="req_id")
     status = {r.req_id: r.status for r in plan.collect()}
     assert status == {1: "cleared", 2: "already_clear", 3: "already_clear", 4: "cleared", 5: "not_found"}
-    res = {r.req_id: r.outcome for r in clear_execute(plan, str(tmp_path / "runs" / "clear"), key="req_id").collect()}
+    res = {r.req_id: r.outcome for r in clear_execute(plan, str(tmp_path / "runs" / "clear")).collect()}
     assert res[1] == "deleted" and res[4] == "absent"
     assert not os.path.exists(copy)
     nxt = {r.id: r.target_path for r in clear_commit(cat, plan).collect()}
@@ -128,6 +130,25 @@ def test_snapshot_store(spark, tmp_path):
         store.publish(cat, v0)
 
 
+def test_of_two_writers_one_publishes(spark, tmp_path, monkeypatch):
+    store = SnapshotStore(str(tmp_path / "catalog"))
+    cat = _catalog(spark, "/r", ["a", "b"])
+    v0 = store.publish(cat, None)
+    # both saw v0 as current; the other one was first to claim the version
+    assert store._claim(v0 + 1, "data/of-the-other")
+    monkeypatch.setattr(store, "current", lambda: v0)
+    with pytest.raises(SnapshotConflict):
+        store.publish(cat, v0)
+    assert [n for n in os.listdir(tmp_path / "catalog" / "versions") if "json" in n and not n.endswith(".crc")] and len(os.listdir(tmp_path / "catalog" / "data")) == 1
+
+
+def test_a_dead_writer_blocks_nobody(spark, tmp_path):
+    store = SnapshotStore(str(tmp_path / "catalog"))
+    cat = _catalog(spark, "/r", ["a", "b"])
+    cat.write.parquet(str(tmp_path / "catalog" / "data" / "000000-left-behind"))
+    assert store.publish(cat, None) == 0 and store.read(spark).count() == 2
+
+
 def test_copy_errors_map_to_statuses(spark, tree, tmp_path):
     new_root = tree.replace("file_path", "file_new_path")
     cat = _catalog(spark, tree, ["x.png", "a/1.txt"])
@@ -141,3 +162,89 @@ def test_copy_errors_map_to_statuses(spark, tree, tmp_path):
            for r in convert_execute(plan, str(tmp_path / "runs" / "c")).collect()}
     assert res == {1: ("converted", False), 2: ("source_missing", True)}
     assert not os.path.exists(os.path.join(new_root, "a/1.txt"))
+
+
+def test_outermost_roots():
+    assert outermost(["/a/b", "/a", "/ab", "/a/", "/c/d/../e"]) == ["/a", "/ab", "/c/e"]
+
+
+def test_an_unreadable_folder_stops_the_walk(spark, tree, monkeypatch):
+    """(Run as root, a mode can't close a folder: the walker is given a path
+    that can't be listed.)"""
+    run = inventory._walker(100)
+    monkeypatch.setattr(inventory, "_walker", lambda budget: lambda batches: (
+        f for b in batches for f in run([b.assign(path=b["path"] + "/x.png")])))
+    with pytest.raises(UnreadableFolder, match="x.png"):
+        walk(spark, [tree])
+
+
+def test_a_vanished_file_is_left_out_alone(tmp_path, monkeypatch):
+    for i in range(10):
+        _write(str(tmp_path / f"{i}.png"))
+
+    class Entry:
+        def __init__(self, e):
+            self.e, self.path = e, e.path
+
+        def is_dir(self, **kw):
+            return self.e.is_dir(**kw)
+
+        def is_file(self, **kw):
+            return self.e.is_file(**kw)
+
+        def stat(self, **kw):
+            if self.path.endswith("4.png"):
+                raise FileNotFoundError(self.path)
+            return self.e.stat(**kw)
+
+    class Scan(list):
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            return None
+
+    real = os.scandir
+    monkeypatch.setattr(inventory.os, "scandir", lambda p: Scan(Entry(e) for e in real(p)))
+    assert len(list(inventory._entries(str(tmp_path)))) == 9
+
+
+def test_large_folders_leave_in_chunks(tmp_path, monkeypatch):
+    import pandas as pd
+
+    for i in range(25):
+        _write(str(tmp_path / f"{i}.png"))
+    monkeypatch.setattr(inventory, "_CHUNK", 10)
+    assert [len(f) for f in inventory._walker(1000)([pd.DataFrame({"path": [str(tmp_path)]})])] == [10, 10, 5]
+
+
+@pytest.mark.parametrize("dies_after", ["link", "marker"])
+def test_a_retried_copy_knows_its_own_file(tmp_path, monkeypatch, dies_after):
+    src, dst = str(tmp_path / "s"), str(tmp_path / "t" / "d")
+    _write(src, b"data")
+
+    class Died(Exception):
+        pass
+
+    real = os.replace
+    if dies_after == "link":
+        monkeypatch.setattr(transfer.os, "replace", lambda *a: (_ for _ in ()).throw(Died()))
+        with pytest.raises(Died):
+            transfer._copy_one(src, dst, "tok")
+        monkeypatch.setattr(transfer.os, "replace", real)
+    else:
+        assert transfer._copy_one(src, dst, "tok") == ("converted", None)
+    assert transfer._copy_one(src, dst, "tok") == ("converted", "retry")
+    assert transfer._copy_one(src, dst, "another run") == ("target_exists", None)
+    transfer._sweep_one(dst, "tok")
+    assert os.listdir(tmp_path / "t") == ["d"] and open(dst, "rb").read() == b"data"
+
+
+def test_two_requests_have_two_outcomes(spark, tree, tmp_path):
+    copy = str(tmp_path / "copy.png")
+    _write(copy)
+    cat = _catalog(spark, tree, ["x.png"], {1: copy})
+    reqs = spark.createDataFrame([(1, 1), (2, 1), (3, None), (4, None)], "req_id int, id int")
+    out = clear_execute(clear_plan(reqs, cat), str(tmp_path / "runs" / "twice")).collect()
+    assert sorted((r.req_id, r.status, r.outcome) for r in out) == [
+        (1, "cleared", "deleted"), (2, "already_clear", None), (3, "missing_id", None), (4, "missing_id", None)]

@@ -7,8 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cataloom.functions.paths import basename, dirname, image_path, pad3, path_join, replace_first
-from cataloom.functions.text import blank, clean_escapes, fold_column, fold_text, has_wildcard, like_regex
+from cataloom.functions.paths import basename, dirname, image_path, path_join, replace_first
+from cataloom.functions.text import blank, clean_escapes, contains_term, fold_text, folded_like_regex, has_wildcard, like_regex
 
 SEG = st.text(alphabet="abcXYZ._- é", min_size=1, max_size=6).filter(lambda s: s.strip(". ") != "")
 
@@ -41,6 +41,10 @@ def test_path_join(spark):
     df = spark.createDataFrame([("D:\\root\\", "\\images", "x.png")], "a string, b string, c string")
     assert df.select(path_join("a", "b", "c")).first()[0] == "D:\\root\\images\\x.png"
     assert df.select(path_join("a", "b", "c", style="posix")).first()[0] == "D:\\root\\/\\images/x.png"
+    cases = {("/srv/public", "/images/a.png"): "/srv/public/images/a.png", ("/srv/./x//", "../y"): "/srv/y", ("/", "../.."): "/",
+             ("a", "../../b"): "../b", ("/a/b", "./../../../c/."): "/c"}
+    df = spark.createDataFrame(list(cases), "a string, b string")
+    assert {(r.a, r.b): r.j for r in df.withColumn("j", path_join("a", "b", style="posix")).collect()} == cases
 
 
 @settings(max_examples=15, deadline=None)
@@ -51,13 +55,10 @@ def test_replace_first_is_first_occurrence_only(spark, values, old, new):
     assert got == [v.replace(old, new, 1) for v in values]
 
 
-def test_pad3_never_truncates(spark):
-    nums = [0, 1, 7, 42, 999, 1000, 123456]
-    got = _eval(spark, nums, pad3, "v int")
-    assert got == [str(n).zfill(3) for n in nums]
-    df = spark.createDataFrame([(12, 1000), (5, 3)], "i int, s int")
+def test_sort_number_is_never_truncated(spark):
+    df = spark.createDataFrame([(12, 1000), (5, 3), (5, 0), (7, 123456)], "i int, s int")
     assert [r[0] for r in df.select(image_path("i", "s")).collect()] == \
-        ["/images/img12_1000.png", "/images/img5_003.png"]
+        ["/images/img12_1000.png", "/images/img5_003.png", "/images/img5_000.png", "/images/img7_123456.png"]
 
 
 def test_blank_matches_js_trim():
@@ -98,12 +99,6 @@ def test_like_regex_equals_like_in_spark(spark):
     assert bad == 0
 
 
-def test_fold_column_matches_python_model(spark):
-    words = ["Éléphant", "garçon", "Straße", "ÅNGSTRÖM", "naïve", "Cañón", "e\u0301tude", "İstanbul", "Ωmega"]
-    got = _eval(spark, words, fold_column)
-    assert got == [fold_text(w) for w in words]
-
-
 def test_whole_seconds_and_run_time(spark):
     from cataloom.functions.times import run_time, whole_seconds
     df = spark.createDataFrame([("2025-01-02 03:04:05.499",), ("2025-01-02 03:04:05.5",)], "v string")
@@ -112,22 +107,26 @@ def test_whole_seconds_and_run_time(spark):
     assert str(spark.range(1).select(run_time("2025-01-02 00:00:00")).first()[0]) == "2025-01-02 00:00:00"
 
 
-def test_ordered_distinct_keeps_first_occurrence(spark):
-    from cataloom.operators.search import ordered_distinct
-    df = spark.createDataFrame([([1, 2, 2, 3, 4, 4, 5],), ([3, 1, 3, 1],)], "a array<int>")
-    assert [r[0] for r in df.select(ordered_distinct("a")).collect()] == [[1, 2, 3, 4, 5], [3, 1]]
+_ALPHABET = ["a", "b", "e", "E", "é", "É", "è", "\u0301", "ß", "s", "x", "İ", "i", "ø", "Ø", "o", "l", "ﬁ", "f", "\u200b", "K", "k", ".", "%", "_", "\\", "\n"]
 
 
 def test_folded_regex_equals_fold_then_like(spark):
-    from cataloom.functions.text import folded_like_regex
     rnd = random.Random(11)
-    alpha = ["a", "b", "e", "E", "é", "É", "è", "́", "ß", "x", "İ", "i", ".", "%", "\n"]
     rows = []
     for _ in range(2000):
-        body = fold_text(clean_escapes("".join(rnd.choice("abe%_\\é") for _ in range(rnd.randint(0, 5)))))
-        text = "".join(rnd.choice(alpha) for _ in range(rnd.randint(0, 8)))
-        rows.append((folded_like_regex(body), like_regex(body), text))
-    df = spark.createDataFrame(rows, "raw_rx string, folded_rx string, t string")
-    df = df.withColumn("folded", fold_column("t"))
-    bad = df.where(F.expr("t rlike raw_rx") != F.expr("folded rlike folded_rx")).count()
-    assert bad == 0
+        body = fold_text(clean_escapes("".join(rnd.choice("abe%_\\éß") for _ in range(rnd.randint(0, 5)))))
+        text = "".join(rnd.choice(_ALPHABET) for _ in range(rnd.randint(0, 8)))
+        rows.append((folded_like_regex(body), text, _like_model(body, fold_text(text))))
+    df = spark.createDataFrame(rows, "rx string, t string, want boolean")
+    assert df.where(F.expr("t rlike rx") != F.col("want")).count() == 0
+
+
+def test_a_term_means_the_same_with_and_without_a_wildcard(spark):
+    rnd = random.Random(13)
+    texts = ["".join(rnd.choice(_ALPHABET) for _ in range(rnd.randint(0, 9))) for _ in range(400)]
+    texts += ["Straße", "strasse", "Øl", "ol", "ﬁle", "file", "a\u200bb", "ab", "Kelvin", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").cache()
+    for term in ["strasse", "ß", "ol", "ØL", "file", "ﬁ", "ab", "a\u200bb", "e", "É", "k", "ss", "\\%", "x\\_", "i"]:
+        plain, wild = ({r.id for r in df.where(contains_term("t", term + end)).collect()} for end in ("", "%"))
+        folded = fold_text(clean_escapes(term)).replace("\\", "")
+        assert plain == wild == {i for i, t in enumerate(texts) if t is not None and folded in fold_text(t)}, term

@@ -43,9 +43,9 @@ def test_next_catalog_ids_and_flags(spark):
 def test_second_sync_adds_nothing(spark):
     cat = _catalog(spark, [(1, "D:\\a\\x")])
     inv = _inv(spark, ["D:\\a\\x", "D:\\a\\y", "D:\\a\\z"])
-    first, stats1 = sync(cat, inv, RUN)
+    first, stats1, _ = sync(cat, inv, RUN)
     first = first.checkpoint()
-    second, stats2 = sync(first, inv, RUN)
+    second, stats2, _ = sync(first, inv, RUN)
     s1, s2 = stats1.first(), stats2.first()
     assert s1.new_files_added == 2 and s2.new_files_added == 0
     assert s2.total_files_in_database == first.count() == 3
@@ -65,3 +65,29 @@ def test_sync_stats_plan_has_one_exchange_by_path(spark):
     plan = plan_text(sync_stats(cat, inv))
     assert plan.count("hashpartitioning(p#") == 1
     assert "Join" not in plan
+
+
+def test_files_that_break_a_limit_are_refused(spark):
+    cat = _catalog(spark, [(1, "D:\\a\\x")])
+    inv = _inv(spark, ["D:\\a\\x", "D:\\" + "y" * 300, "D:\\z"])
+    nxt, stats, refused = sync(cat, inv, RUN)
+    assert sorted(r.origin_path for r in nxt.collect()) == ["D:\\a\\x", "D:\\z"]
+    assert {r.reason for r in refused.collect()} == {"origin_path:length>255", "file_name:length>255"}
+    assert stats.first().asDict() == {"total_files_in_directory": 3, "new_files_added": 1, "total_files_in_database": 2, "missing_files": 0}
+
+
+def test_a_path_named_twice_is_one_file(spark):
+    s = sync_stats(_catalog(spark, []), _inv(spark, ["D:\\a\\x", "D:\\a\\x"])).first().asDict()
+    assert (s["new_files_added"], s["total_files_in_database"]) == (1, 1)
+
+
+def test_paths_outside_the_listing_are_asked_for(spark, tmp_path):
+    there, gone = tmp_path / "other" / "a.png", tmp_path / "other" / "b.png"
+    there.parent.mkdir()
+    there.write_bytes(b"x")
+    link = tmp_path / "link.png"
+    link.symlink_to(there)
+    cat = _catalog(spark, [(1, str(there)), (2, str(gone)), (3, str(link)), (4, str(there.parent))])
+    inv = _inv(spark, ["/elsewhere/c.png"])
+    assert {r.id: r.path_check for r in path_check(cat, inv, probe=True).collect()} == {1: True, 2: False, 3: True, 4: True}
+    assert {r.id: r.path_check for r in path_check(cat, inv).collect()} == {1: False, 2: False, 3: False, 4: False}

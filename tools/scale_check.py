@@ -45,15 +45,21 @@ def main() -> None:
         # hash/range balance instead of AQE merging small partitions
         "spark.sql.adaptive.coalescePartitions.enabled": "false",
         # the skew split threshold scaled down with the data (default 256 MB)
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        # no broadcasts, static or adaptive: every join shows its shuffle
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"})
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
     rows = docs.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(factor - 1))))
+    # as many map tasks as a large table has: a hot partition is split between them
+    rows = rows.repartition(64).checkpoint()
     rid = (F.col("doc_id") * factor + F.col("copy"))
     path = F.when(F.col("copy") % 3 == 0, F.lit(HOT)).otherwise(
         F.concat(F.lit(OLD_ROOT + "\\"), F.col("lang"), F.lit("\\"), rid.cast("string"), F.lit(".png")))
     catalog = rows.where(rid % 11 != 5).select((rid + 1).cast("int").alias("id"), path.alias("origin_path"),
-                                               F.lit(None).cast("string").alias("target_path"))
+                                               F.lit("n").alias("name"), F.lit(None).cast("string").alias("target_path"))
     inventory = rows.where(rid % 10 != 3).select(path.alias("origin_path")).dropDuplicates(["origin_path"])
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id")
     up = pages.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(factor - 1))))
@@ -63,6 +69,9 @@ def main() -> None:
                         (uid % 9 != 4).alias("has_file"))
     images = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
         (F.col("conv_id") + 1).cast("int").alias("file_list_id"), F.col("turn").cast("int").alias("sort"))
+    shown = rows.select(rid.alias("id"), (rid % 5000 + 1).cast("int").alias("file_list_id"), F.lit(1).alias("sort"),
+                        F.when(rid % 3 == 0, F.lit("/images/hot.png")).otherwise(F.concat(F.lit("/images/"), rid.cast("string"))).alias("image"))
+    listed = shown.where("id % 4 <> 1").select("image")
     requests = rows.select(rid.cast("int").alias("req_id"),
                            F.when(rid % 3 == 0, F.lit(1)).otherwise(rid % 50000 + 1).cast("int").alias("id"))
     existing = inventory.select(F.col("origin_path").alias("path"))
@@ -73,6 +82,8 @@ def main() -> None:
         "path_check": lambda: sy.path_check(catalog, inventory),
         "next_catalog_ids": lambda: sy.next_catalog(catalog, inventory, "2025-01-02 00:00:00"),
         "image_assign_hot": lambda: im.image_assign(uploads, images),
+        "image_gallery_hot": lambda: im.gallery(shown, listed, "http://x"),
+        "gallery_status_hot": lambda: im.gallery_status(uploads, shown, listed),
         "convert_plan_hot": lambda: tr.convert_plan(requests, catalog, existing, OLD_ROOT, NEW_ROOT),
     }
     n_catalog = catalog.count()
@@ -84,8 +95,12 @@ def main() -> None:
         build().write.format("noop").mode("overwrite").save()
         timings[name] = round(time.perf_counter() - t0, 2)
     spark.stop()
+    balance = _balance(scratch)
+    missing = set(jobs) - set(balance)
+    if missing:
+        sys.exit(f"no stage of {sorted(missing)} was measured")
     print(json.dumps({"factor": factor, "catalog_rows": n_catalog, "hot_share": "1/3", "sec": timings,
-                      "balance": _balance(scratch)}, indent=1))
+                      "balance": balance}, indent=1))
 
 
 def _balance(folder: str) -> dict:
