@@ -134,14 +134,14 @@ def _of_group(votes: np.ndarray, group: list[int]) -> np.ndarray:
     return sum(((votes >> v) & 1) << i for i, v in enumerate(group))
 
 
-def _estimate(votes, label, times, groups, start: LabelModel | None, rounds: int) -> LabelModel:
-    """Expectation maximisation, with one added to every count."""
+def _estimate(votes, label, times, groups, rounds: int) -> LabelModel:
+    """Expectation maximisation, with one added to every count. The first
+    estimate is from the labelled rows alone, if there are any."""
     known = np.where(label < 0, 0.0, 1.0)
     rate = float((times * (label == 1)).sum() + 1) / float((times * known).sum() + 2)
-    post = start.posterior(votes, label) if start else np.where(label < 0, rate, np.where(label == 1, 0.95, 0.05 * rate))
+    post = np.where(label < 0, rate, np.where(label == 1, 0.95, 0.05 * rate))
     for i in range(rounds + 1):
-        # the first estimate is from the labelled rows alone
-        weight = times * (known if i == 0 and not start and known.any() else 1.0)
+        weight = times * (known if i == 0 and known.any() else 1.0)
         both = [weight * (1 - post), weight * post]
         tables = []
         for group in groups:
@@ -156,16 +156,19 @@ def _estimate(votes, label, times, groups, start: LabelModel | None, rounds: int
 
 def label_model(votes: np.ndarray, label: np.ndarray, times: np.ndarray, voters: int, rounds: int = 30, bound: float = 0.15, most: int = 4) -> LabelModel:
     """From how often (``times``) each combination of ``votes`` (a bit for
-    each voter) and ``label`` occurs."""
-    model = _estimate(votes, label, times, [[v] for v in range(voters)], None, rounds)
-    post = model.posterior(votes, label)
+    each voter) and ``label`` occurs. Which voters lean on each other is
+    judged on the labelled rows, where leaning voters can't pass for the
+    label itself; the rates are then estimated on all rows."""
+    model = _estimate(votes, label, times, [[v] for v in range(voters)], 0)
+    known, post = np.where(label < 0, 0, times), model.posterior(votes, label)
     bits = np.array([(votes >> v) & 1 for v in range(voters)], float)
     agree = np.zeros((voters, voters))
     for y in (1 - post, post):
-        w = times * y / max((times * y).sum(), 1e-9)
-        off = bits - (bits * w).sum(1)[:, None]
-        spread = np.sqrt((off**2 * w).sum(1)) + 1e-9
-        agree += np.abs((off * w) @ off.T / np.outer(spread, spread)) / 2
+        n = max((known * y).sum(), 1e-9)
+        off = bits - (bits * known * y / n).sum(1)[:, None]
+        spread = np.sqrt((off**2 * known * y / n).sum(1)) + 1e-9
+        seen = np.abs((off * known * y / n) @ off.T / np.outer(spread, spread))
+        agree += np.where(seen > 4 / math.sqrt(n), seen, 0) / 2  # beyond chance
     group = {v: [v] for v in range(voters)}
     for a, b in sorted(((a, b) for a in range(voters) for b in range(a)), key=lambda p: (-agree[p], p)):
         if agree[a, b] > bound and group[a] is not group[b] and len(group[a]) + len(group[b]) <= most:
@@ -173,7 +176,7 @@ def label_model(votes: np.ndarray, label: np.ndarray, times: np.ndarray, voters:
             for v in group[b]:
                 group[v] = group[a]
     groups = sorted({tuple(sorted(g)) for g in group.values()})
-    return _estimate(votes, label, times, [list(g) for g in groups], model, rounds)
+    return _estimate(votes, label, times, [list(g) for g in groups], rounds)
 
 
 def _features(size: int):
