@@ -81,7 +81,7 @@ class Lattice:
         self.best: list[int] = []
         self.delta: list[int] = []
         self.units: list[str] = []
-        self.several: dict[str, list] = {}
+        self.several: dict[tuple[str, int], list] = {}
 
     @staticmethod
     def _key(piece: str) -> np.uint64:
@@ -223,11 +223,12 @@ class Lattice:
         choices = []
         for i in sorted(open_.tolist()):
             unit = units[i]
-            if unit not in self.several:
-                self.several[unit] = self.nbest(unit, n)
-            first = self.several[unit][0][0]
+            if (unit, n) not in self.several:
+                self.several[unit, n] = self.nbest(unit, n)
+            found_here = self.several[unit, n]
+            first = found_here[0][0]
             # the path that stands as best need not be the first of equal ones
-            others = [x for x in self.several[unit] if x[1] != paths[i]]
+            others = [x for x in found_here if x[1] != paths[i]]
             choices.append([(0, None)] + [(first - score, (i, path)) for score, path in others[:n - 1]])
         found = [(0, [])]
         for own in choices:

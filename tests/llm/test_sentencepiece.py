@@ -74,18 +74,21 @@ def test_scalar_and_joint_paths_agree(lattice):
             assert lattice.delta[i] == (best[0][0] - best[1][0] if len(best) > 1 else -1)
 
 
-def test_the_library_agrees_on_the_best(lattice, tmp_path):
-    """The same file read as a unigram model gives the same best scores."""
+def test_the_library_agrees_on_the_n_best(lattice):
+    """The same file read as a unigram model, whose lattice search gives N
+    best segmentations, has the same scores."""
     import sentencepiece as spm
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     model = pb.ModelProto()
-    model.ParseFromString(open(MODEL, "rb").read())
+    with open(MODEL, "rb") as f:
+        model.ParseFromString(f.read())
     model.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
     theirs = spm.SentencePieceProcessor(model_proto=model.SerializeToString())
-    for text in ["the cat sat on the mat", "internationalization of things", "Der eingestellte Wagen"]:
-        got = encoded(lattice, text, 1)[0]
-        assert sum(theirs.get_score(i) for i in theirs.encode(text)) == got[0]
+    for text in ["the cat sat on the mat", "internationalization of things", "Der eingestellte Wagen", "été, naïve"]:
+        best = theirs.nbest_encode_as_ids(text, 4)
+        assert [s for s, _ in encoded(lattice, text, 4)] == [sum(theirs.get_score(i) for i in ids) for ids in best]
+        assert encoded(lattice, text, 1)[0][1].tolist() == best[0]
 
 
 def test_awkward_rows(spark, lattice):
