@@ -34,8 +34,9 @@ BLANK = "▁"
 _LOW = -(1 << 60)
 #: Units longer than this take the scalar path; units are scored so many at a time.
 _LONG, _BATCH = 32, 4096
+_SLOTS = 18
 #: Units whose result a worker remembers.
-_REMEMBERED = 200_000
+_REMEMBERED = 400_000
 _CUP, _CDOWN = _powers(U(0xA24BAED4963EE407), _LONG + 1)
 
 
@@ -70,17 +71,38 @@ class Lattice:
         self.cut = re.compile(f" *[{joins}]+| +|[^{joins} ]").findall
         names = list(self.id_of)
         keys = np.array([self._key(p) for p in names], U)
-        order = np.argsort(keys)
-        self.keys, self.ids = keys[order], np.array([self.id_of[names[i]] for i in order])
+        self._index(keys, np.array([self.id_of[p] for p in names]))
         self.known: dict[str, int] = {}
         self._forget()
 
+    def _index(self, keys: np.ndarray, ids: np.ndarray) -> None:
+        """Tables addressed by some bits of a piece's name; names that meet in
+        one go on to the next."""
+        self.tables = []
+        while len(keys):
+            shift = U(20 + 4 * len(self.tables))
+            slot = (keys >> shift) & U((1 << _SLOTS) - 1)
+            _, first = np.unique(slot, return_index=True)
+            key, own = np.zeros(1 << _SLOTS, U), np.full(1 << _SLOTS, -1)
+            key[slot[first]], own[slot[first]] = keys[first], ids[first]
+            self.tables.append((shift, key, own))
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, ids = keys[rest], ids[rest]
+
+    def _look_up(self, key: np.ndarray) -> np.ndarray:
+        """Ids by name, -1 for none."""
+        out = np.full(len(key), -1)
+        for shift, keys, ids in self.tables:
+            slot = ((key >> shift) & U((1 << _SLOTS) - 1)).view(np.int64)
+            np.copyto(out, ids[slot], where=keys[slot] == key)
+        return out
+
     def _forget(self) -> None:
         self.known.clear()
         self.paths: list[bytes] = []
-        self.best: list[int] = []
-        self.delta: list[int] = []
-        self.units: list[str] = []
+        self.best = np.zeros(_REMEMBERED, np.int64)
+        self.delta = np.zeros(_REMEMBERED, np.int64)
         self.several: dict[tuple[str, int], list] = {}
 
     @staticmethod
@@ -124,12 +146,14 @@ class Lattice:
                 heapq.heappush(heap, (-(best[start] + score + after), next(tick), start, score + after, (own, ids)))
         return out
 
-    def _keep(self, unit: str, path: bytes, best: int, delta: int) -> None:
-        self.known[unit] = len(self.paths)
-        self.paths.append(path)
-        self.best.append(best)
-        self.delta.append(delta)
-        self.units.append(unit)
+    def _keep(self, units: list[str], paths: list[bytes], best, delta) -> None:
+        at = len(self.paths)
+        self.known.update(zip(units, range(at, at + len(units))))
+        self.paths += paths
+        if len(self.paths) > len(self.best):
+            room = np.zeros(len(self.paths), np.int64)
+            self.best, self.delta = np.concatenate([self.best, room]), np.concatenate([self.delta, room])
+        self.best[at:at + len(units)], self.delta[at:at + len(units)] = best, delta
 
     def _together(self, units: list[str]) -> None:
         """Best path, its score, and the cost of the second best, for units
@@ -142,13 +166,11 @@ class Lattice:
         ids, gain = {}, {}
         for start in range(length):
             for end in range(start + 1, min(length, start + self.longest) + 1):
-                key = mix((sums[end] - sums[start]) * _CDOWN[start] + U(end - start))
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                hit = self.keys[at] == key
-                if end - start > 1 and not hit.any():
+                found = self._look_up(mix((sums[end] - sums[start]) * _CDOWN[start] + U(end - start)))
+                if end - start > 1 and found.max() < 0:
                     continue
-                ids[start, end] = np.where(hit, self.ids[at], -1)
-                gain[start, end] = np.where(hit, self.score[self.ids[at]], self.unknown if end == start + 1 else _LOW)
+                ids[start, end] = found
+                gain[start, end] = np.where(found >= 0, self.score[found], self.unknown if end == start + 1 else _LOW)
         ahead, behind = np.full((length + 1, n), _LOW), np.full((length + 1, n), _LOW)
         ahead[0] = behind[length] = 0
         back = np.zeros((length + 1, n), np.int64)
@@ -156,8 +178,8 @@ class Lattice:
             for start in range(max(0, end - self.longest), end):
                 if (start, end) in gain:
                     score = ahead[start] + gain[start, end]
-                    better = score > ahead[end]
-                    ahead[end][better], back[end][better] = score[better], start
+                    np.copyto(back[end], start, where=score > ahead[end])
+                    np.maximum(ahead[end], score, out=ahead[end])
         for start in range(length - 1, -1, -1):
             for end in range(start + 1, min(length, start + self.longest) + 1):
                 if (start, end) in gain:
@@ -170,7 +192,7 @@ class Lattice:
         second = np.full(n, _LOW)
         for (start, end), score in gain.items():
             off = ~(on[end] & (back[end] == start))
-            np.maximum(second, np.where(off, ahead[start] + score + behind[end], _LOW), out=second)
+            np.maximum(second, ahead[start] + score + behind[end], out=second, where=off)
         delta = np.where(second > _LOW // 2, ahead[length] - second, -1)
         path = np.full((length, n), -2)
         for end in range(1, length + 1):
@@ -181,13 +203,11 @@ class Lattice:
         path = path.T.astype("<i4")
         used = path != -2
         flat, cuts = path[used], np.concatenate([[0], np.cumsum(used.sum(1))])
-        raw, spell = flat.tobytes(), (path == -1).any(1)
-        for i, unit in enumerate(units):
-            a, b = int(cuts[i]), int(cuts[i + 1])
-            own = raw[4 * a:4 * b]
-            if spell[i]:
-                own = self.nbest(unit, 1)[0][1]
-            self._keep(unit, own, int(ahead[length][i]), int(delta[i]))
+        raw, cuts = flat.tobytes(), (4 * cuts).tolist()
+        paths = [raw[x:y] for x, y in zip(cuts, cuts[1:])]
+        for i in np.flatnonzero((path == -1).any(1)).tolist():  # with characters spelt in bytes
+            paths[i] = self.nbest(units[i], 1)[0][1]
+        self._keep(units, paths, ahead[length], delta)
 
     def learn(self, units: set[str]) -> None:
         if len(self.known) + len(units) > _REMEMBERED:
@@ -200,7 +220,7 @@ class Lattice:
             if length > _LONG:
                 for unit in own:
                     found = self.nbest(unit, 2)
-                    self._keep(unit, found[0][1], found[0][0], found[0][0] - found[1][0] if len(found) > 1 else -1)
+                    self._keep([unit], [found[0][1]], found[0][0], found[0][0] - found[1][0] if len(found) > 1 else -1)
             else:
                 for lo in range(0, len(own), _BATCH):
                     self._together(own[lo:lo + _BATCH])
@@ -211,10 +231,10 @@ class Lattice:
     def encode(self, units: list[str], n: int = NBEST) -> tuple[list[bytes], list[tuple[int, list[tuple[int, bytes]]]]]:
         """(best paths of the units, N best): each of the latter a score and
         the units whose path differs, with that path."""
-        at = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
-        paths = [self.paths[i] for i in at.tolist()]
-        best = sum(self.best[i] for i in at.tolist())
-        delta = np.array([self.delta[i] for i in at.tolist()], np.int64)
+        places = list(map(self.known.__getitem__, units))
+        paths = list(map(self.paths.__getitem__, places))
+        at = np.array(places, np.int64)
+        best, delta = int(self.best[at].sum()), self.delta[at]
         open_ = np.flatnonzero(delta >= 0)
         if len(open_) > n - 1:
             cut = np.partition(delta[open_], n - 2)[n - 2] if n > 1 else -1
