@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cataloom.llm.tables import stored, texts
+from cataloom.llm.tables import dealt, stored, texts
 
 SHINGLE = 5
 CONTAINED = 80
@@ -84,4 +84,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, percent: int = CONTAINED) -
     """The rows of ``docs``, with all their columns, that hold no item."""
     bad = stored(contained_items(docs, items, percent).select(F.col("doc_id").alias("_leak_id"), F.col("tag").alias("_leak_tag")).distinct())
     own = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_leak_id"]) & (own == bad["_leak_tag"]), "left_anti")
+    return docs.join(dealt(bad), docs["doc_id"].cast("long").eqNullSafe(bad["_leak_id"]) & (own == bad["_leak_tag"]), "left_anti")

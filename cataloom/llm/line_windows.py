@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cataloom.llm.tables import stored, texts
+from cataloom.llm.tables import dealt, stored, texts
 from cataloom.llm.words import chunks
 
 LINES = 3
@@ -88,7 +88,7 @@ def line_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     later = found.join(repeated, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).where("doc_id > first")
     marked = (later.select("doc_id", "tag", "at").unionByName(found.where("again").select("doc_id", "tag", "at"))
               .groupBy(F.col("doc_id").alias("m_id"), F.col("tag").alias("m_tag")).agg(F.collect_set("at").alias("marked")))
-    out = (tagged.join(stored(marked), F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("tag") == F.col("m_tag")), "left")
+    out = (tagged.join(dealt(stored(marked)), F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("tag") == F.col("m_tag")), "left")
            .select("doc_id", "text", "marked")
            .mapInArrow(_cut(with_text), "doc_id long, n_lines long, n_removed long, kept_sha256 string, kept_text string"))
     return out if with_text else out.drop("kept_text")

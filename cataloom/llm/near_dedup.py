@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from cataloom.llm.exchange import answer_bits, ask
 from cataloom.llm.graph import Sets, components
-from cataloom.llm.tables import stored, texts
+from cataloom.llm.tables import dealt, stored, texts
 from cataloom.llm.words import Words, chunks, mix, windows
 
 U = np.uint64
@@ -276,7 +276,7 @@ def near_dedup(docs: DataFrame, threshold: int = 85) -> DataFrame:
     members = stored(candidates.join(classes, "rep"), narrow=True)
     sizes = stored(members.groupBy("candidate").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("total")), narrow=True)
     wanted = stored(members.join(sizes, "candidate").select("rep", "candidate", "members", "total", *ident, "stands"), narrow=True)
-    sets = stored(plain.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("stands"))
+    sets = stored(plain.join(dealt(wanted), F.col("doc_id") == F.col("stands"))
                   .select("rep", "candidate", "members", "total", *ident, "text").mapInArrow(_set_rows, _SET_ROWS))
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES))
     packed = max(1, (wanted.count()) // 200)

@@ -28,6 +28,13 @@ def stored(df: DataFrame, narrow: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(keys: DataFrame) -> DataFrame:
+    """The side of a join with whole texts that has keys only: texts are dealt
+    out by key and met by a hash table of the keys, at every size alike, and
+    are not sorted."""
+    return keys.hint("shuffle_hash")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
