@@ -16,7 +16,7 @@ from cataloom.llm.decontaminate import decontaminate
 from cataloom.llm.exact_dedup import exact_dedup
 from cataloom.llm.near_dedup import near_dedup
 from cataloom.llm.sentencepiece_nbest import encode_nbest
-from cataloom.llm.tables import stored
+from cataloom.llm.tables import dealt, stored
 from cataloom.llm.toxicity import score_toxicity
 from cataloom.session import ensure_checkpoint_dir, ship_package
 
@@ -33,7 +33,7 @@ def _keys(rows: DataFrame) -> DataFrame:
 
 def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     gone = _keys(rows)
-    return docs.join(gone, _at(docs, gone), "left_anti")
+    return docs.join(dealt(gone), _at(docs, gone), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
