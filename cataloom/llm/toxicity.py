@@ -31,8 +31,10 @@ from cataloom.llm.words import chunks
 LABELLED_ROWS = 20_000
 #: Words and stems of all lexicons, and lexicons.
 LEXICON, LEXICONS = 256, 8
-#: Toxic rows of the sample that a lexicon's entry must occur in.
-LEAST_ROWS = 4
+#: What speaks for a lexicon's entry, as a log-likelihood ratio against its
+#: rows being toxic as often as others: beyond the logarithm of the number of
+#: words and stems that are tried.
+EVIDENCE = 15.0
 _STEMS = (4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+").findall
 _MASKS = ("###", "***", "$$$", "&&&", "%%%")
@@ -211,12 +213,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return out.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0.0).alias("posterior"), "tag")
     share = min(1.0, LABELLED_ROWS / sum(sizes.values()))
     drawn = F.pmod(F.xxhash64("l_id"), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = stored(learnt.where(drawn))  # LABELLED_ROWS rows, about: small enough to broadcast
+    drawn_rows = F.broadcast(stored(learnt.where(drawn)))  # LABELLED_ROWS rows, about: small enough to broadcast
+    # copies of a text speak once
+    sample = stored(plain.select("doc_id", "tag").join(drawn_rows, F.col("doc_id") == F.col("l_id")).groupBy("tag")
+                    .agg(F.min("l_id").alias("l_id"), F.min_by("toxic", "l_id").alias("toxic")).drop("tag"), narrow=True)
     counts = (plain.join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).select("text", "toxic")
               .mapInArrow(_count_entries, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     rows = sample.groupBy().pivot("toxic", [0, 1]).count().first()
     lift = F.log((F.col("toxic") + 0.5) / ((rows["1"] or 0) + 1)) - F.log((F.col("clean") + 0.5) / ((rows["0"] or 0) + 1))
-    chosen = (counts.where(F.col("toxic") >= LEAST_ROWS).withColumn("lift", lift).where(F.col("lift") > math.log(4))
+    share_toxic = (rows["1"] or 0) / max((rows["0"] or 0) + (rows["1"] or 0), 1)
+    part = lambda n, p: F.when(n > 0, n * F.log(n / ((F.col("toxic") + F.col("clean")) * F.lit(max(p, 1e-9))))).otherwise(0.0)
+    evidence = part(F.col("toxic"), share_toxic) + part(F.col("clean"), 1 - share_toxic)
+    chosen = (counts.withColumn("lift", lift).where((F.col("lift") > math.log(4)) & (evidence >= EVIDENCE))
               .orderBy((F.col("lift") * F.sqrt("toxic")).desc(), "entry").limit(LEXICON))
     lexicon = [r["entry"] for r in chosen.collect()]
 

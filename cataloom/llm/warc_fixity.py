@@ -55,7 +55,6 @@ def merkle(records: DataFrame) -> list[DataFrame]:
     """The trees of all archives of all replicas (side, archive, offset,
     length, digest), from the lowest ranges to the roots: tables (side,
     archive, node, digest)."""
-    hashed = lambda children: F.sha2(F.array_join(F.sort_array(F.collect_list(children)), "\n"), 256).alias("digest")
     place = F.struct(F.col("offset").alias("place"), _said("offset", "length", "digest").alias("said"))
     low = (records.groupBy("side", "archive", F.floor(F.col("offset") / LEAF_SPAN).cast("long").alias("node"))
            .agg(F.sort_array(F.collect_list(place)).alias("children"))
