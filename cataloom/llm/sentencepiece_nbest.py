@@ -17,7 +17,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import re
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ _LOW = -(1 << 60)
 _LONG, _BATCH = 32, 4096
 _SLOTS = 18
 #: Units whose result a worker remembers.
-_REMEMBERED = 400_000
+_REMEMBERED = 250_000
 _CUP, _CDOWN = _powers(U(0xA24BAED4963EE407), _LONG + 1)
 
 
@@ -264,7 +264,7 @@ class Lattice:
         return text[1:] if text.startswith(" ") else text
 
 
-@cache
+@lru_cache(maxsize=1)  # a Python worker outlives its query: the lattice of an earlier one goes
 def _worker(pieces) -> Lattice:
     return Lattice(pieces.value)
 
