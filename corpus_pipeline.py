@@ -20,6 +20,9 @@ from cataloom.llm.tables import dealt, stored
 from cataloom.llm.toxicity import score_toxicity
 from cataloom.session import ensure_checkpoint_dir, ship_package
 
+#: Similarity in percent from which documents are near copies (op10 has a contract of its own).
+NEAR = 80
+
 
 def _at(docs: DataFrame, keys: DataFrame):
     """Whether a document has one of the keys (doc_id, tag: a hash of its text)."""
@@ -56,8 +59,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the smallest doc_id."""
-    return _without(docs, near_dedup(docs).where("not kept and component_id is not null"))
+    """One document of each group of near duplicates (of similarity 0.8 or more)
+    stays: the smallest doc_id."""
+    return _without(docs, near_dedup(docs, threshold=NEAR).where("not kept and component_id is not null"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
