@@ -130,11 +130,22 @@ class Lattice:
     def nbest(self, unit: str, n: int) -> list[tuple[int, bytes]]:
         """(score, ids as little-endian 32-bit numbers) of the ``n`` best
         paths, best first: A* from the end, with forward scores as exact
-        heuristics, so paths come out in order of their scores."""
+        heuristics, so paths come out in order of their scores.
+
+        The ``n`` best paths need the ``n`` best ways from a place to the end
+        only: no place is taken more often, and a way with ``n`` others before
+        it is not kept. Equal costs leave the heap first-in first-out, so this
+        changes no path and no order, and a run of one character, whose equal
+        ways are without number, costs as much as any text of its length."""
         best = self.forward(unit)
         heap, tick, out = [(-best[-1], 0, len(unit), 0, ())], itertools.count(1), []
+        left = [n] * (len(unit) + 1)
+        ways: dict[int, list[int]] = {}
         while heap and len(out) < n:
             cost, _, end, after, ids = heapq.heappop(heap)
+            if not left[end]:
+                continue
+            left[end] -= 1
             if not end:
                 flat: list[int] = []
                 while ids:
@@ -143,6 +154,13 @@ class Lattice:
                 out.append((-cost, np.array(flat, "<i4").tobytes()))
                 continue
             for start, score, own in self.edges(unit, end):
+                known = ways.setdefault(start, [])
+                if len(known) < n:
+                    heapq.heappush(known, score + after)
+                elif score + after > known[0]:
+                    heapq.heapreplace(known, score + after)
+                else:
+                    continue
                 heapq.heappush(heap, (-(best[start] + score + after), next(tick), start, score + after, (own, ids)))
         return out
 
