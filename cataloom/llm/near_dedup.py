@@ -1,9 +1,9 @@
 """Near duplicates: an inverted join over MinHash signature coordinates.
 
 Documents are posted under each (coordinate, value) pair of their signature.
-A pair of documents is a candidate when at least MATCHES of the COORDINATES
-collide, so it must share one of the first COORDINATES - MATCHES + 1
-coordinates in any common order (prefix): postings are read rarest first and
+A pair of documents is a candidate when at least ``least_matches`` of the
+COORDINATES collide, so it must share one of the first COORDINATES -
+least_matches + 1 coordinates in any common order (prefix): postings are read rarest first and
 only for the prefix. Coordinates that no other document shares come first in
 that order and need no posting; the fingerprint exchange finds them. Lists
 whose documents are in one candidate group already are skipped. Candidates
@@ -12,6 +12,8 @@ are confirmed on full shingle sets.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -26,8 +28,6 @@ from cataloom.llm.words import Words, chunks, mix, windows
 
 U = np.uint64
 SHINGLE = 5
-#: At similarity 0.85, 64 coordinates collide 54.4 times with deviation 2.9:
-#: fewer than 40 collisions are 5 deviations off.
 COORDINATES, MATCHES = 64, 40
 TOKEN_BITS = 48
 #: Documents of one posting list or group compared in one go.
@@ -36,6 +36,15 @@ BLOCK = 256
 BLOCK_SHINGLES = 1 << 19
 PART_DOCS = 1 << 13
 
+def least_matches(threshold: int) -> int:
+    """Collisions that a pair at the threshold (a percentage) falls short of
+    by 5 deviations only, and MATCHES at most. At similarity 0.85 there are 54.4
+    of 64 with deviation 2.9: fewer than 40 come up once in 410,000 pairs. At 0.80
+    there are 51.2 with deviation 3.2: fewer than 35, once in 830,000 pairs."""
+    p = threshold / 100
+    return min(MATCHES, math.floor(COORDINATES * p - 5 * math.sqrt(COORDINATES * p * (1 - p))))
+
+
 _RNG = np.random.default_rng(850)
 _XOR = _RNG.integers(1, 2**64 - 1, COORDINATES, dtype=U)
 _MUL = _RNG.integers(1, 2**64 - 1, COORDINATES, dtype=U) | U(1)
@@ -98,26 +107,30 @@ def _pack(batches):
             seq += 1
 
 
-def _sharing(batches):
-    """Documents with MATCHES or more coordinates that another one shares."""
-    for batch in batches:
-        for keys, ids, sigs, answers in zip(*(batch.column(c).to_pylist() for c in ("keys", "ids", "sigs", "answers"))):
-            sigs = np.frombuffer(sigs, np.uint32).reshape(-1, COORDINATES)
-            tokens = _tokens(sigs)
-            at = np.searchsorted(np.frombuffer(keys, U), tokens)
-            shared = ((np.bincount(at.ravel()) > 1) | answer_bits(answers))[at]
-            some = np.flatnonzero(shared.sum(1) >= MATCHES)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.array(ids, np.int64)[some]), pa.array([sigs[i].tobytes() for i in some], pa.binary()),
-                pa.array([tokens[i][shared[i]].astype(np.int64) for i in some], pa.list_(pa.int64()))], ["rep", "sig", "tokens"])
-
-
-def _colliding(batches):
-    """Pairs whose signatures collide MATCHES times."""
-    for batch in batches:
-        if batch.num_rows:
-            x, y = (_signature_rows(batch.column(c).to_pylist()) for c in ("sig", "pivot_sig"))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= MATCHES))
+def _sharing(matches: int):
+    """Documents with ``matches`` or more coordinates that another one shares."""
+    def sharing(batches):
+        for batch in batches:
+            for keys, ids, sigs, answers in zip(*(batch.column(c).to_pylist() for c in ("keys", "ids", "sigs", "answers"))):
+                sigs = np.frombuffer(sigs, np.uint32).reshape(-1, COORDINATES)
+                tokens = _tokens(sigs)
+                at = np.searchsorted(np.frombuffer(keys, U), tokens)
+                shared = ((np.bincount(at.ravel()) > 1) | answer_bits(answers))[at]
+                some = np.flatnonzero(shared.sum(1) >= matches)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.array(ids, np.int64)[some]), pa.array([sigs[i].tobytes() for i in some], pa.binary()),
+                    pa.array([tokens[i][shared[i]].astype(np.int64) for i in some], pa.list_(pa.int64()))], ["rep", "sig", "tokens"])
+    return sharing
+
+
+def _colliding(matches: int):
+    """Pairs whose signatures collide ``matches`` times."""
+    def colliding(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (_signature_rows(batch.column(c).to_pylist()) for c in ("sig", "pivot_sig"))
+                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= matches))
+    return colliding
 
 
 def _forest(n: int, pairs, ids: np.ndarray, start=None) -> list[tuple[int, int]]:
@@ -137,20 +150,22 @@ def _links(found: list[tuple[int, int]]) -> pd.DataFrame:
     return pd.DataFrame(found or np.zeros((0, 2), np.int64), columns=["a", "b"]).astype("int64")
 
 
-def _collide(pdf: pd.DataFrame) -> pd.DataFrame:
+def _collide(matches: int):
     """Links between candidate groups that a block of postings shows."""
-    found = []
-    for _, own in pdf.groupby("token"):
-        if own["group"].nunique() < 2:
-            continue
-        own = own.drop_duplicates("rep")
-        sigs, groups = _signature_rows(own["sig"]), own["group"].to_numpy()
-        pairs = []
-        for i in range(len(own) - 1):
-            near = ((sigs[i + 1:] == sigs[i]).sum(1) >= MATCHES) & (groups[i + 1:] != groups[i])
-            pairs += [(i, j) for j in np.flatnonzero(near) + i + 1]
-        found += _forest(len(own), pairs, own["rep"].to_numpy(), groups)
-    return _links(found)
+    def collide(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, own in pdf.groupby("token"):
+            if own["group"].nunique() < 2:
+                continue
+            own = own.drop_duplicates("rep")
+            sigs, groups = _signature_rows(own["sig"]), own["group"].to_numpy()
+            pairs = []
+            for i in range(len(own) - 1):
+                near = ((sigs[i + 1:] == sigs[i]).sum(1) >= matches) & (groups[i + 1:] != groups[i])
+                pairs += [(i, j) for j in np.flatnonzero(near) + i + 1]
+            found += _forest(len(own), pairs, own["rep"].to_numpy(), groups)
+        return _links(found)
+    return collide
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -229,7 +244,7 @@ def near_dedup(docs: DataFrame, threshold: int = 85) -> DataFrame:
     Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased; a document's
     set holds its distinct five-word shingles, or its whole sequence if it is
     shorter. Documents are linked when 100 * intersection >= ``threshold`` *
-    union (at least 80: MATCHES is chosen for that range). component_id is the
+    union (at least 80; ``least_matches`` follows from it). component_id is the
     smallest doc_id that links lead to.
 
     Null or empty texts have no shingles and no links. A null doc_id has a
@@ -240,6 +255,7 @@ def near_dedup(docs: DataFrame, threshold: int = 85) -> DataFrame:
     """
     if not 80 <= threshold <= 100:
         raise ValueError("threshold is a percentage from 80 to 100")
+    matches = least_matches(threshold)
     plain = texts(docs).withColumn("tag", F.xxhash64("text"))
     sketch = stored(plain.mapInArrow(_sketch, "doc_id long, tag long, n_shingles long, s1 long, s2 long, sig binary"))
     ident = ["n_shingles", "s1", "s2"]
@@ -250,11 +266,11 @@ def near_dedup(docs: DataFrame, threshold: int = 85) -> DataFrame:
 
     parts = stored(reps.select("rep", "sig").mapInArrow(_pack, "part long, keys binary, ids array<long>, sigs binary"))
     sharing = stored(parts.join(ask(parts, TOKEN_BITS, total * COORDINATES), "part").select("keys", "ids", "sigs", "answers")
-                     .mapInArrow(_sharing, "rep long, sig binary, tokens array<long>"), narrow=True)
+                     .mapInArrow(_sharing(matches), "rep long, sig binary, tokens array<long>"), narrow=True)
     posted = sharing.select("rep", F.explode("tokens").alias("token"))
     times = stored(posted.groupBy(F.col("token").alias("posted")).agg(F.count(F.lit(1)).alias("times")).where("times > 1"), narrow=True)
     ranked = posted.join(times, F.col("token") == F.col("posted")).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("ranked"))
-    prefix = F.explode(F.slice("ranked", F.lit(1), F.greatest(F.size("ranked") - (MATCHES - 1), F.lit(0)))).alias("entry")
+    prefix = F.explode(F.slice("ranked", F.lit(1), F.greatest(F.size("ranked") - (matches - 1), F.lit(0)))).alias("entry")
     postings = stored(ranked.select("rep", prefix).select("rep", "entry.token", "entry.times"), narrow=True)
 
     pivots = stored(postings.groupBy(F.col("token").alias("pivot_token")).agg(F.min("rep").alias("pivot")), narrow=True)
@@ -262,7 +278,7 @@ def near_dedup(docs: DataFrame, threshold: int = 85) -> DataFrame:
     tried = (postings.join(pivots, F.col("token") == F.col("pivot_token")).where("rep <> pivot").select("rep", "pivot").distinct()
              .join(signed, "rep").join(signed.select(F.col("rep").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
              .select(F.col("rep").alias("a"), F.col("pivot").alias("b"), "sig", "pivot_sig"))
-    stars = stored(tried.mapInArrow(_colliding, "a long, b long"), narrow=True)
+    stars = stored(tried.mapInArrow(_colliding(matches), "a long, b long"), narrow=True)
     grouped = stored(postings.join(components(stars).withColumnRenamed("node", "rep"), "rep", "left")
                      .select("rep", "token", "times", F.coalesce("component", "rep").alias("group")), narrow=True)
     mixed = stored(grouped.where("times > 2").groupBy(F.col("token").alias("mixed"))
@@ -270,7 +286,7 @@ def near_dedup(docs: DataFrame, threshold: int = 85) -> DataFrame:
     open_lists = stored(grouped.join(mixed, F.col("token") == F.col("mixed")).join(signed, "rep").select("rep", "token", "times", "group", "sig"), narrow=True)
     blocks = F.ceil(F.col("times") / BLOCK)
     more = (_units(open_lists, "token", blocks, max(1, open_lists.count() // 2000)).select("unit", "i", "j", "token", "rep", "group", "sig")
-            .groupBy("unit", "i", "j").applyInPandas(_collide, "a long, b long"))
+            .groupBy("unit", "i", "j").applyInPandas(_collide(matches), "a long, b long"))
     candidates = stored(components(stored(stars.unionByName(more), narrow=True)).select(F.col("node").alias("rep"), F.col("component").alias("candidate")), narrow=True)
 
     members = stored(candidates.join(classes, "rep"), narrow=True)
