@@ -23,9 +23,9 @@ CONTAINED = 80
 BROADCAST_ROWS, BROADCAST_CHARS = 1 << 20, 32 << 20
 
 
-def _worded(rows: DataFrame) -> DataFrame:
+def _worded(rows: DataFrame, least: int = SHINGLE) -> DataFrame:
     words = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    return rows.select(*[c for c in rows.columns if c != "text"], words.alias("words")).where(F.size("words") >= SHINGLE)
+    return rows.select(*[c for c in rows.columns if c != "text"], words.alias("words")).where(F.size("words") >= least)
 
 
 def _hashes():
@@ -33,9 +33,13 @@ def _hashes():
     return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - SHINGLE), of))
 
 
-def _shingles():
-    of = lambda i: F.concat_ws(" ", *[F.get("words", i + k) for k in range(SHINGLE)])
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - SHINGLE), of))
+def _shingles(size: int = SHINGLE):
+    of = lambda i: F.concat_ws(" ", *[F.get("words", i + k) for k in range(size)])
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("words") - size), of))
+
+
+def _named(items: DataFrame) -> DataFrame:
+    return items.select(F.col("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
 
 
 def contained_items(docs: DataFrame, items: DataFrame, percent: int = CONTAINED) -> DataFrame:
@@ -49,8 +53,7 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = CONTAINED)
     and text, or an item_id and text, give a pair once. Other columns are
     ignored; an empty table on either side gives no rows.
     """
-    named = items.select(F.col("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
-    worded = stored(_worded(named.withColumn("item", F.xxhash64("item_id", "text"))).select("item_id", "item", _hashes().alias("hashes"), _shingles().alias("shingles")))
+    worded = stored(_worded(_named(items).withColumn("item", F.xxhash64("item_id", "text"))).select("item_id", "item", _hashes().alias("hashes"), _shingles().alias("shingles")))
     need = F.ceil(F.size("shingles") * percent / 100).cast("int")
     sized = worded.select("item_id", "item", "hashes", "shingles", need.alias("need"), F.floor(F.log2(F.size("shingles"))).alias("size_class"))
     lowest = F.slice(F.array_sort("hashes"), F.lit(1), F.size("hashes") - F.col("need") + 1)
@@ -80,8 +83,32 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = CONTAINED)
                         (F.col("n_found") / F.size("shingles")).alias("containment")).distinct()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, percent: int = CONTAINED) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no item."""
-    bad = stored(contained_items(docs, items, percent).select(F.col("doc_id").alias("_leak_id"), F.col("tag").alias("_leak_tag")).distinct())
+def short_items(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Pairs of a document and an item of one to four words that it holds:
+    doc_id, tag, item_id. The item's word sequence is its one shingle, met by
+    the documents' runs of as many words; words, nulls and repeats are as in
+    ``contained_items``.
+    """
+    named = stored(_worded(_named(items), 1).where(F.size("words") < SHINGLE)
+                   .select("item_id", F.size("words").alias("size"), F.array_join("words", " ").alias("phrase")))
+    sizes = sorted(r["size"] for r in named.select("size").distinct().collect())  # four at most
+    keyed = texts(docs).withColumn("tag", F.xxhash64("text"))
+    if not sizes:
+        return keyed.where("false").select("doc_id", "tag", F.lit(None).cast(dict(items.dtypes)["item_id"]).alias("item_id"))
+    phrases = stored(named.select(F.col("phrase").alias("wanted")).distinct())
+    small = named.count() <= BROADCAST_ROWS and (named.agg(F.sum(F.length("phrase"))).first()[0] or 0) <= BROADCAST_CHARS
+    runs = F.flatten(F.array(*[F.when(F.size("words") >= n, _shingles(n)).otherwise(F.array().cast("array<string>")) for n in sizes]))
+    said = _worded(keyed, 1).select("doc_id", "tag", F.explode(runs).alias("phrase"))
+    met = said.join(F.broadcast(phrases) if small else phrases, F.col("phrase") == F.col("wanted"), "left_semi").distinct()
+    return met.join(F.broadcast(named) if small else named, "phrase").select("doc_id", "tag", "item_id").distinct()
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, percent: int = CONTAINED, short: bool = False) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no item; with
+    ``short``, none of one to four words either."""
+    pairs = contained_items(docs, items, percent).select("doc_id", "tag")
+    if short:
+        pairs = pairs.unionByName(short_items(docs, items).select("doc_id", "tag"))
+    bad = stored(pairs.select(F.col("doc_id").alias("_leak_id"), F.col("tag").alias("_leak_tag")).distinct())
     own = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     return docs.join(dealt(bad), docs["doc_id"].cast("long").eqNullSafe(bad["_leak_id"]) & (own == bad["_leak_tag"]), "left_anti")
