@@ -53,17 +53,34 @@ def vocabulary(path: str = MODEL) -> list[tuple[str, float, bool]]:
     return out
 
 
+def _fixed(scores: list[float]) -> tuple[np.ndarray, int]:
+    """(scores times a power of two, that power): the smallest that makes all
+    of them integers, so that sums are exact. The largest stays below 2^36, which
+    leaves room for 2^24 pieces; a model that this would cost more than 2^-24 of
+    a score is refused."""
+    score, scale = np.array(scores, np.float64), 1
+    if not np.isfinite(score).all():
+        raise ValueError("a piece has no finite score")
+    while (score * scale % 1).any() and np.abs(score).max() * 2 * scale < 1 << 36:
+        scale *= 2
+    fixed = np.rint(score * scale)
+    if (np.abs(fixed / scale - score) > 2.0**-24).any():
+        raise ValueError("scores of the pieces lie too far apart to be added exactly")
+    return fixed.astype(np.int64), scale
+
+
 class Lattice:
-    """Units of texts and their best paths. Blanks are read as blank marks; a
+    """Units of texts and their best paths. Scores are integers: those of the
+    model times ``scale``. Blanks are read as blank marks; a
     blank mark in the text itself, and any character without a piece, is
     spelt in bytes, at a cost below every piece's."""
 
     def __init__(self, pieces: list[tuple[str, float, bool]]):
         self.id_of = {p.replace(BLANK, " "): i for i, (p, _, byte) in enumerate(pieces) if p and not byte}
-        self.score = np.array([s for _, s, _ in pieces], np.float64).astype(np.int64)
+        self.score, self.scale = _fixed([s for _, s, _ in pieces])
         self.byte_id = {int(p[1:-1], 16): i for i, (p, _, byte) in enumerate(pieces) if byte}
         self.spelt = [bytes([int(p[1:-1], 16)]) if byte else p.replace(BLANK, " ").encode() for p, _, byte in pieces]
-        self.unknown = int(min(self.score[i] for i in self.id_of.values())) - 10
+        self.unknown = int(min(self.score[i] for i in self.id_of.values())) - 10 * self.scale
         self.longest = max(map(len, self.id_of))
         if any(" " in p.lstrip(" ") for p in self.id_of):
             raise ValueError("a piece has a blank mark after other characters: texts can't be cut into units")
@@ -305,7 +322,7 @@ def _encoder(pieces, n: int, with_ids: int):
                         own[i] = path
                     whole.append(b"".join(own))
                 best = np.frombuffer(whole[0], "<i4")
-                for k, v in zip(out, (doc, len(best), len(found), [float(s) for s, _ in found], hashlib.sha256(whole[0]).hexdigest(),
+                for k, v in zip(out, (doc, len(best), len(found), [s / lattice.scale for s, _ in found], hashlib.sha256(whole[0]).hexdigest(),
                                       hashlib.sha256(b"".join(hashlib.sha256(x).digest() for x in whole)).hexdigest(),
                                       lattice.decode(best) == text, [np.frombuffer(x, "<i4") for x in whole[:with_ids]])):
                     out[k].append(v)
