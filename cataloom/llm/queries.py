@@ -7,11 +7,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm import secret_scan, url_rules, warc_fixity
+from cataloom.llm import merkle_manifest, secret_scan, url_rules, warc_fixity
 from cataloom.llm.decontaminate import contained_items
 from cataloom.llm.exact_dedup import exact_dedup
+from cataloom.llm.fertility import quality
 from cataloom.llm.line_windows import line_dedup
 from cataloom.llm.near_dedup import near_dedup
+from cataloom.llm.periodic_runs import periodic_runs
 from cataloom.llm.sentencepiece_nbest import encode_nbest
 from cataloom.llm.substring_dedup import substring_dedup
 from cataloom.llm.tables import stored
@@ -68,9 +70,53 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents")).drop("tag")
 
 
+def _crc(doc_id):
+    return F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8"))
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all rows, folded from a text without newlines where the row's
+    number says that it was tampered with."""
+    bent = F.when(_crc("doc_id") % 2 == 0, merkle_manifest.leaf_digest(text=F.translate("text", "\n", "")))
+    proof = merkle_manifest.proofs(merkle_manifest.manifest(_table(spark, sf_dir, "documents"), bent=bent))
+    path = F.col("path")
+    folded = merkle_manifest.fold(F.coalesce("row.bent", "leaf"), path)
+    return (proof.select("row.doc_id", "leaf", "subroot", "root", merkle_manifest.proof_digest(path).alias("proof_sha256"), folded.alias("folded_root"))
+            .withColumn("verified", F.col("folded_root") == F.col("root")))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with words from a place on repeated in rows whose number says so."""
+    h = _crc("doc_id")
+    own = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).cast("long").alias("g"),
+                      F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))).alias("words"))
+    n = F.size("words")
+    own = own.withColumn("a", F.when(n > 0, F.col("g") % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(
+        F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return own.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_planted_runs(_table(spark, sf_dir, "documents")), with_text=False)
+    more = lambda best, x: F.when(x["length"] * best["period"] > best["length"] * x["period"], x).otherwise(best)
+    said = F.transform("runs", lambda x: F.concat_ws(",", x["start"], x["length"], x["period"]))
+    best = F.col("best")
+    return (found.withColumn("best", F.aggregate("runs", F.get("runs", F.lit(0)), more))
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+                    F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                    F.sha2(F.array_join(F.transform(said, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+                    F.col("kept_sha256").alias("collapsed_sha256")))
+
+
+def op13_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece_nbest, op2_substring_dedup, op3_toxicity, op4_warc_fixity, op5_benchmark_containment,
-    op6_line_windows, op7_secret_scan, op8_exact_dedup, op9_url_rules, op10_near_dedup)}
+    op6_line_windows, op7_secret_scan, op8_exact_dedup, op9_url_rules, op10_near_dedup,
+    op11_merkle_manifest, op12_periodic_runs, op13_fertility)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -121,7 +167,66 @@ def _url_sql() -> str:
                CASE WHEN rule IS NULL THEN first END AS pattern FROM r"""
 
 
+def _crc_sql(text: str) -> str:
+    """CRC-32 bit by bit, in the reflected polynomial."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda b: ascii(b)::BIGINT)),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+
+def _leaf_sql(text: str) -> str:
+    fields = [f"coalesce(octet_length(encode({x}::VARCHAR)) || ':' || {x}, '-')" for x in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(fields)})"
+
+
+def _merkle_sql() -> str:
+    """Both trees level by level, then each leaf up its path."""
+    step = "sha256(array_to_string(ds[:{0}.pos % 3] || [cur] || ds[{0}.pos % 3 + 2:], '')), sib || array_to_string(ds[:{0}.pos % 3] || ds[{0}.pos % 3 + 2:], '')"
+    return f"""
+        WITH RECURSIVE l AS MATERIALIZED (
+            SELECT doc_id, source, {_leaf_sql('text')} AS leaf,
+                   CASE WHEN {_crc_sql('doc_id::VARCHAR')} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql('text')} END AS bent FROM documents),
+        p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM l),
+        lv AS (SELECT source, 0 AS lvl, pos, leaf AS d, n FROM p
+               UNION ALL SELECT source, lvl + 1, pos // 3, sha256(string_agg(d, '' ORDER BY pos)), (n + 2) // 3 FROM lv WHERE n > 1 GROUP BY source, lvl, pos // 3, n),
+        sub AS MATERIALIZED (SELECT source, d AS subroot, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM lv WHERE n = 1),
+        tv AS (SELECT 0 AS lvl, pos, subroot AS d, n FROM sub
+               UNION ALL SELECT lvl + 1, pos // 3, sha256(string_agg(d, '' ORDER BY pos)), (n + 2) // 3 FROM tv WHERE n > 1 GROUP BY lvl, pos // 3, n),
+        runs AS MATERIALIZED (SELECT source, lvl, pos // 3 AS run, list(d ORDER BY pos) AS ds FROM lv WHERE n > 1 GROUP BY ALL),
+        truns AS MATERIALIZED (SELECT lvl, pos // 3 AS run, list(d ORDER BY pos) AS ds FROM tv WHERE n > 1 GROUP BY ALL),
+        f AS (SELECT source, pos AS at_, 0 AS lvl, pos, bent AS cur, '' AS sib FROM p
+              UNION ALL SELECT f.source, at_, f.lvl + 1, f.pos // 3, {step.format('f')}
+              FROM f JOIN runs r ON r.source IS NOT DISTINCT FROM f.source AND r.lvl = f.lvl AND r.run = f.pos // 3),
+        f1 AS MATERIALIZED (SELECT source, at_, arg_max(cur, lvl) AS cur, arg_max(sib, lvl) AS sib FROM f GROUP BY ALL),
+        g AS (SELECT f1.source, at_, 0 AS lvl, s.pos, cur, sib FROM f1 JOIN sub s ON s.source IS NOT DISTINCT FROM f1.source
+              UNION ALL SELECT source, at_, g.lvl + 1, g.pos // 3, {step.format('g')} FROM g JOIN truns r ON r.lvl = g.lvl AND r.run = g.pos // 3),
+        g1 AS (SELECT source, at_, arg_max(cur, lvl) AS cur, arg_max(sib, lvl) AS sib FROM g GROUP BY ALL),
+        top AS (SELECT d AS root FROM tv WHERE n = 1)
+        SELECT p.doc_id, p.leaf, subroot, root, sha256(sib) AS proof_sha256, cur AS folded_root, cur = root AS verified
+        FROM p JOIN sub ON sub.source IS NOT DISTINCT FROM p.source JOIN g1 ON g1.source IS NOT DISTINCT FROM p.source AND g1.at_ = p.pos CROSS JOIN top"""
+
+
+#: Runs by comparing each word with the equal ones up to a quarter of the text further on.
+_RUNS_SQL = f"""
+        WITH t AS (SELECT doc_id, {_WORDS} AS w, {_crc_sql('doc_id::VARCHAR')} AS h FROM documents),
+        u AS (SELECT doc_id, w, h, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a,
+                     1 + (len(w) - (h // 10) % greatest(len(w), 1)) // (3 + (h // 10) % 8) AS p FROM t),
+        d AS MATERIALIZED (SELECT doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(range(len(w)), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) END AS w FROM u),
+        pos AS MATERIALIZED (SELECT doc_id, len(w) AS n, unnest(w) AS x, unnest(range(len(w))) AS i FROM d),
+        eq AS (SELECT a.doc_id, b.i - a.i AS p, a.i FROM pos a JOIN pos b ON a.doc_id = b.doc_id AND a.x = b.x AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+        isle AS (SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS k FROM eq),
+        per AS (SELECT doc_id, p, min(i) AS start, count(*) + p AS length FROM isle GROUP BY doc_id, p, k HAVING count(*) + p >= greatest(6, 4 * p)),
+        run AS MATERIALIZED (SELECT doc_id, start, length, min(p) AS period FROM per GROUP BY ALL),
+        said AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS said FROM run GROUP BY doc_id),
+        best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+        kept AS (SELECT pos.doc_id, string_agg(x, ' ' ORDER BY pos.i) AS kept FROM pos ANTI JOIN gone USING (doc_id, i) GROUP BY pos.doc_id)
+        SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+               CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+        FROM d LEFT JOIN said USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
 ORACLE = {
+    "op11_merkle_manifest": _merkle_sql(),
+    "op12_periodic_runs": _RUNS_SQL,
     "op4_warc_fixity": r"""
         WITH head AS (
             SELECT page_id, coalesce(html, '') AS html,
