@@ -30,9 +30,11 @@ VOCABULARIES = ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The band: quartiles widened by so many of their distances on either side,
 #: and by the floor of a measure at least.
-WIDTH = 4.0
-#: Per measure: step in which it is counted, least widening in steps, whether too little counts.
-MEASURES = {"chars_per_token": (0.005, 20, True), "byte_share": (0.001, 30, False), "entropy": (0.01, 30, True)}
+WIDTH = 2.5
+#: Per measure: step in which it is counted, least widening in steps, its
+#: multiples below and above (0: no bound; many distinct words are no fault
+#: until far above what is usual).
+MEASURES = {"chars_per_token": (0.005, 20, 1, 1), "byte_share": (0.001, 50, 0, 1), "entropy": (0.01, 30, 1, 2)}
 #: Documents that a band stands on at least; with fewer, the script's band is
 #: taken, then none. Texts of fewer words are left to the base rules.
 LEAST_GROUP, LEAST_WORDS = 50, 10
@@ -241,7 +243,7 @@ def bands(measured: DataFrame, n: int, width: float = WIDTH) -> DataFrame:
     are counted in steps, so quartiles come from exact counts."""
     rows = []
     for k in range(n):
-        for m, (step, _, _) in MEASURES.items():
+        for m, (step, *_) in MEASURES.items():
             rows.append(F.named_struct(F.lit("measure"), F.lit(m), F.lit("k"), F.lit(k), F.lit("octave"), _length(F.col(f"tokens_{k}")),
                                        F.lit("steps"), F.floor(F.col(f"{m}_{k}") / step + 0.5).cast("long")))
     groups = F.array(F.struct(F.lit("lang").alias("by"), F.col("lang").alias("group")), F.struct(F.lit("script").alias("by"), F.col("script").alias("group")))
@@ -254,11 +256,10 @@ def bands(measured: DataFrame, n: int, width: float = WIDTH) -> DataFrame:
     at = lambda share: F.min(F.when(F.col("below") >= share * F.col("all"), F.col("steps")))
     quart = (spread.groupBy("by", "group", "measure", "k", "octave").agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.max("all").alias("n"))
              .where(F.col("n") >= LEAST_GROUP))
-    floor = F.create_map(*[x for m, (_, least, _) in MEASURES.items() for x in (F.lit(m), F.lit(least))])
-    low = F.create_map(*[x for m, (_, _, both) in MEASURES.items() for x in (F.lit(m), F.lit(both))])
-    wide = F.greatest((F.lit(width) * (F.col("q3") - F.col("q1"))).cast("long"), F.element_at(floor, F.col("measure")).cast("long"))
+    of = lambda i: F.element_at(F.create_map(*[F.lit(x) for m, said in MEASURES.items() for x in (m, said[i])]), F.col("measure"))
+    wide = F.greatest((F.lit(width) * (F.col("q3") - F.col("q1"))).cast("long"), of(1).cast("long"))
     return quart.select("by", "group", "octave", "measure", "k",
-                        F.when(F.element_at(low, F.col("measure")), F.col("q1") - wide).alias("low"), (F.col("q3") + wide).alias("high"))
+                        F.when(of(2) > 0, F.col("q1") - of(2) * wide).alias("low"), (F.col("q3") + of(3) * wide).alias("high"))
 
 
 def _bounds(made: DataFrame, by: str) -> DataFrame:
@@ -289,7 +290,7 @@ def quality(docs: DataFrame, folder: str = FOLDER, names: tuple[str, ...] = VOCA
         rows = rows.join(own, F.col(by) == F.col(f"b_{by}"), "left").drop(f"b_{by}")
     outside = []
     for k in range(len(names)):
-        for m, (step, _, _) in MEASURES.items():
+        for m, (step, *_) in MEASURES.items():
             at = F.concat_ws(":", F.lit(m), F.lit(k), _length(F.col(f"tokens_{k}")))
             band = F.coalesce(F.try_element_at("of_lang", at), F.try_element_at("of_script", at))
             steps = F.floor(F.col(f"{m}_{k}") / step + 0.5).cast("long")
