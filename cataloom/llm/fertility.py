@@ -232,9 +232,9 @@ def fertility(docs: DataFrame, folder: str = FOLDER, names: tuple[str, ...] = VO
     return whole.mapInArrow(run, schema)
 
 
-def _length(tokens: Column) -> Column:
-    """Length class: octaves of tokens."""
-    return F.floor(F.log2(F.greatest(tokens, F.lit(1)).cast("double"))).cast("long")
+def _octave() -> Column:
+    """Length class of a text: octaves of words, which no vocabulary changes."""
+    return F.floor(F.log2(F.greatest(F.col("n_words"), F.lit(1)).cast("double"))).cast("long")
 
 
 def bands(measured: DataFrame, n: int, width: float = WIDTH) -> DataFrame:
@@ -244,7 +244,7 @@ def bands(measured: DataFrame, n: int, width: float = WIDTH) -> DataFrame:
     rows = []
     for k in range(n):
         for m, (step, *_) in MEASURES.items():
-            rows.append(F.named_struct(F.lit("measure"), F.lit(m), F.lit("k"), F.lit(k), F.lit("octave"), _length(F.col(f"tokens_{k}")),
+            rows.append(F.named_struct(F.lit("measure"), F.lit(m), F.lit("k"), F.lit(k), F.lit("octave"), _octave(),
                                        F.lit("steps"), F.floor(F.col(f"{m}_{k}") / step + 0.5).cast("long")))
     groups = F.array(F.struct(F.lit("lang").alias("by"), F.col("lang").alias("group")), F.struct(F.lit("script").alias("by"), F.col("script").alias("group")))
     said = (measured.where(F.col("n_words") >= LEAST_WORDS).select(F.explode(groups).alias("g"), F.array(*rows).alias("rows"))
@@ -291,7 +291,7 @@ def quality(docs: DataFrame, folder: str = FOLDER, names: tuple[str, ...] = VOCA
     outside = []
     for k in range(len(names)):
         for m, (step, *_) in MEASURES.items():
-            at = F.concat_ws(":", F.lit(m), F.lit(k), _length(F.col(f"tokens_{k}")))
+            at = F.concat_ws(":", F.lit(m), F.lit(k), _octave())
             band = F.coalesce(F.try_element_at("of_lang", at), F.try_element_at("of_script", at))
             steps = F.floor(F.col(f"{m}_{k}") / step + 0.5).cast("long")
             outside.append(F.when(steps < band["low"], f"{m}:{k}:low").when(steps > band["high"], f"{m}:{k}:high"))
