@@ -21,7 +21,7 @@ def duck(sf_dir):
 
 
 def test_registered():
-    assert len({re.match(r"op(\d+)_", name)[1] for name in QUERIES}) == 10
+    assert len({re.match(r"op(\d+)_", name)[1] for name in QUERIES}) == 13
     assert {*QUERIES, "pipeline"} <= set(entry.queries()) and set(ORACLE) <= set(QUERIES)
 
 

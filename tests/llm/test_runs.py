@@ -1,0 +1,126 @@
+"""Periodic runs against a search of all periods at all places."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+import support
+from cataloom.llm import periodic_runs as pr
+from cataloom.llm import queries
+
+
+def plain(words):
+    """(start, period, length) of all runs."""
+    found = {}
+    for p in range(1, len(words) // 4 + 1):
+        i = 0
+        while i + p < len(words):
+            j = i
+            while j + p < len(words) and words[j] == words[j + p]:
+                j += 1
+            if j - i + p >= max(6, 4 * p):
+                found.setdefault((i, j - i + p), p)
+            i = j + 1
+    return sorted((s, p, n) for (s, n), p in found.items())
+
+
+def planted(doc, words):
+    h = zlib.crc32(str(doc).encode())
+    n, g = len(words), h // 10
+    if doc is None or h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def digest(rows):
+    out = []
+    for doc, text in rows:
+        words = planted(doc, support.words(text))
+        runs = plain(words)
+        gone = {i for s, p, n in runs for i in range(s + p, s + n)}
+        best = min(runs, key=lambda r: (-r[2] / r[1], r[0], r[1])) if runs else None
+        said = "".join(f"{s},{n},{p}\n" for s, p, n in runs)
+        out.append((doc, len(runs), *((best[0], best[2], best[1], 1000 * best[2] // best[1]) if best else (None,) * 4), hashlib.sha256(said.encode()).hexdigest(),
+                    hashlib.sha256(b" ".join(w for i, w in enumerate(words) if i not in gone)).hexdigest()))
+    return out
+
+
+def random_texts(rng):
+    for _ in range(rng.randrange(1, 6)):
+        k, n = rng.choice([1, 2, 3, 50]), rng.choice([0, 1, 5, 6, 30, 200, 400])
+        words = [rng.randrange(1, k + 1) for _ in range(n)]
+        for _ in range(rng.randrange(3) if n > 8 else 0):
+            a = rng.randrange(n)
+            p = 1 + rng.randrange((n - a) // rng.randrange(3, 9) + 1)
+            for i in range(a, rng.randrange(a, n + 1)):
+                words[i] = words[a + (i - a) % p]
+        yield words
+
+
+@pytest.mark.parametrize("pairs", [1 << 20, 50])
+def test_random_texts(monkeypatch, pairs):
+    monkeypatch.setattr(pr, "_PAIRS", pairs)
+    rng = random.Random(3)
+    for _ in range(120):
+        texts = list(random_texts(rng))
+        counts = np.array(list(map(len, texts)))
+        first = np.concatenate([[0], np.cumsum(counts + 1)[:-1]])
+        joined = np.concatenate([[*w, 100 + i] for i, w in enumerate(texts)]).astype(np.int64)
+        want = sorted((s + f, p, n) for f, w in zip(first.tolist(), texts) for s, p, n in plain(w))
+        assert [tuple(x) for x in pr.runs(joined, first, counts).tolist()] == want
+
+
+def test_extensions(monkeypatch):
+    rng = random.Random(5)
+    for words in ([1] * 500, [1, 2] * 300 + [3] + [1, 2] * 200, [rng.randrange(1, 3) for _ in range(900)]):
+        array = np.array([*words, 9], np.int64)
+        extend = pr.Extensions(array, np.zeros(len(array), np.int64))
+        i = np.array([rng.randrange(len(words) - 1) for _ in range(200)])
+        j = np.array([rng.randrange(a + 1, len(words)) for a in i.tolist()])
+        for a, b, got in zip(i.tolist(), j.tolist(), extend(i, j).tolist()):
+            want = 0
+            while array[a + want] == array[b + want]:
+                want += 1
+            assert got == want
+
+
+def awkward(rng):
+    rows = support.awkward()
+    for i in range(40):  # ids of which every tenth or so is planted
+        rows.append((1000 + i, support.sentence(rng, rng.randrange(1, 400), 30)))
+    rows += [(2000, "a b\tc\n" * 50), (2001, "x " * 6), (2002, "x " * 5), (2003, "é ü " * 9 + "z"), (2004, "p q r " * 3 + "p q"), (2005, "p q r " * 4), (2006, "a a a a a a b " * 7)]
+    rows += [(2007, ("w " * 40 + "v ") * 60), (2008, "one" * 50_000)]
+    return [r for r in rows if r[0] != 340]
+
+
+def test_query(spark, monkeypatch):
+    rows = awkward(random.Random(9))
+    docs = support.frame(spark, rows).withColumnRenamed("words", "p")
+    monkeypatch.setattr(queries, "_table", lambda *_: docs)
+    got = queries.op12_periodic_runs(spark, "")
+    support.same(got, digest(rows), ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"])
+    monkeypatch.setattr(queries, "_table", lambda *_: docs.limit(0))
+    assert queries.op12_periodic_runs(spark, "").collect() == []
+
+
+def test_outputs(spark):
+    docs = support.frame(spark, [(1, "go on and on and on and on and off"), (2, None), (None, "a a a a a a")])
+    got = {r.doc_id: r for r in pr.periodic_runs(docs).collect()}
+    assert [tuple(x) for x in got[1].runs] == [(1, 8, 2)] and got[1].kept_text == "go on and off"
+    assert got[2].runs == [] and got[2].kept_text == "" and got[2].n_words == 0
+    assert [tuple(x) for x in got[None].runs] == [(0, 6, 1)] and got[None].kept_text == "a"
+
+
+def test_a_long_text():
+    """A million words, periodic and not."""
+    rng = np.random.default_rng(1)
+    words = rng.integers(1, 5000, 1_000_000)
+    words[200_000:700_000] = np.tile(words[200_000:200_050], 10_000)
+    words[700_000], words[199_999] = 6000, 6001
+    got = pr.runs(np.append(words, 7000), np.array([0]), np.array([len(words)]))
+    assert [200_000, 50, 500_000] in got.tolist() and len(got) < 10
