@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from functools import cache
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,31 +74,24 @@ def _java_literal(ch: str) -> str:
     return "\\" + ch if ch.isascii() and not ch.isalnum() else ch
 
 
-def like_regex(body: str, literal=_java_literal, one: str = ".", lead: str = "") -> str:
+def like_regex(body: str, literal=_java_literal, one: str = ".") -> str:
     """Java regex equal to ``LIKE body`` (escapes as in ``clean_escapes``);
-    ``literal`` writes a character of the body, ``one`` stands for ``_`` and
-    ``lead`` for what may precede the first character.
+    ``literal`` writes a character of the body and ``one`` stands for ``_``.
 
     ``%`` splits the body into fixed-length segments (``_`` is one
     character). Each inner segment is an atomic lazy group, so it binds to
     its earliest occurrence after the previous one and is never retried:
     the earliest end is always the best choice for a fixed-length segment,
     and the match stays linear in the text length instead of backtracking."""
-    segments, current, i = [], [], 0
-    while i < len(body):
-        ch = body[i]
-        if ch == "\\" and i + 1 < len(body):
-            current.append(literal(body[i + 1]))
-            i += 2
-            continue
-        if ch == "%":
+    segments, current = [], []
+    for kind, char in _tokens(body):
+        if kind == "%":
             segments.append("".join(current))
             current = []
         else:
-            current.append(one if ch == "_" else literal(ch))
-        i += 1
+            current.append(one if kind == "_" else literal(char))
     segments.append("".join(current))
-    regex = "(?s)^" + lead
+    regex = "(?s)^"
     last = len(segments) - 1
     for n, seg in enumerate(segments):
         if n == 0:
@@ -111,55 +105,110 @@ def like_regex(body: str, literal=_java_literal, one: str = ".", lead: str = "")
     return regex
 
 
-def fold_text(value: str | None) -> str | None:
-    """The folding: canonical decomposition, combining marks dropped, lower
-    case. Character by character: ``ß`` stays one character, for instance."""
-    if value is None:
-        return None
-    decomposed = unicodedata.normalize("NFD", value)
-    return "".join(c for c in decomposed if not unicodedata.combining(c)).lower()
-
-
-def _ranges(points: list[int]) -> str:
-    """Java regex class body for code points, as \\uXXXX ranges."""
+def _tokens(body: str) -> list[tuple[str, str]]:
+    """(kind, character) of a cleaned LIKE body: ``%``, ``_`` or ``=`` for a
+    character that stands for itself."""
     out, i = [], 0
-    while i < len(points):
-        j = i
-        while j + 1 < len(points) and points[j + 1] == points[j] + 1:
-            j += 1
-        out.append(f"\\u{points[i]:04x}" if i == j else f"\\u{points[i]:04x}-\\u{points[j]:04x}")
-        i = j + 1
-    return "".join(out)
-
-
-@cache
-def _fold_classes() -> tuple[dict[str, str], str]:
-    """For every folded character, the class of raw BMP characters that fold
-    to it; and the class of combining marks, which folding removes. Built on
-    first use."""
-    groups: dict[str, list[int]] = {}
-    marks: list[int] = []
-    for cp in range(0x10000):
-        if 0xD800 <= cp <= 0xDFFF:
+    while i < len(body):
+        if body[i] == "\\" and i + 1 < len(body):
+            out.append(("=", body[i + 1]))
+            i += 2
             continue
-        ch = chr(cp)
-        if unicodedata.combining(ch):
-            marks.append(cp)
+        out.append((body[i] if body[i] in "%_" else "=", body[i]))
+        i += 1
+    return out
+
+
+#: The collation that insensitive terms are compared under.
+COLLATION = "UNICODE_CI_AI"
+# Letters that this collation holds equal to several others.
+_SPELT_OUT = {"ss": "ß\u1e9e", "ae": "æÆ", "oe": "œŒ", "ij": "ĳĲ", "ff": "\ufb00", "fi": "\ufb01", "fl": "\ufb02", "ffi": "\ufb03",
+              "ffl": "\ufb04", "st": "\ufb05\ufb06"}
+#: Texts in which the collation compares character by character, letter case aside.
+_PLAIN = r"^[\t\n\x20-\x7E]*\z"
+_STATES = 60
+
+
+def _units(literal: str) -> list[str]:
+    """What a reader takes for one character each (a letter with its marks, a
+    syllable), without what the collation ignores."""
+    for spelt, letters in _SPELT_OUT.items():
+        for letter in letters:
+            literal = literal.replace(letter, spelt)
+    ignored = lambda u: all(unicodedata.category(c) in ("Mn", "Me", "Cf", "Cc") and c not in "\t\n\v\f\r" for c in u)
+    return [u for u in regex.findall(r"\X", literal) if not ignored(u)]
+
+
+def _pattern(body: str) -> tuple[list[str | None], set[int]]:
+    """(units, None for ``_``; places before which anything may stand)."""
+    units, free, literal = [], set(), ""
+    for kind, char in [*_tokens(body), ("%", "")]:
+        if kind == "=":
+            literal += char
             continue
-        f = fold_text(ch)
-        if len(f) == 1:
-            groups.setdefault(f, []).append(cp)
-    return {f: f"[{_ranges(cps)}]" for f, cps in groups.items()}, f"[{_ranges(marks)}]"
-
-
-def folded_like_regex(body: str) -> str:
-    """Java regex that, applied to the RAW text, equals ``fold(text) LIKE
-    fold(body)``: every literal character is the class of the characters
-    folding to it, followed by any combining marks; ``_`` is one character
-    that is not a mark. The text itself is never rewritten."""
-    classes, marks = _fold_classes()
-    return like_regex(body, lambda ch: classes.get(ch, _java_literal(ch)) + marks + "*",
-                      f"[^{marks[1:-1]}]{marks}*", marks + "*")
+        units += _units(literal)
+        literal = ""
+        if kind == "_":
+            units.append(None)
+        else:
+            free.add(len(units))
+    return units, free
+
+
+def _collated_like(c: Column, body: str) -> Column:
+    """``c LIKE %body%`` under the collation, in one pass over the characters
+    of the text. Bit k of the state says that the first k units of the body
+    have been matched; a state of more bits than a number has goes on in the next one."""
+    units, free = _pattern(body)
+    free |= {0, len(units)}
+    words = len(units) // _STATES + 1
+    bits = lambda places, w: sum(1 << p - w * _STATES for p in places if w * _STATES <= p < (w + 1) * _STATES)
+    loops = [bits(free, w) for w in range(words)]
+    one = [bits([k for k, u in enumerate(units) if u is None], w) for w in range(words)]
+    places: dict[str, list[int]] = {}
+    for k, u in enumerate(units):
+        if u is not None:
+            places.setdefault(u, []).append(k)
+    # a letter of the text that equals several of the body takes them all at once
+    spelt = {}
+    for name in _SPELT_OUT:
+        at = [k for k in range(len(units) - len(name) + 1)
+              if free.isdisjoint(range(k + 1, k + len(name))) and [u and u.lower() for u in units[k:k + len(name)]] == list(name)]
+        if at:
+            spelt[name] = at
+
+    def step(state: Column, char: Column) -> Column:
+        is_ = {u: char == F.lit(u) for u in [*places, *spelt]}
+        out, carry = [], None
+        for w in range(words):
+            old, met = state[f"w{w}"], F.lit(one[w])
+            for u, own in places.items():
+                if bits(own, w):
+                    met = met.bitwiseOR(F.when(is_[u], F.lit(bits(own, w)).cast("long")).otherwise(F.lit(0).cast("long")))
+            new = F.shiftleft(old.bitwiseAND(met), 1).bitwiseOR(old.bitwiseAND(F.lit(loops[w])))
+            for name, own in spelt.items():
+                if bits(own, w):
+                    taken = F.shiftleft(old.bitwiseAND(F.lit(bits(own, w))), len(name))
+                    new = new.bitwiseOR(F.when(is_[name], taken).otherwise(F.lit(0).cast("long")))
+            if carry is not None:
+                new = new.bitwiseOR(carry)
+            carry = F.shiftright(new, _STATES)
+            out.append(new.bitwiseAND(F.lit((1 << _STATES) - 1)).cast("long").alias(f"w{w}"))
+        return F.struct(*out)
+
+    chars = F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"(\X)")), lambda u: F.collate(u, COLLATION)), lambda u: u != F.lit(""))
+    start = F.struct(*[F.lit(1 if w == 0 else 0).cast("long").alias(f"w{w}") for w in range(words)])
+    end = F.aggregate(chars, start, step)
+    accepted = end[f"w{words - 1}"].bitwiseAND(F.lit(1 << len(units) - (words - 1) * _STATES)) != 0
+    for piece in _pieces(body):
+        accepted = F.contains(F.collate(c, COLLATION), F.lit(piece)) & accepted
+    return accepted
+
+
+def _pieces(body: str) -> list[str]:
+    """The literal texts between the wildcards of a body."""
+    said = "".join(char if kind == "=" else "\0" for kind, char in _tokens(body))
+    return [piece for piece in said.split("\0") if _units(piece)]
 
 
 def contains_term(col, term: str, collation: str = INSENSITIVE) -> Column:
@@ -167,11 +216,14 @@ def contains_term(col, term: str, collation: str = INSENSITIVE) -> Column:
 
     * ``binary``: plain LIKE; Catalyst turns ``%x%`` into ``Contains`` and
       pushes it into the Parquet scan.
-    * ``insensitive`` to case and accents, compared character by character,
-      with or without wildcards: a regex over the raw text whose characters
-      match every character that folds to them. Texts of ASCII characters
-      only, where folding is lower-casing, answer a literal term by a plain
-      ``contains``, with the same result.
+    * ``insensitive`` to case and accents: a literal term is searched under
+      the collation COLLATION, which knows every script; ``ß`` equals ``ss``. A term
+      with wildcards is compared under the same collation character by
+      character, where a character is a letter with its marks or a whole
+      syllable: ``_`` stands for one, and for one ``ß`` too. No literal matches
+      half a character (``s`` is not in ``ß``). Texts and terms of printable
+      ASCII characters, where that is lower-casing, are answered without a
+      collation, with the same result.
     A NULL column never matches.
     """
     c = F.col(col) if isinstance(col, str) else col
@@ -182,9 +234,11 @@ def contains_term(col, term: str, collation: str = INSENSITIVE) -> Column:
         return c.rlike(like_regex(f"%{cleaned}%"))
     if collation != INSENSITIVE:
         raise ValueError(f"collation is {INSENSITIVE!r} or {BINARY!r}")
-    folded = fold_text(cleaned)
-    matches = c.rlike(folded_like_regex(f"%{folded}%"))
+    plain_term = re.match(_PLAIN.replace("\\z", "\\Z"), cleaned) is not None
     if has_wildcard(cleaned):
-        return matches
-    ascii_only = F.octet_length(c) == F.length(c)
-    return F.when(ascii_only, F.contains(F.lower(c), F.lit(unescape(folded)))).otherwise(matches)
+        collated = _collated_like(c, cleaned)
+        quick = F.lower(c).rlike(like_regex(f"%{cleaned.lower()}%"))
+    else:
+        collated = F.contains(F.collate(c, COLLATION), F.lit(unescape(cleaned)))
+        quick = F.contains(F.lower(c), F.lit(unescape(cleaned).lower()))
+    return F.when(c.rlike(_PLAIN), quick).otherwise(collated) if plain_term else collated

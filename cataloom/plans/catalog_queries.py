@@ -73,6 +73,31 @@ def catalog_search_wildcard(spark, d):
     return se.search(fx.fx_file_list(spark, d), prompt="Q_E%EAU").select("id")
 
 
+_SCRIPTS = """concat(prompt, case id % 6 when 0 then ' 한국어 문서' when 1 then ' 𐐀𐐁𐐂' when 2 then ' Große Straße'
+                                  when 3 then ' Щёлково' when 4 then ' ŁÓDŹ' else ' 日本語の文書' end)"""
+
+
+@register("catalog_search_scripts", f"""
+, t as (select id, {_SCRIPTS} as p, replace(lower(strip_accents({_SCRIPTS})), 'ß', 'ss') as folded from fx_file_list)
+select '한국' as term, id from t where contains(p, '한국')
+union all select '국어_문서', id from t where p like '%국어_문서%'
+union all select '𐐨𐐩', id from t where contains(lower(p), '𐐨𐐩')
+union all select '𐐨_𐐪', id from t where lower(p) like '%𐐨_𐐪%'
+union all select 'GROSSE STRASSE', id from t where contains(folded, 'grosse strasse')
+union all select 'ELKOVO%', id from t where false
+union all select 'щелк_во', id from t where contains(p, 'Щёлково')
+union all select 'łódź', id from t where contains(replace(folded, 'ł', 'l'), 'lodz')
+union all select '語%書', id from t where p like '%語%書%'""")
+def catalog_search_scripts(spark, d):
+    """Terms of several scripts, letters of several cases and ``ß``, with and without wildcards."""
+    f = fx.fx_file_list(spark, d).withColumn("prompt", F.expr(_SCRIPTS))
+    out = None
+    for term in ("한국", "국어_문서", "𐐨𐐩", "𐐨_𐐪", "GROSSE STRASSE", "ELKOVO%", "щелк_во", "łódź", "語%書"):
+        found = se.search(f, prompt=term).select(F.lit(term).alias("term"), "id")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @register("display_rows", """
 select id, coalesce(name, '') as name, coalesce(class, '') as class, coalesce(prompt, '') as prompt,
        coalesce(origin_path, '') as origin_path, coalesce(target_path, '') as target_path
