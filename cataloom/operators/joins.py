@@ -64,16 +64,23 @@ def scratch_tables(spark: SparkSession):
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def scratch_folder(spark: SparkSession, kind: str = "tables") -> str:
+    """A new folder below the shared checkpoint folder, deleted with the
+    tables of the job around it."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+    for made in _open_scopes:
+        made.append(path)
+    return path
+
+
 def measured(df: DataFrame) -> DataFrame:
     """Write a request-sized table to the shared checkpoint folder and read
     it back. The planner then sizes it from its files: it is broadcast only
     when under ``spark.sql.autoBroadcastJoinThreshold``, and joined by
     shuffle beyond that, so a small batch never makes the catalog shuffle."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = scratch_folder(spark)
     df.write.parquet(path)
-    for made in _open_scopes:
-        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -15,6 +15,8 @@ from cataloom.operators import images as im
 from cataloom.operators import search as se
 from cataloom.operators import sync as sy
 from cataloom.operators import transfer as tr
+from cataloom.operators.joins import measured, scratch_folder
+from cataloom.operators.search_index import SearchIndex
 from cataloom.schema import rejects
 from cataloom.sources import fixtures as fx
 from cataloom.sources.fixtures import BASE_URL, NEW_ROOT, OLD_ROOT, RUN_TS, with_fixtures
@@ -98,6 +100,28 @@ def catalog_search_scripts(spark, d):
     return out
 
 
+@register("catalog_search_indexed", """
+, t as (select id, name, class, file_name, replace(lower(strip_accents(prompt)), 'ß', 'ss') as folded, prompt from fx_file_list)
+select 'etion' as term, id from t where contains(folded, 'etion')
+union all select 'ÉTION the', id from t where contains(folded, 'etion the')
+union all select 'aße', id from t where contains(folded, 'asse')
+union all select 'Q_E%EAU', id from t where lower(strip_accents(prompt)) like '%q_e%eau%'
+union all select 'he', id from t where contains(folded, 'he')
+union all select 'ing src12 en', id from t where contains(folded, 'ing') and contains(lower(name), 'src12') and contains(class, 'en')
+union all select 'no such text', id from t where contains(folded, 'no such text')""")
+def catalog_search_indexed(spark, d):
+    """Searches of one snapshot answered from its trigram index."""
+    catalog = measured(fx.fx_file_list(spark, d))
+    index = SearchIndex.build(catalog, scratch_folder(spark, "search_index"))
+    asked = {"etion": {"prompt": "etion"}, "ÉTION the": {"prompt": "ÉTION the"}, "aße": {"prompt": "aße"}, "Q_E%EAU": {"prompt": "Q_E%EAU"},
+             "he": {"prompt": "he"}, "ing src12 en": {"prompt": "ing", "name": "SRC12", "class_": "en"}, "no such text": {"prompt": "no such text"}}
+    out = None
+    for term, fields in asked.items():
+        found = index.search(catalog, **fields).select(F.lit(term).alias("term"), "id")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @register("display_rows", """
 select id, coalesce(name, '') as name, coalesce(class, '') as class, coalesce(prompt, '') as prompt,
        coalesce(origin_path, '') as origin_path, coalesce(target_path, '') as target_path
