@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import errno
 import os
+import shutil
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -51,30 +54,87 @@ def upload_status(uploads: DataFrame, assigned: DataFrame, key: str = "upload_id
     return uploads.join(named, F.col(key) == F.col("_key"), "left").select(key, "file_list_id", status.alias("status"), "sort", "image")
 
 
+def _seen(pdf: pd.DataFrame) -> pd.Series:
+    """Who the file at ``upload_path`` is, as ``_identity`` tells; None without one."""
+    return pd.Series([None if p is None or not has else _identity(p) for p, has in zip(pdf["upload_path"], pdf["has_file"])], dtype=object)
+
+
+def _identity(path: str) -> str | None:
+    """Size and time of change in nanoseconds: what a move keeps, also one to
+    another file system, and no other file shares."""
+    try:
+        st = os.stat(path)
+    except OSError:
+        return None
+    return f"{st.st_size}:{st.st_mtime_ns}"
+
+
 def placeable(uploads: DataFrame) -> DataFrame:
-    """Uploads that have no file, or one that is there: a missing file fails
-    its upload before it takes a number, as a failed move did."""
-    asked = probe_missing(uploads.withColumn("_there", F.lit(None).cast("boolean")), "upload_path", "_there")
-    return asked.where(~F.col("has_file") | F.coalesce("_there", F.lit(False))).drop("_there")
+    """Uploads that have no file, or one that is there (with its ``identity``):
+    a missing file fails its upload before it takes a number, as a failed
+    move did."""
+    schema = T.StructType(uploads.schema.fields + [T.StructField("identity", T.StringType())])
+    asked = uploads.mapInPandas(lambda batches: (pdf.assign(identity=_seen(pdf)) for pdf in batches), schema)
+    return asked.where(~F.col("has_file") | F.col("identity").isNotNull())
+
+
+def claim_numbers(ready: DataFrame, images: DataFrame, claims: DataFrame, run: str) -> DataFrame:
+    """The next table of claims (run, upload_id, file_list_id, sort): those
+    that the image rows don't show yet, and one for each upload of ``run``,
+    above every number that an image row or a claim of its catalog row has."""
+    shown = images.groupBy(F.col("file_list_id").alias("_row")).agg(F.max("sort").alias("_shown"))
+    open_ = (lookup(claims, shown.withColumnRenamed("_row", "file_list_id"), "file_list_id", "upload_id")
+             .where(F.col("_shown").isNull() | (F.col("sort") > F.col("_shown"))).select("run", "upload_id", "file_list_id", "sort"))
+    taken = images.select("file_list_id", "sort").unionByName(claims.select("file_list_id", "sort"))
+    own = image_assign(ready, taken).select(F.lit(run).alias("run"), F.col("upload_id").cast("long").alias("upload_id"), "file_list_id", "sort")
+    return open_.unionByName(own)
+
+
+def claimed(uploads: DataFrame, claims: DataFrame, run: str) -> DataFrame:
+    """(upload_id, file_list_id, sort, image) of the uploads of ``run``, by its published claims."""
+    mine = claims.where(F.col("run") == run).select(F.col("upload_id").alias("_id"), "sort")
+    joined = uploads.select("upload_id", "file_list_id", "has_file").join(mine, F.col("upload_id") == F.col("_id"))
+    return joined.select("upload_id", "file_list_id", "sort", F.when(F.col("has_file"), image_path("file_list_id", "sort")).alias("image"))
 
 
 _PLACED = T.StructType([T.StructField("upload_id", T.LongType()), T.StructField("outcome", T.StringType()),
                         T.StructField("detail", T.StringType())])
 
 
+def _place(src: str, dest: str, identity: str) -> tuple[str, str | None]:
+    """Move a file to a name that must be free. The name comes into being as a
+    link of the whole file, in one step that fails if it is there."""
+    os.makedirs(os.path.dirname(dest), exist_ok=True)
+    if not os.path.lexists(src):
+        # a retried task finds its file already moved
+        return ("placed", "retry") if _identity(dest) == identity else ("upload_missing", "the file has gone")
+    whole, copied = src, None
+    try:
+        try:
+            os.link(src, dest)
+        except OSError as err:
+            if err.errno != errno.EXDEV:
+                raise
+            copied = whole = f"{dest}.{uuid.uuid4().hex}.part"
+            shutil.copy2(src, whole)
+            os.link(whole, dest)
+    except FileExistsError:
+        if _identity(dest) != identity:
+            return "target_exists", None
+    finally:
+        if copied and os.path.exists(copied):
+            os.unlink(copied)
+    os.unlink(src)
+    return "placed", None
+
+
 def _mover(public_root: str):
     def run(batches):
         for pdf in batches:
             out = []
-            for src, image in zip(pdf["upload_path"], pdf["image"]):
-                dest = os.path.join(public_root, image.lstrip("/"))
+            for src, image, identity in zip(pdf["upload_path"], pdf["image"], pdf["identity"]):
                 try:
-                    os.makedirs(os.path.dirname(dest), exist_ok=True)
-                    os.replace(src, dest)
-                    out.append(("placed", None))
-                except FileNotFoundError as err:
-                    # a retried task finds its file already moved
-                    out.append(("placed", "retry") if os.path.exists(dest) else ("upload_missing", str(err)))
+                    out.append(_place(src, os.path.join(public_root, image.lstrip("/")), identity))
                 except OSError as err:
                     out.append(("failed", str(err)))
             yield pd.DataFrame({"upload_id": pdf["upload_id"].astype("int64"),
@@ -83,14 +143,15 @@ def _mover(public_root: str):
 
 
 def image_place(assigned: DataFrame, uploads: DataFrame, public_root: str, out_path: str) -> DataFrame:
-    """Move every uploaded file to its numbered name under ``public_root``
-    (an existing file of that name is replaced, as the reference does) and
-    write one outcome per upload once; uploads without a file are skipped."""
+    """Move every uploaded file (``placeable``) to its numbered name under
+    ``public_root`` and write one outcome per upload once; uploads without a
+    file are skipped. A file that has the name already stays, and the
+    upload with it (``target_exists``)."""
     spark = assigned.sparkSession
     todo = (assigned.where(F.col("image").isNotNull())
-                    .join(uploads.select("upload_id", "upload_path"), "upload_id")
+                    .join(uploads.select("upload_id", "upload_path", "identity"), "upload_id")
                     .checkpoint())
-    todo.select(F.col("upload_id").cast("long"), "upload_path", "image") \
+    todo.select(F.col("upload_id").cast("long"), "upload_path", "identity", "image") \
         .mapInPandas(_mover(public_root), _PLACED) \
         .write.mode("errorifexists").parquet(out_path)
     return spark.read.parquet(out_path)

@@ -58,7 +58,8 @@ def scratch_tables(spark: SparkSession):
     try:
         yield
     finally:
-        _open_scopes.remove(made)
+        # this scope itself: an outer one may list the same tables
+        _open_scopes[:] = [scope for scope in _open_scopes if scope is not made]
         for path in made:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

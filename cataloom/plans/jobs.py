@@ -45,6 +45,10 @@ class Catalog:
     def images(self) -> SnapshotStore:
         return SnapshotStore(os.path.join(self.root, "file_image"), "file_image")
 
+    @property
+    def claims(self) -> SnapshotStore:
+        return SnapshotStore(os.path.join(self.root, "image_claim"), "image_claim")
+
     def run_dir(self, kind: str, version: int | None) -> str:
         return os.path.join(self.root, "runs", f"{kind}-from-v{version}-{uuid.uuid4().hex[:12]}")
 
@@ -136,21 +140,31 @@ def image_job(spark: SparkSession, catalog: Catalog, uploads: DataFrame, public_
               run_ts: str | None = None) -> DataFrame:
     """Number the uploads, move their files into place, then append the rows
     of those that were placed or have no file. An upload without a parent id,
-    or whose file is not there, takes no number and gets no row. (If a move
-    fails otherwise, its number stays unused: later names are on disk.)"""
+    or whose file is not there, takes no number and gets no row.
+
+    Numbers are claimed in a published table before any file moves. Of two
+    jobs that number at the same time, the later one to publish its claims
+    numbers again, above those of the other. A move never replaces a file: where
+    the name is taken after all, the upload stays where it is
+    (``target_exists``) and its number unused, as after any failed move."""
     ensure_checkpoint_dir(spark)
-    out_path = catalog.run_dir("image", catalog.images.current())
+    out_path, run = catalog.run_dir("image", catalog.images.current()), uuid.uuid4().hex
     with scratch_tables(spark):
         uploads = uploads.checkpoint()
-        assigned = im.image_assign(im.placeable(uploads).checkpoint(), catalog.images.read(spark)).checkpoint()
-        placed = im.image_place(assigned, uploads, public_root, f"{out_path}-moves")
+        ready = im.placeable(uploads).checkpoint()
+        # the claims are read before the image rows: a claim that is gone from the one is in the other
+        version = _publish(spark, catalog.claims, lambda claims: im.claim_numbers(ready, catalog.images.read(spark), claims, run))
+        assigned = im.claimed(ready, catalog.claims.read(spark, version), run).checkpoint()
+        placed = im.image_place(assigned, ready, public_root, f"{out_path}-moves")
         status = im.upload_status(uploads, assigned).join(placed, "upload_id", "left")
         status.write.mode("errorifexists").parquet(out_path)
     return image_record(spark, catalog, out_path, run_ts)
 
 
 def image_record(spark: SparkSession, catalog: Catalog, out_path: str, run_ts: str | None = None) -> DataFrame:
-    """Append the rows of a written image run that the table lacks."""
+    """Append the rows of a written image run that the table lacks. A row and
+    number belong to one upload of one run, which claimed them, so a run that is
+    recorded twice adds nothing and no other run's row stands for its own."""
     results, run_ts = spark.read.parquet(out_path), run_ts or now_run_ts()
     done = results.where("outcome = 'placed' or status = 'no_file'")
 

@@ -34,6 +34,14 @@ FILE_IMAGE = T.StructType([
     T.StructField("deleted_at", T.TimestampType(), True),
 ])
 
+# Numbers that an image run has taken before it moves a file.
+IMAGE_CLAIM = T.StructType([
+    T.StructField("run", T.StringType(), False),
+    T.StructField("upload_id", T.LongType(), True),
+    T.StructField("file_list_id", T.IntegerType(), False),
+    T.StructField("sort", T.IntegerType(), False),
+])
+
 # Fixed values of the catalog's storage definition: column defaults and the
 # character limits of the text columns (NOT NULL columns have limit entries too).
 DEFAULTS = {"file_list": {"path_check": True}, "file_image": {}}
@@ -44,7 +52,7 @@ LENGTH_LIMITS = {
 }
 NOT_NULL = {"file_list": ["id", "origin_path"], "file_image": ["id", "file_list_id"]}
 
-SCHEMAS = {"file_list": FILE_LIST, "file_image": FILE_IMAGE}
+SCHEMAS = {"file_list": FILE_LIST, "file_image": FILE_IMAGE, "image_claim": IMAGE_CLAIM}
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:

@@ -169,6 +169,72 @@ def test_failed_uploads_get_no_number_and_no_row(spark, world):
     assert cat.images.read(spark).count() == 3
 
 
+UPLOADS = "upload_id long, file_list_id int, upload_path string, has_file boolean"
+
+
+@pytest.mark.parametrize("between", ["claim_numbers", "image_place", "image_record"])
+def test_two_image_jobs_at_once_lose_nothing(spark, world, monkeypatch, between):
+    """A second job runs as the first one is about to claim its numbers, to
+    move its files or to record its rows."""
+    _, _, cat, tmp = world
+    public, mine, other = str(tmp / "public"), str(tmp / "uploads" / "mine"), str(tmp / "uploads" / "other")
+    _write(mine, b"mine")
+    _write(other, b"other")
+    where = jobs if between == "image_record" else jobs.im
+    real, met = getattr(where, between), []
+
+    def late(*args, **kw):
+        made = real(*args, **kw) if between == "claim_numbers" else None
+        if not met:
+            met.append(1)
+            met.append(image_job(spark, cat, spark.createDataFrame([(1, 5, other, True), (2, 5, None, False)], UPLOADS), public).collect())
+        return real(*args, **kw) if made is None else made
+
+    monkeypatch.setattr(where, between, late)
+    first = {r.upload_id: r for r in image_job(spark, cat, spark.createDataFrame([(1, 5, mine, True)], UPLOADS), public).collect()}
+    second = {r.upload_id: r for r in met[1]}
+    assert first[1].outcome == second[1].outcome == "placed" and first[1].image != second[1].image
+    for r, body in ((first[1], b"mine"), (second[1], b"other")):
+        with open(public + r.image, "rb") as f:
+            assert f.read() == body
+    rows = [(r.file_list_id, r.sort, r.image) for r in cat.images.read(spark).collect()]
+    assert sorted(r[1] for r in rows) == [1, 2, 3] and {r[2] for r in rows} == {first[1].image, second[1].image, None}
+    ids = [r.id for r in cat.images.read(spark).collect()]
+    assert len(set(ids)) == 3
+
+
+def test_a_file_in_the_way_stays(spark, world):
+    _, _, cat, tmp = world
+    public, own, there = str(tmp / "public"), str(tmp / "uploads" / "own"), str(tmp / "public" / "images" / "img5_001.png")
+    _write(own, b"own")
+    _write(there, b"not ours")
+    ask = lambda *rows: image_job(spark, cat, spark.createDataFrame(list(rows), UPLOADS), public).collect()
+    assert [(r.outcome, r.sort) for r in ask((1, 5, own, True))] == [("target_exists", 1)]
+    assert open(there, "rb").read() == b"not ours" and open(own, "rb").read() == b"own" and cat.images.read(spark).count() == 0
+    # the claimed number stays unused, and the next try goes on
+    assert [(r.outcome, r.image) for r in ask((1, 5, own, True))] == [("placed", "/images/img5_002.png")]
+
+
+def test_a_retried_move_knows_its_own_file(tmp_path):
+    src, dest = str(tmp_path / "up"), str(tmp_path / "images" / "img5_001.png")
+    _write(src, b"own")
+    identity = jobs.im._identity(src)
+    os.makedirs(os.path.dirname(dest))
+    os.link(src, dest)  # an attempt that died between link and unlink
+    assert jobs.im._place(src, dest, identity) == ("placed", None) and not os.path.exists(src)
+    assert jobs.im._place(src, dest, identity) == ("placed", "retry")
+    os.unlink(dest)
+    _write(dest, b"not ours, and the upload is gone")
+    assert jobs.im._place(src, dest, identity)[0] == "upload_missing"
+
+
+def test_claims_that_image_rows_show_are_dropped(spark, world):
+    _, _, cat, tmp = world
+    for i in range(3):
+        image_job(spark, cat, spark.createDataFrame([(1, 5, None, False), (2, 6, None, False)], UPLOADS), str(tmp / "public"))
+    assert cat.claims.read(spark).count() == 2 and cat.images.read(spark).count() == 6
+
+
 def test_galleries_of_requested_rows(spark, world):
     _, _, cat, tmp = world
     public = str(tmp / "public")
