@@ -44,15 +44,23 @@ def _named(items: DataFrame) -> DataFrame:
 
 def contained_items(docs: DataFrame, items: DataFrame, percent: int = CONTAINED) -> DataFrame:
     """Pairs of a document (doc_id, text) and an item (item_id, text) of
-    which it holds at least ``percent`` of the distinct five-word shingles:
+    which it holds at least ``percent`` of the distinct shingles:
     doc_id, tag (a hash of the text), item_id, n_item, n_found, containment.
+    Shingles are of five words; an item of one to four words is one shingle,
+    its whole word sequence.
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` of the lower-cased whole text. Null texts
-    and texts of fewer than five words have no shingles and are in no pair.
-    A null doc_id or item_id is reported as null; rows that repeat a doc_id
+    Words are ``[^\\x20\\x09-\\x0D]+`` of the lower-cased whole text, however
+    long. Null texts and texts without words have no shingles and are in no pair. A null doc_id or item_id is reported as null; rows that repeat a doc_id
     and text, or an item_id and text, give a pair once. Other columns are
     ignored; an empty table on either side gives no rows.
     """
+    whole, one = F.lit(1.0), F.lit(1).cast("long")
+    short = short_items(docs, items).select("*", one.alias("n_item"), one.alias("n_found"), whole.alias("containment"))
+    return _shingled_items(docs, items, percent).unionByName(short)
+
+
+def _shingled_items(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """``contained_items`` for items of five words and more."""
     worded = stored(_worded(_named(items).withColumn("item", F.xxhash64("item_id", "text"))).select("item_id", "item", _hashes().alias("hashes"), _shingles().alias("shingles")))
     need = F.ceil(F.size("shingles") * percent / 100).cast("int")
     sized = worded.select("item_id", "item", "hashes", "shingles", need.alias("need"), F.floor(F.log2(F.size("shingles"))).alias("size_class"))
@@ -103,12 +111,10 @@ def short_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     return met.join(F.broadcast(named) if small else named, "phrase").select("doc_id", "tag", "item_id").distinct()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, percent: int = CONTAINED, short: bool = False) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no item; with
-    ``short``, none of one to four words either."""
+def decontaminate(docs: DataFrame, items: DataFrame, percent: int = CONTAINED) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no item. Rows
+    go or stay by their own doc_id (null too) and text."""
     pairs = contained_items(docs, items, percent).select("doc_id", "tag")
-    if short:
-        pairs = pairs.unionByName(short_items(docs, items).select("doc_id", "tag"))
     bad = stored(pairs.select(F.col("doc_id").alias("_leak_id"), F.col("tag").alias("_leak_tag")).distinct())
     own = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     return docs.join(dealt(bad), docs["doc_id"].cast("long").eqNullSafe(bad["_leak_id"]) & (own == bad["_leak_tag"]), "left_anti")

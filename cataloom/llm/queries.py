@@ -247,8 +247,12 @@ ORACLE = {
         bs AS MATERIALIZED (SELECT DISTINCT item_id, s FROM (
             SELECT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' '))) AS s FROM b)),
         n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
-        f AS (SELECT doc_id, item_id, count(*) AS n_found FROM bs JOIN ds USING (s) GROUP BY ALL)
-        SELECT doc_id, item_id, n_item, n_found, n_found / n_item AS containment FROM f JOIN n USING (item_id) WHERE 100 * n_found >= 80 * n_item""",
+        f AS (SELECT doc_id, item_id, count(*) AS n_found FROM bs JOIN ds USING (s) GROUP BY ALL),
+        short AS (SELECT DISTINCT item_id, w FROM b WHERE len(w) BETWEEN 1 AND 4),
+        said AS (SELECT DISTINCT doc_id, unnest(flatten(list_transform(range(1, 5), lambda n: list_transform(range(1, len(w) - n + 2), lambda i: w[i:i + n - 1])))) AS w
+                 FROM d WHERE EXISTS (FROM short))
+        SELECT doc_id, item_id, n_item, n_found, n_found / n_item AS containment FROM f JOIN n USING (item_id) WHERE 100 * n_found >= 80 * n_item
+        UNION ALL SELECT doc_id, item_id, 1, 1, 1.0::DOUBLE FROM short JOIN said USING (w)""",
     "op6_line_windows": """
         WITH t AS MATERIALIZED (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS lines FROM documents),
         win AS MATERIALIZED (

@@ -199,7 +199,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     not 0 are learnt from. A doc_id with two different labels, or a null one,
     counts as unlabelled. Every text gets a score, empty ones (no votes, no
     entries) too; a null text counts as empty, a null doc_id is not held out.
-    Rows that repeat a doc_id are scored row by row. Without labels of both
+    Rows that repeat a doc_id are scored row by row, and a text that several
+    labelled rows have is learnt from once. Very long texts count whole. Without labels of both
     kinds nothing can be learnt: every score is 0. Other columns are ignored;
     an empty table gives no rows.
     """
@@ -211,13 +212,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     out = plain.select("doc_id", "tag", F.expr(_HELD_OUT).alias("held_out"))
     if len(sizes) < 2:
         return out.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0.0).alias("posterior"), "tag")
-    share = min(1.0, LABELLED_ROWS / sum(sizes.values()))
-    drawn = F.pmod(F.xxhash64("l_id"), F.lit(1 << 30)) < int(share * (1 << 30))
-    drawn_rows = F.broadcast(stored(learnt.where(drawn)))  # LABELLED_ROWS rows, about: small enough to broadcast
-    # copies of a text speak once
-    sample = stored(plain.select("doc_id", "tag").join(drawn_rows, F.col("doc_id") == F.col("l_id")).groupBy("tag")
-                    .agg(F.min("l_id").alias("l_id"), F.min_by("toxic", "l_id").alias("toxic")).drop("tag"), narrow=True)
-    counts = (plain.join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).select("text", "toxic")
+    # copies of a text speak once, whatever number of rows and ids they are under
+    told = stored(plain.select("doc_id", "tag").join(learnt, F.col("doc_id") == F.col("l_id")).groupBy("tag")
+                  .agg(F.min("l_id").alias("l_id"), F.min_by("toxic", "l_id").alias("toxic")), narrow=True)
+    share = min(1.0, LABELLED_ROWS / max(told.count(), 1))
+    # LABELLED_ROWS texts, about: small enough to broadcast
+    sample = stored(told.where(F.pmod(F.xxhash64("tag", F.lit("drawn")), F.lit(1 << 30)) < int(share * (1 << 30))).withColumnRenamed("tag", "l_tag"), narrow=True)
+    drawn = lambda rows, *columns: (rows.join(F.broadcast(sample), (F.col("doc_id") == F.col("l_id")) & (F.col("tag") == F.col("l_tag")))
+                                    .groupBy("l_tag").agg(*[F.min(c).alias(c) for c in columns], F.min("toxic").alias("toxic")))
+    counts = (drawn(plain, "text").select("text", "toxic")
               .mapInArrow(_count_entries, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     rows = sample.groupBy().pivot("toxic", [0, 1]).count().first()
     lift = F.log((F.col("toxic") + 0.5) / ((rows["1"] or 0) + 1)) - F.log((F.col("clean") + 0.5) / ((rows["0"] or 0) + 1))
@@ -241,7 +244,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     posts = spark.createDataFrame([(int(k), float(b), float(told[0][i]), float(told[1][i])) for i, (k, b) in enumerate(zip(keys, blind))],
                                   "p_votes int, blind double, told0 double, told1 double")
     features = _features(len(lexicon))
-    train = (voted.join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).join(F.broadcast(posts), F.col("votes") == F.col("p_votes"))
+    train = (drawn(voted, "votes", "hits", "rates", "rate").join(F.broadcast(posts), F.col("votes") == F.col("p_votes"))
              .select(features.alias("features"), F.when(F.col("toxic") == 1, F.col("told1")).otherwise(F.col("told0")).alias("p")))
     both = stored(train.select("features", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")),
                                                              F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight")))).alias("of"))

@@ -58,7 +58,7 @@ def test_stages_against_plain_versions(spark, sf_dir):
     rows = [(i, t) for i, t in rows if i in keep]
     support.same(got, rows, ["doc_id", "text"])
     got = stage["near_dedup"](spark, got, sf_dir)
-    reach = support.components(rows)
+    reach = support.components(rows, corpus_pipeline.NEAR)
     rows = [(i, t) for i, t in rows if reach[i] == i]
     support.same(got, rows, ["doc_id", "text"])
     got = stage["decontamination"](spark, got, sf_dir)
@@ -81,6 +81,13 @@ def test_awkward_documents(spark, sf_dir):
     assert once.where("doc_id is null").count() == sum(i is None and support.exact(rows)[k][1] is None for k, (i, _) in enumerate(rows))
 
 
+def test_repeated_rows_with_a_clashing_column(spark, sf_dir):
+    rows = [(1, "kept twice"), (1, "kept twice"), (2, "kept  twice"), (3, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as _tag", "'y' as _TAG_")
+    once = corpus_pipeline.drop_copies(spark, docs, sf_dir)
+    assert once.columns == docs.columns and sorted(map(tuple, once.collect())) == [(1, "kept twice", "x", "y"), (3, "alone", "x", "y")]
+
+
 def test_pipeline(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir).collect()
     assert out and all(r.round_trip and len(r.ids) == r.n_pieces for r in out)

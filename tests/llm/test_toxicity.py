@@ -83,3 +83,24 @@ def test_label_model_finds_rates_and_groups():
         assert abs(table[1, 1] - hit[v]) < 0.05 and abs(table[0, 1] - miss[v]) < 0.05
     post = model.posterior(votes, np.full(n, -1))
     assert ((post > 0.5) == y).mean() > 0.9
+
+
+def test_a_text_is_learnt_from_once(spark, monkeypatch):
+    """Rows that repeat an id, with other texts or the same one."""
+    from cataloom.llm import toxicity
+
+    seen = []
+
+    class Spy(toxicity.LogisticRegression):
+        def fit(self, rows):
+            seen.append((rows.count(), rows.agg({"weight": "sum"}).first()[0]))
+            return super().fit(rows)
+
+    monkeypatch.setattr(toxicity, "LogisticRegression", Spy)
+    rows, labels = corpus(200)
+    named = {i: y for i, _, y in labels if not held_out(i)}
+    many = min(named)
+    rows += [(many, f"another text number {k} under this id") for k in range(60)] + [(many, "one more, again and again")] * 40
+    own = {t for i, t in rows if i in named}
+    score_toxicity(support.frame(spark, rows), spark.createDataFrame(labels, LABELS)).collect()
+    assert seen[0][0] <= 2 * len(own) and abs(seen[0][1] - len(own)) < 1e-6
