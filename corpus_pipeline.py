@@ -53,8 +53,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     twice = _keys(judged.where("kept and group_size > 1").groupBy("doc_id", "tag").count().where("count > 1"))
     if twice.isEmpty():
         return left
+    own = "_tag"
+    while own in map(str.lower, docs.columns):  # a name that no column of the documents has
+        own += "_"
     tag = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    once = left.join(twice, _at(left, twice), "left_semi").withColumn("_tag", tag).dropDuplicates(["doc_id", "_tag"]).drop("_tag")
+    once = left.join(twice, _at(left, twice), "left_semi").withColumn(own, tag).dropDuplicates(["doc_id", own]).drop(own)
     return left.join(twice, _at(left, twice), "left_anti").unionByName(once)
 
 
@@ -66,7 +69,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go, however short it is."""
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), short=True)
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
