@@ -187,8 +187,10 @@ def _asked_images(requests: DataFrame, images: DataFrame, image_inventory: DataF
     listing, or asked of the file system for these rows alone."""
     mine = only_keys(images, requests, "file_list_id")
     if image_inventory is not None:
-        # written once: a plain side of the join, which can split a hot image
-        present = image_inventory.select("image").distinct().withColumn("_present", F.lit(True)).checkpoint()
+        # of the listing, only the images of the requested rows are kept; written
+        # once: a plain side of the join, which can split a hot image
+        mine = measured(mine)
+        present = measured(only_keys(image_inventory.select("image"), mine, "image").distinct().withColumn("_present", F.lit(True)))
         # image rows without a file (NULL image) are spread by their row id
         return lookup(mine, present, "image", "id")
     paths = mine.withColumn("_present", F.lit(None).cast("boolean")).withColumn(

@@ -71,9 +71,12 @@ def convert_plan(requests: DataFrame, catalog: DataFrame, existing: DataFrame |
         probe = True
         rows = rows.withColumn("_t", F.lit(None).cast("boolean")).withColumn("_s", F.lit(None).cast("boolean"))
     else:
-        # written once: a plain side of both joins, so that adaptive execution
-        # can split a path that very many requested rows share
-        paths = existing.select(F.col("path")).distinct().checkpoint()
+        # of the listing, only the paths that the batch asks for are kept: a small
+        # batch never shuffles it. Written once: a plain side of both joins, so that
+        # adaptive execution can split a path that very many requested rows share
+        rows = measured(rows)
+        asked = rows.select(F.explode(F.array("new_path", "origin_path")).alias("path"))
+        paths = measured(only_keys(existing.select("path"), asked, "path").distinct())
         rows = rows.join(paths.select(F.col("path").alias("new_path"), F.lit(True).alias("_t")), "new_path", "left")
         rows = rows.join(paths.select(F.col("path").alias("origin_path"), F.lit(True).alias("_s")), "origin_path", "left")
     if probe:
