@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cataloom.functions.paths import dirname, replace_first
+from cataloom.operators import changes as ch
 from cataloom.operators import edits as ed
 from cataloom.operators import images as im
 from cataloom.operators import search as se
@@ -270,6 +271,31 @@ def convert_commit(spark, d):
     return nxt.select("id", "target_path", "updated_at")
 
 
+@register("catalog_folded", f"""
+, done as (select id, min(new_path) as new_path from ({_CONVERT_SQL}) c where status = 'converted' group by id),
+  last as (select * from (select *, row_number() over (partition by id order by req_id desc) as rn from fx_edits
+                          where coalesce(length(name), 0) <= 50 and coalesce(length(class_name), 0) <= 50 and coalesce(length(prompt), 0) <= 255) where rn = 1),
+  copied as (select f.*, coalesce(done.new_path, f.target_path) as now_path, done.id is not null as made from fx_file_list f left join done on done.id = f.id)
+select f.id, case when e.id is not null then e.name else f.name end as name, case when e.id is not null then e.class_name else f.class end as class,
+       case when e.id is not null then e.prompt else f.prompt end as prompt,
+       case when r.id is not null and g.target_path = f.now_path then null else f.now_path end as target_path,
+       case when made or e.id is not null then {_RUN} else f.updated_at end as updated_at
+from copied f left join last e on e.id = f.id left join fx_file_list g on g.id = f.id
+     left join (select distinct c.id from fx_clear_requests c join fx_file_list b on b.id = c.id where b.target_path <> '') r on r.id = f.id""")
+def catalog_folded(spark, d):
+    """Appended batches folded into the catalog: edits that later ones replace, copies, clears of what was there before, edits."""
+    f, edits = fx.fx_file_list(spark, d), fx.fx_edits(spark, d)
+    older = edits.withColumn("name", F.lit("older")).withColumn("prompt", F.lit(None).cast("string"))
+    # where the last edit is refused for its length, an older batch has none either
+    older = older.join(ed.last_edit_per_id(edits).select("id"), "id", "left_semi")
+    batches = [ch.edit_changes(f, older, fx.CREATED_TS, 1, "a"), ch.copy_changes(_convert(spark, d), RUN_TS, 2, "b", "status"),
+               ch.clear_changes(tr.clear_plan(fx.fx_clear_requests(spark, d), f, order="id"), 3, "c"), ch.edit_changes(f, edits, RUN_TS, 4, "d")]
+    changes = batches[0]
+    for more in batches[1:]:
+        changes = changes.unionByName(more)
+    return ch.fold(f, changes).select("id", "name", "class", "prompt", "target_path", "updated_at")
+
+
 @register("clear_targets", """
 select f.id,
        case when coalesce(f.target_path, '') = '' then 'already_clear' else 'cleared' end as status,

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -16,12 +17,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cataloom.operators import changes as ch
 from cataloom.operators import edits as ed
 from cataloom.operators import images as im
 from cataloom.operators import sync as sy
 from cataloom.operators import transfer as tr
 from cataloom.operators.joins import scratch_tables
 from cataloom.session import ensure_checkpoint_dir
+from cataloom.sources.changes import ChangedTable
 from cataloom.sources.inventory import walk
 from cataloom.sources.store import SnapshotConflict, SnapshotStore
 
@@ -33,13 +36,14 @@ def now_run_ts() -> str:
 
 @dataclass
 class Catalog:
-    """The two catalog tables as snapshot stores under one shared folder,
-    plus a folder for the written outcome tables of each run."""
+    """The two catalog tables as snapshot stores under one shared folder (that
+    of the files with changes appended beside it), plus a folder for the
+    written outcome tables of each run."""
     root: str
 
     @property
-    def files(self) -> SnapshotStore:
-        return SnapshotStore(os.path.join(self.root, "file_list"), "file_list")
+    def files(self) -> ChangedTable:
+        return ChangedTable(os.path.join(self.root, "file_list"), "file_list")
 
     @property
     def images(self) -> SnapshotStore:
@@ -102,9 +106,9 @@ def convert_job(spark: SparkSession, catalog: Catalog, requests: DataFrame, old_
 
 def convert_record(spark: SparkSession, catalog: Catalog, out_path: str, run_ts: str | None = None) -> DataFrame:
     """Record the written outcomes of a convert run, for instance of one that
-    died after copying. Recording them twice changes nothing but the time."""
-    results, run_ts = spark.read.parquet(out_path), run_ts or now_run_ts()
-    _publish(spark, catalog.files, lambda current: tr.convert_commit(current, results, run_ts, outcome_col="outcome"))
+    died after copying. Recording them twice changes nothing."""
+    results, run = spark.read.parquet(out_path), os.path.basename(out_path)
+    catalog.files.append(run, ch.copy_changes(results, run_ts or now_run_ts(), time.time_ns(), run))
     return results
 
 
@@ -118,24 +122,40 @@ def clear_job(spark: SparkSession, catalog: Catalog, requests: DataFrame, order:
 
 
 def clear_record(spark: SparkSession, catalog: Catalog, out_path: str) -> DataFrame:
-    """Record the written outcomes of a clear run; a row that has a new copy
+    """Record the written outcomes of a clear run; a row that has another copy
     since then keeps it."""
-    results = spark.read.parquet(out_path)
-    _publish(spark, catalog.files, lambda current: tr.clear_commit(current, results))
+    results, run = spark.read.parquet(out_path), os.path.basename(out_path)
+    catalog.files.append(run, ch.clear_changes(results, time.time_ns(), run))
     return results
 
 
 def edit_job(spark: SparkSession, catalog: Catalog, edits: DataFrame, run_ts: str | None = None) -> DataFrame:
-    """Apply a batch of edits; the report is written before publishing."""
+    """Append a batch of edits; the report is written before. Both cost what
+    the batch changes, not what the catalog holds."""
     ensure_checkpoint_dir(spark)
     run_ts = run_ts or now_run_ts()
     report_path = catalog.run_dir("edit", catalog.files.current())
     with scratch_tables(spark):
-        ed.edit_report(catalog.files.read(spark), edits).write.mode("errorifexists").parquet(report_path)
-    _publish(spark, catalog.files, lambda current: ed.apply_edits(current, edits, run_ts))
+        current, run = catalog.files.read(spark), os.path.basename(report_path)
+        ed.edit_report(current, edits).write.mode("errorifexists").parquet(report_path)
+        catalog.files.append(run, ch.edit_changes(current, edits, run_ts, time.time_ns(), run))
     return spark.read.parquet(report_path)
 
 
+def compact_job(spark: SparkSession, catalog: Catalog, tries: int = 5) -> int | None:
+    """Publish the catalog with all appended changes folded in. Changes that
+    are appended meanwhile stay beside the new snapshot."""
+    ensure_checkpoint_dir(spark)
+    for left in range(tries - 1, -1, -1):
+        try:
+            with scratch_tables(spark):
+                return catalog.files.compact(spark)
+        except SnapshotConflict:
+            if not left:
+                raise
+    raise AssertionError("unreachable")
+
+
 def image_job(spark: SparkSession, catalog: Catalog, uploads: DataFrame, public_root: str,
               run_ts: str | None = None) -> DataFrame:
     """Number the uploads, move their files into place, then append the rows

@@ -82,6 +82,9 @@ class SnapshotStore:
         finally:
             fs.delete(tmp, False)
 
+    def _prepare(self, folder: str, expected: int | None) -> None:
+        """What else belongs to a written snapshot before its version is claimed."""
+
     def publish(self, df: DataFrame, expected: int | None) -> int:
         """Write ``df`` as the version after ``expected``."""
         if self.current() != expected:
@@ -89,6 +92,7 @@ class SnapshotStore:
         version = 0 if expected is None else expected + 1
         folder = f"data/{version:06d}-{uuid.uuid4().hex}"
         df.write.mode("errorifexists").parquet(f"{self.root}/{folder}")
+        self._prepare(folder, expected)
         if not self._claim(version, folder):
             path, fs = self._fs(folder)
             fs.delete(path, True)

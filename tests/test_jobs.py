@@ -124,14 +124,15 @@ def test_copies_are_recorded_after_a_conflict(spark, world, monkeypatch):
     """Another writer publishes between reading and claiming."""
     old, new, cat, _ = world
     sync_job(spark, cat, [old], "2025-05-01 00:00:00")
-    real, other = jobs.tr.convert_commit, []
+    real, other = jobs.ch.copy_changes, []
 
-    def slow(current, *a, **kw):
+    def slow(*a, **kw):
         if not other:
-            other.append(cat.files.publish(current.where("id <> 4"), cat.files.current()))
-        return real(current, *a, **kw)
+            version = cat.files.current()
+            other.append(cat.files.publish(cat.files.read(spark, version).where("id <> 4"), version))
+        return real(*a, **kw)
 
-    monkeypatch.setattr(jobs.tr, "convert_commit", slow)
+    monkeypatch.setattr(jobs.ch, "copy_changes", slow)
     out = convert_job(spark, cat, spark.createDataFrame([(1, 2), (2, 4)], "req_id long, id int"), old, new)
     assert {r.req_id: r.outcome for r in out.collect()} == {1: "converted", 2: "converted"}
     after = {r.id: r.target_path for r in cat.files.read(spark).collect()}
