@@ -30,7 +30,7 @@ BLOCK_IDS = 1 << 12
 NAMED_IDS = 5_000
 _PRINTABLE = "".join(sorted({chr(c).lower() for c in range(0x20, 0x7F)}))
 _UNUSUAL = r"([^\t\n\x0B\f\r\x20-\x7E])"
-_BATCH_BYTES = 8 << 20
+_BATCH_BYTES = 2 << 20
 
 
 def _characters(catalog: DataFrame) -> DataFrame:
