@@ -29,7 +29,7 @@ BLOCK_IDS = 1 << 12
 #: more of them are met by a join.
 NAMED_IDS = 5_000
 _PRINTABLE = "".join(sorted({chr(c).lower() for c in range(0x20, 0x7F)}))
-_UNUSUAL = r"([^\t\n\x0B\f\r\x20-\x7E])"
+_USUAL = r"[\t\n\x0B\f\r\x20-\x7E]++"
 _BATCH_BYTES = 2 << 20
 
 
@@ -40,7 +40,8 @@ def _characters(catalog: DataFrame) -> DataFrame:
     a way that ``to`` doesn't say)."""
     found = None
     for c in SEARCH_FIELDS:
-        own = catalog.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(_UNUSUAL)))).alias("char")).distinct()
+        rest = catalog.select(F.regexp_replace(c, _USUAL, "").alias("rest")).where("rest <> ''")
+        own = rest.select(F.explode(F.array_distinct(F.split("rest", ""))).alias("char")).where("char <> ''").distinct()
         found = own if found is None else found.unionByName(own)
     char = F.collate("char", COLLATION)
     targets = [*_PRINTABLE, *_SPELT_OUT]
@@ -126,7 +127,8 @@ class SearchIndex:
         single = {r["char"]: r["to"] for r in said if r["to"] is not None and len(r["to"]) < 2}
         several = {r["char"]: r["to"] for r in said if r["to"] is not None and len(r["to"]) > 1}
         folded = catalog.select(F.col("id").cast("long").alias("id"), *[F.coalesce(_folded(F.col(c), single, several), F.lit("")).alias(c) for c in SEARCH_FIELDS])
-        posted = folded.mapInArrow(_trigrams, "field int, gram int, block long, n int, lows binary")
+        # written before it is dealt: finding the ranges would run the folding a second time
+        posted = measured(folded.mapInArrow(_trigrams, "field int, gram int, block long, n int, lows binary"))
         (posted.repartitionByRange(shuffle_partitions(spark), "field", "gram", "block").sortWithinPartitions("field", "gram", "block")
          .write.option("compression", "zstd").parquet(f"{folder}/postings"))
         odd = "".join(sorted(r["char"] for r in said if r["odd"]))
