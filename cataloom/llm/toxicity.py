@@ -29,6 +29,9 @@ from cataloom.llm.words import chunks
 
 #: Labelled rows that the lexicons and the classifier learn from, about.
 LABELLED_ROWS = 20_000
+#: Texts without a label that the classifier learns from by their posterior,
+#: about, and what one of them counts beside a labelled one.
+UNLABELLED_ROWS, UNLABELLED_WEIGHT = 20_000, 0.2
 #: Words and stems of all lexicons, and lexicons.
 LEXICON, LEXICONS = 256, 8
 #: What speaks for a lexicon's entry, as a log-likelihood ratio against its
@@ -200,7 +203,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     counts as unlabelled. Every text gets a score, empty ones (no votes, no
     entries) too; a null text counts as empty, a null doc_id is not held out.
     Rows that repeat a doc_id are scored row by row, and a text that several
-    labelled rows have is learnt from once. Very long texts count whole. Without labels of both
+    labelled rows have is learnt from once, and so is a text that several
+    unlabelled ones have. Very long texts count whole. Without labels of both
     kinds nothing can be learnt: every score is 0. Other columns are ignored;
     an empty table gives no rows.
     """
@@ -239,15 +243,23 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     keys = np.unique(votes)
     blind = model.posterior(keys, np.full(len(keys), -1))
-    told = {y: model.posterior(keys, np.full(len(keys), y)) for y in (0, 1)}
+    heard = {y: model.posterior(keys, np.full(len(keys), y)) for y in (0, 1)}
     spark = docs.sparkSession
-    posts = spark.createDataFrame([(int(k), float(b), float(told[0][i]), float(told[1][i])) for i, (k, b) in enumerate(zip(keys, blind))],
+    posts = spark.createDataFrame([(int(k), float(b), float(heard[0][i]), float(heard[1][i])) for i, (k, b) in enumerate(zip(keys, blind))],
                                   "p_votes int, blind double, told0 double, told1 double")
     features = _features(len(lexicon))
-    train = (drawn(voted, "votes", "hits", "rates", "rate").join(F.broadcast(posts), F.col("votes") == F.col("p_votes"))
-             .select(features.alias("features"), F.when(F.col("toxic") == 1, F.col("told1")).otherwise(F.col("told0")).alias("p")))
-    both = stored(train.select("features", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")),
-                                                             F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight")))).alias("of"))
+    said = ["votes", "hits", "rates", "rate"]
+    gold = (drawn(voted, *said).join(F.broadcast(posts), F.col("votes") == F.col("p_votes"))
+            .select(*said, F.when(F.col("toxic") == 1, F.col("told1")).otherwise(F.col("told0")).alias("p"), F.lit(1.0).alias("counts")))
+    # texts that no label speaks of, drawn by their hash: what the voters say of them is all that is known
+    rest = voted.join(told.select(F.col("tag").alias("t_tag")), F.col("tag") == F.col("t_tag"), "left_anti").select("tag", *said)
+    share = min(1.0, UNLABELLED_ROWS / max(int(times[label < 0].sum()), 1))
+    weak = (rest.where(F.pmod(F.xxhash64("tag", F.lit("weak")), F.lit(1 << 30)) < int(share * (1 << 30)))
+            .groupBy("tag").agg(*[F.min(c).alias(c) for c in said]).join(F.broadcast(posts), F.col("votes") == F.col("p_votes"))
+            .select(*said, F.col("blind").alias("p"), F.lit(UNLABELLED_WEIGHT).alias("counts")))
+    train = gold.unionByName(weak).select(features.alias("features"), "p", "counts")
+    both = stored(train.select("features", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), (F.col("p") * F.col("counts")).alias("weight")),
+                                                             F.struct(F.lit(0.0).alias("label"), ((1 - F.col("p")) * F.col("counts")).alias("weight")))).alias("of"))
                   .select("features", "of.label", "of.weight").where("weight > 0"))
     line = LogisticRegression(weightCol="weight", regParam=1e-3, maxIter=50, standardization=False).fit(both)
     scored = line.transform(voted.select("doc_id", "tag", "votes", features.alias("features")))

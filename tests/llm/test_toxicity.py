@@ -97,6 +97,7 @@ def test_a_text_is_learnt_from_once(spark, monkeypatch):
             return super().fit(rows)
 
     monkeypatch.setattr(toxicity, "LogisticRegression", Spy)
+    monkeypatch.setattr(toxicity, "UNLABELLED_ROWS", 0)
     rows, labels = corpus(200)
     named = {i: y for i, _, y in labels if not held_out(i)}
     many = min(named)
@@ -104,3 +105,31 @@ def test_a_text_is_learnt_from_once(spark, monkeypatch):
     own = {t for i, t in rows if i in named}
     score_toxicity(support.frame(spark, rows), spark.createDataFrame(labels, LABELS)).collect()
     assert seen[0][0] <= 2 * len(own) and abs(seen[0][1] - len(own)) < 1e-6
+
+
+def test_unlabelled_texts_are_learnt_from_by_their_posterior(spark, monkeypatch):
+    """Each text that no label may speak of, held-out ones among them, counts
+    once, with the posterior that the label model gives to its votes."""
+    from cataloom.llm import toxicity
+
+    seen = []
+
+    class Spy(toxicity.LogisticRegression):
+        def fit(self, rows):
+            seen.extend((r.label, r.weight) for r in rows.collect())
+            return super().fit(rows)
+
+    monkeypatch.setattr(toxicity, "LogisticRegression", Spy)
+    rows, labels = corpus(200)
+    rows += [(10_000 + k, "one text under many ids without a label") for k in range(30)] + [(None, "nobody's"), (None, "nobody's"), (10_100, None), (10_101, "")]
+    named = {i for i, _, _ in labels if not held_out(i)}
+    own = {t for i, t in rows if i in named}
+    others = {t or "" for _, t in rows} - own
+    got = {r.tag: r.posterior for r in score_toxicity(support.frame(spark, rows), spark.createDataFrame(labels, LABELS)).collect()}
+    tags = {r.text: r.tag for r in spark.createDataFrame([(t,) for t in sorted(own | others)], "text string").selectExpr("text", "xxhash64(text) as tag").collect()}
+    assert abs(sum(w for _, w in seen) - len(own) - toxicity.UNLABELLED_WEIGHT * len(others)) < 1e-6
+    weak = sorted(w for y, w in seen if y == 1)
+    for text in others:  # every one of them is there with its own weight
+        want = toxicity.UNLABELLED_WEIGHT * got[tags[text]]
+        at = min(range(len(weak)), key=lambda i: abs(weak[i] - want))
+        assert abs(weak.pop(at) - want) < 1e-9
