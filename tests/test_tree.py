@@ -1,0 +1,82 @@
+"""The walk from a stored tree equals the full walk, and opens what changed."""
+
+import os
+import random
+import shutil
+
+import pytest
+
+from cataloom.sources.inventory import walk
+from cataloom.sources.tree import walk_changed
+
+
+def listing(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def opened(spark, tree):
+    return {r.folder for r in spark.read.parquet(f"{tree}/folders").where("opened").collect()}
+
+
+def grow(root, n=40):
+    for i in range(n):
+        folder = root / f"a{i % 5}" / f"b{i}"
+        folder.mkdir(parents=True)
+        (folder / f"{i}.png").write_text("x" * i)
+        (folder / ".hidden").write_text("")
+
+
+def change(rng, root):
+    """One change of the tree: a file or folder comes, goes, moves or is written to."""
+    folders = [p for p, _, _ in os.walk(root)]
+    files = [os.path.join(p, f) for p, _, fs in os.walk(root) for f in fs]
+    kind, at = rng.randrange(6), rng.choice(folders)
+    if kind == 0:
+        open(os.path.join(at, f"new{rng.random()}"), "w").write("new")
+    elif kind == 1:
+        os.makedirs(os.path.join(at, f"d{rng.random()}", "deep"))
+        open(os.path.join(at, f"d{rng.random()}.txt"), "w").close()
+    elif kind == 2 and files:
+        os.remove(rng.choice(files))
+    elif kind == 3 and files:
+        open(rng.choice(files), "a").write("longer")
+    elif kind == 4 and at != str(root):
+        shutil.move(at, os.path.join(root, f"moved{rng.random()}"))
+    elif at != str(root):  # what was a folder is a link to where it went
+        gone = f"{root}-outside{rng.random()}"
+        shutil.move(at, gone)
+        os.symlink(gone, at)
+
+
+def test_equals_the_full_walk_after_random_changes(spark, tmp_path):
+    root, rng, before = tmp_path / "root", random.Random(3), None
+    grow(root)
+    for i in range(4):
+        after = str(tmp_path / f"tree{i}")
+        assert listing(walk_changed(spark, [str(root)], before, after, budget=7, settled=0)) == listing(walk(spark, [str(root)]))
+        before = after
+        for _ in range(5):
+            change(rng, root)
+
+
+def test_opens_changed_folders_only(spark, tmp_path):
+    root, trees = tmp_path / "root", [str(tmp_path / f"tree{i}") for i in range(4)]
+    grow(root)
+    walk_changed(spark, [str(root)], None, trees[0], settled=0)
+    assert len(opened(spark, trees[0])) == 46
+    walk_changed(spark, [str(root)], trees[0], trees[1], settled=0)
+    assert opened(spark, trees[1]) == set()
+    (root / "a1" / "b1" / "more.png").write_text("more")
+    (root / "a2" / "c" / "d").mkdir(parents=True)
+    shutil.rmtree(root / "a3" / "b3")
+    walk_changed(spark, [str(root)], trees[1], trees[2], settled=0)
+    assert opened(spark, trees[2]) == {str(root / p) for p in ("a1/b1", "a2", "a2/c", "a2/c/d", "a3")}
+    # by default a folder that changed just now has no mark, and is opened again
+    found = walk_changed(spark, [str(root / "a1")], trees[2], trees[3])
+    assert listing(found) == listing(walk(spark, [str(root / "a1")]))
+    assert all(p.startswith(str(root / "a1")) for p in (r.folder for r in spark.read.parquet(f"{trees[3]}/folders").collect()))
+
+
+def test_a_missing_root_stops_it(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        walk_changed(spark, [str(tmp_path / "none")], None, str(tmp_path / "tree"))
