@@ -35,9 +35,9 @@ def reconcile(catalog: DataFrame, inventory: DataFrame, probe: bool = False) ->
     catalog paths that the inventory lacks (outside the walked roots, links,
     folders) are asked on the executors, once each."""
     known = _per_path(catalog, inventory).withColumn("present", F.when(F.col("i") > 0, F.lit(True)))
-    if probe:
-        known = probe_missing(known, "p", "present")
-    return known.withColumn("present", F.coalesce("present", F.lit(False))).checkpoint()
+    # the probe's answers are written already
+    known = probe_missing(known, "p", "present") if probe else known.checkpoint()
+    return known.withColumn("present", F.coalesce("present", F.lit(False)))
 
 
 def _new_paths(known: DataFrame, style: str) -> DataFrame:

@@ -11,8 +11,10 @@ Executors must see the same mounted file system as the driver.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,20 +126,103 @@ def walk(spark: SparkSession, roots: list[str], budget: int = 50_000) -> DataFra
                         F.col("mtime").cast("timestamp").alias("mtime"))
 
 
-@F.pandas_udf(T.BooleanType())
-def _exists_unless_known(known: pd.Series, path: pd.Series) -> pd.Series:
-    out = []
-    for k, p in zip(known, path):
-        if k is True or (k is not None and k == k and bool(k)):
-            out.append(True)
-        elif p is None:
-            out.append(None)
-        else:
-            out.append(True if os.path.exists(p) else None)
-    return pd.Series(out, dtype="object")
+#: Rows whose paths are asked for together: bounds what a task holds.
+_ASKED_ROWS, _ASKED_BYTES = 100_000, 64 << 20
+#: Fewer names of a folder are asked for one by one; a listing reads at most
+#: so many entries for each name that it is to answer.
+_LIST_FROM, _LIST_RATIO = 4, 32
+_PATH_MAX = 4096
+_ROW, _FOLDER = "_probe_row", "_probe_folder"
+
+
+def _listed_names(folder: str, names: set[str]) -> tuple[set[str], bool]:
+    """Those of ``names`` that the folder has (links, which may point nowhere,
+    left out), and whether it has no other. One listing, cut short where it
+    would cost more than asking."""
+    there, left = set(), set(names)
+    try:
+        with os.scandir(folder or ".") as it:
+            for seen, entry in enumerate(it):
+                if seen >= _LIST_RATIO * len(names):
+                    return there, False
+                if entry.name in left:
+                    left.discard(entry.name)
+                    if entry.is_symlink():
+                        if os.path.exists(entry.path):
+                            there.add(entry.name)
+                    else:
+                        there.add(entry.name)
+                    if not left:
+                        break
+    except (FileNotFoundError, NotADirectoryError):
+        return set(), True
+    except OSError:  # may be entered, but not listed
+        return there, False
+    return there, True
+
+
+def existing_paths(paths: Iterable[str]) -> set[str]:
+    """Those of ``paths`` (in any order) that exist, as ``os.path.exists``
+    tells: one listing for each folder with several of them, one call for
+    each other path."""
+    folders: dict[str, set[str]] = {}
+    for path in set(paths):
+        head, sep, name = path.rpartition("/")
+        folders.setdefault(head + sep, set()).add(name)
+    out = set()
+    for folder, names in folders.items():
+        # what a listing doesn't name, and what is too long to be a path, is asked for
+        listable = {n for n in names if n not in ("", ".", "..") and len(os.fsencode(folder + n)) < _PATH_MAX}
+        alone = names
+        if len(listable) >= _LIST_FROM:
+            there, whole = _listed_names(folder, listable)
+            out.update(folder + n for n in there)
+            alone = names - (listable if whole else there)
+        out.update(folder + n for n in alone if os.path.exists(folder + n))
+    return out
+
+
+def _asker(path_at: int, flag_at: int):
+    """Sets the flag of sorted rows, a bounded number of them at a time."""
+    def answered(pending):
+        there = existing_paths(p for batch in pending for p in batch.column(path_at).to_pylist())
+        for batch in pending:
+            flags = pa.array([True if p in there else None for p in batch.column(path_at).to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([flags if i == flag_at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    def run(batches):
+        pending, rows, size = [], 0, 0
+        for batch in batches:
+            pending.append(batch)
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+            if rows >= _ASKED_ROWS or size >= _ASKED_BYTES:
+                yield from answered(pending)
+                pending, rows, size = [], 0, 0
+        yield from answered(pending)
+    return run
+
+
+def by_folder(df: DataFrame, path_col: str, row_col: str) -> DataFrame:
+    """Rows side by side by folder and path. Ranges, not a hash: a folder, or
+    a path, that very many rows share is split by path and then by row."""
+    path = F.col(path_col)
+    folder = path.substr(F.lit(1), F.length(path) - F.length(F.substring_index(path, "/", -1)))
+    return (df.withColumn(_FOLDER, folder).repartitionByRange(_FOLDER, path_col, row_col)
+            .sortWithinPartitions(_FOLDER, path_col).drop(_FOLDER))
 
 
 def probe_missing(df: DataFrame, path_col: str, flag_col: str) -> DataFrame:
     """Fill ``flag_col`` (True or NULL) by asking the file system for the rows
-    the inventory join left unmatched; matched rows make no system call."""
-    return df.withColumn(flag_col, _exists_unless_known(F.col(flag_col), F.col(path_col)))
+    the inventory join left unmatched; matched rows, and those without a path,
+    make no system call and aren't moved.
+
+    Paths are asked for by folder: one listing answers for all names asked of
+    it, unless the folder is far larger than their number; a folder that has
+    gone costs one call. The answers are written once (checkpoint), so what
+    reads them later asks nothing again."""
+    names, known = df.columns, F.coalesce(F.col(flag_col).cast("boolean"), F.lit(False))
+    df = df.withColumn(flag_col, F.when(known, F.lit(True))).withColumn(_ROW, F.monotonically_increasing_id()).checkpoint()
+    open_ = F.col(flag_col).isNull() & F.col(path_col).isNotNull()
+    asked = by_folder(df.where(open_), path_col, _ROW).select(*names)
+    answers = asked.mapInArrow(_asker(names.index(path_col), names.index(flag_col)), asked.schema).checkpoint()
+    return df.where(~open_).select(*names).unionByName(answers)
