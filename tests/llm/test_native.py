@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import support
 from cataloom.llm import secret_scan, url_rules
@@ -138,6 +139,74 @@ def test_urls(spark):
     assert url_rules.judge_urls(support.frame(spark, [], "page_id long, url string")).collect() == []
 
 
+def plainly_bad(host, path):
+    """The pattern rules by string functions."""
+    said = host + path
+    labels = [said] + [said[i + 1:] for i in range(len(host)) if host[i] == "."]
+    if any(label.startswith(s) for label in labels for s in ("cheap-pills.", "adult-x.", "ads-track.", "casino.", "doubleclick.")):
+        return True
+    login = [said[i + len("/wp-login.php"):][:1] for i in range(len(said)) if said.startswith("/wp-login.php", i)]
+    return any(s in said for s in ("/porn/", "/xxx/", "/wp-admin/", "/cgi-bin/", "viagra")) or any(
+        c == "" or not (c in "%_.-" or c.isascii() and c.isalnum()) for c in login)
+
+
+def test_pattern_rules_by_string_functions(spark):
+    hosts = ["cheap-pills.a", "a.cheap-pills.b", "acheap-pills.b", "cheap-pills", "x.casino.y", "casino.", "doubleclick.net", "a.org", "ads-track.b.c", "viagra.org", ""]
+    paths = ["", "/", "/porn/", "/porn", "/a/xxx/b", "/wp-login.php", "/wp-login.php/", "/wp-login.php.bak", "/wp-login.php-", "/wp-login.phpx", "/cgi-bin/", "/xviagrax", "/a.casino.b", "/wp-login.phpé"]
+    rows = [(k, f"https://{h}{p}") for k, (h, p) in enumerate((h, p) for h in hosts for p in paths)]
+    got = {r.page_id: r for r in url_rules.judge_urls(support.frame(spark, rows, "page_id long, url string")).where("rule is null").collect()}
+    assert len(got) > 100
+    for r in got.values():
+        assert (r.verdict == "block") == plainly_bad(r.host, r.path), (r.host, r.path)
+
+
+def test_columns_of_rules(spark):
+    """Expressions and tokens derived in the table are those of the plain functions."""
+    patterns = [r.pattern for r in (*url_rules.PATTERN_RULES, *url_rules.SITE_RULES)] + [
+        "", "*", "||", "^a^", "a.b(c)[d]{e}+?$|f\\g", "||x*y.z^/q", "/é/ab-c/", "/en", "a*b", "&k=v&", "||a.a.a/"]
+    regex, tokens = url_rules._columns(F.col("p"))
+    rows = spark.createDataFrame([(p,) for p in patterns], "p string").select("p", regex.alias("regex"), tokens.alias("tokens")).collect()
+    probes = [p.replace("||", "").replace("*", s).replace("^", t) for p in patterns for s in ("", "zz/") for t in ("/", "a", "")] + ["q." + p[2:] for p in patterns]
+    for r in rows:
+        assert sorted(r.tokens) == url_rules.literal_tokens(r.p), r.p
+        for said in probes:
+            assert bool(re.search(r.regex, said)) == bool(re.search(url_rules.expression(r.p), said)), (r.p, said)
+
+
+def test_fifty_thousand_rules(spark):
+    """A table of rules: the plan stays as it is, token-free rules run too."""
+    ids = spark.range(50_000)
+    rules = (ids.selectExpr("id as strength", "'block' as verdict", "concat('||h', id, '.test/', if(id % 2 = 0, '', 'deep/')) as pattern", "id % 3 = 0 as site")
+             .unionByName(spark.range(150).selectExpr("id + 50000", "'allow'", "concat('*q', id, 'z*')", "false").toDF("strength", "verdict", "pattern", "site"))
+             .unionByName(spark.createDataFrame([(None, None, "x", True), (1, "block", None, True)], "strength long, verdict string, pattern string, site boolean")))
+    rows = [(k, f"http://www.h{k * 7}.test/{'deep/' * (k % 3)}{f'aq{k % 200}zb' if k % 5 == 0 else ''}") for k in range(6000)] + [(None, None)]
+    pages = support.frame(spark, rows, "page_id long, url string")
+    judged = url_rules.judge_urls(pages, rules=rules)
+    assert len(judged._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+    want = []
+    for k, url in rows:
+        host, path = (None, None) if url is None else (url[7:].split("/")[0], "/" + url[7:].split("/", 1)[1])
+        rule, verdict, pattern = None, "allow", None
+        if url and k % 5 == 0 and k % 200 < 150:
+            pattern = f"*q{k % 200}z*"
+        elif url and k * 7 < 50_000 and (k * 7 % 2 == 0 or path.startswith("/deep/")):
+            fit, verdict = f"h{k * 7}.test/{'' if k * 7 % 2 == 0 else 'deep/'}", "block"
+            rule, pattern = (fit, None) if k * 7 % 3 == 0 else (None, f"||{fit}")
+        want.append((k, host or "", path or "", rule, verdict, pattern))
+    support.same(judged, want, ["page_id", "host", "path", "rule", "verdict", "pattern"])
+    with pytest.raises(ValueError):
+        url_rules.judge_urls(pages, rules=rules.withColumn("strength", F.lit(1)))
+
+
+@pytest.mark.parametrize("size", [0, 64 << 20])
+def test_no_rules_and_joined_rules(spark, monkeypatch, size):
+    monkeypatch.setattr(url_rules, "BROADCAST_BYTES", size)
+    rows = list(enumerate(URLS))
+    pages = support.frame(spark, rows, "page_id long, url string")
+    support.same(url_rules.judge_urls(pages), [(i, *url_verdict(u)) for i, u in rows], ["page_id", "host", "path", "rule", "verdict"])
+    assert {(r.rule, r.verdict, r.pattern) for r in url_rules.judge_urls(pages, (), ()).collect()} == {(None, "allow", None)}
+
+
 def test_literal_tokens():
     assert url_rules.literal_tokens("||example.com/en/") == ["com", "en", "example"]
     assert url_rules.literal_tokens("/en") == [] and url_rules.literal_tokens("*viagra*") == [] and url_rules.literal_tokens("/a*b/c^") == ["c"]
