@@ -142,7 +142,7 @@ def _mover(public_root: str):
     return run
 
 
-def image_place(assigned: DataFrame, uploads: DataFrame, public_root: str, out_path: str) -> DataFrame:
+def image_place(assigned: DataFrame, uploads: DataFrame, public_root: str, out_path: str, mode: str = "errorifexists") -> DataFrame:
     """Move every uploaded file (``placeable``) to its numbered name under
     ``public_root`` and write one outcome per upload once; uploads without a
     file are skipped. A file that has the name already stays, and the
@@ -153,7 +153,7 @@ def image_place(assigned: DataFrame, uploads: DataFrame, public_root: str, out_p
                     .checkpoint())
     todo.select(F.col("upload_id").cast("long"), "upload_path", "identity", "image") \
         .mapInPandas(_mover(public_root), _PLACED) \
-        .write.mode("errorifexists").parquet(out_path)
+        .write.mode(mode).parquet(out_path)
     return spark.read.parquet(out_path)
 
 

@@ -157,8 +157,7 @@ def _copy_one(src: str, dst: str, token: str) -> tuple[str, str | None]:
         # a copy that failed half-way leaves no partial file behind
         if os.path.exists(tmp):
             os.unlink(tmp)
-        return {errno.ENOENT: "source_missing", errno.EACCES: "no_permission", errno.EPERM: "no_permission",
-                errno.ENOSPC: "disk_full"}.get(err.errno, "failed"), str(err)
+        return _copy_errno(err), str(err)
 
 
 def _delete_one(path: str) -> tuple[str, str | None]:
@@ -179,7 +178,7 @@ def _sweep_one(dst: str, token: str) -> None:
             pass
 
 
-def _execute(plan: DataFrame, allowed: str, action, cols: list[str], out_path: str) -> DataFrame:
+def _execute(plan: DataFrame, allowed: str, action, cols: list[str], out_path: str, mode: str) -> DataFrame:
     """Run ``action`` on ``cols`` of the rows with status ``allowed`` and
     write every plan row with its ``outcome`` and ``detail`` to ``out_path``
     once; read that back. Each row carries its own outcome: no key is joined."""
@@ -194,18 +193,12 @@ def _execute(plan: DataFrame, allowed: str, action, cols: list[str], out_path: s
     # one evaluation of the plan drives the file operations and the report
     plan = plan.checkpoint()
     schema = T.StructType([*plan.schema.fields, T.StructField("outcome", T.StringType()), T.StructField("detail", T.StringType())])
-    plan.mapInArrow(run, schema).write.mode("errorifexists").parquet(out_path)
+    plan.mapInArrow(run, schema).write.mode(mode).parquet(out_path)
     return spark.read.parquet(out_path)
 
 
-def convert_execute(plan: DataFrame, out_path: str) -> DataFrame:
-    """Copy the files of the ``converted`` rows; ``outcome`` is the copy's
-    own result (``converted``, ``target_exists``, ``source_missing``,
-    ``no_permission``, ``disk_full`` or ``failed``). Once the outcomes are
-    written, the run's retry markers are removed."""
-    token = uuid.uuid4().hex
-    written = _execute(plan, "converted", lambda src, dst: _copy_one(src, dst, token), ["origin_path", "new_path"], out_path)
-
+def sweep_markers(written: DataFrame, token: str) -> None:
+    """Remove the retry markers of the run ``token``, whose outcomes are written."""
     def sweep(batches):
         for batch in batches:
             for dst in batch.column(0).to_pylist():
@@ -214,13 +207,24 @@ def convert_execute(plan: DataFrame, out_path: str) -> DataFrame:
 
     tried = written.where(F.col("outcome").isNotNull()).select("new_path")
     tried.mapInArrow(sweep, tried.schema).write.format("noop").mode("overwrite").save()
+
+
+def convert_execute(plan: DataFrame, out_path: str, token: str | None = None, mode: str = "errorifexists") -> DataFrame:
+    """Copy the files of the ``converted`` rows; ``outcome`` is the copy's
+    own result (``converted``, ``target_exists``, ``source_missing``,
+    ``no_permission``, ``disk_full`` or ``failed``). Once the outcomes are
+    written, the run's retry markers are removed. The same plan executed
+    again under the ``token`` of a run that died knows that run's copies."""
+    token = token or uuid.uuid4().hex
+    written = _execute(plan, "converted", lambda src, dst: _copy_one(src, dst, token), ["origin_path", "new_path"], out_path, mode)
+    sweep_markers(written, token)
     return written
 
 
-def clear_execute(plan: DataFrame, out_path: str) -> DataFrame:
+def clear_execute(plan: DataFrame, out_path: str, mode: str = "errorifexists") -> DataFrame:
     """Delete the copies of the ``cleared`` rows: ``deleted``, ``absent`` or
     ``delete_failed`` (the row is cleared all the same, as in the reference)."""
-    return _execute(plan, "cleared", _delete_one, ["target_path"], out_path)
+    return _execute(plan, "cleared", _delete_one, ["target_path"], out_path, mode)
 
 
 def convert_commit(catalog: DataFrame, results: DataFrame, run_ts: str, outcome_col: str = "status") -> DataFrame:

@@ -56,8 +56,10 @@ class ChangedTable(SnapshotStore):
 
     def append(self, run: str, changes: DataFrame) -> None:
         """Write a batch, once: a run that is recorded again adds nothing. What
-        a writer that died has left of it is replaced."""
-        if run not in self._complete():
+        a writer that died has left of it is replaced. A batch that was folded
+        in and deleted since is known by its name."""
+        path, fs = self._fs("applied", run)
+        if run not in self._complete() and not fs.exists(path):
             changes.write.mode("overwrite").parquet(f"{self.root}/changes/{run}")
 
     def _prepare(self, folder: str, expected: int | None) -> None:
@@ -77,6 +79,8 @@ class ChangedTable(SnapshotStore):
         old = self._held(self._folder(version))
         made = self.publish(self.read(spark, version).select(*SCHEMAS[self.table].fieldNames()), version)
         for run in old:
+            mark, fs = self._fs("applied", run)
+            fs.create(mark, True).close()
             path, fs = self._fs("changes", run)
             fs.delete(path, True)
         return made

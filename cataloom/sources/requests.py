@@ -31,8 +31,9 @@ def raw_schema(kind: str) -> T.StructType:
     return T.StructType(fields + [T.StructField(CORRUPT, T.StringType(), True)])
 
 
-def typed(df: DataFrame, kind: str) -> DataFrame:
-    """Convert id columns with ``try_cast`` (bad ids become NULL)."""
+def typed(df: DataFrame, kind: str, *more: str) -> DataFrame:
+    """Convert id columns with ``try_cast`` (bad ids become NULL); ``more``
+    names columns to keep besides."""
     cols = []
     for name, _ in _RAW[kind]:
         if name in _ID_COLUMNS[kind]:
@@ -41,7 +42,7 @@ def typed(df: DataFrame, kind: str) -> DataFrame:
             cols.append(F.col(name))
     if kind == "image":
         cols.append(F.col("upload_path").isNotNull().alias("has_file"))
-    return df.select(*cols, CORRUPT)
+    return df.select(*cols, CORRUPT, *more)
 
 
 def read_requests(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -53,6 +54,16 @@ def read_requests(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return typed(raw, kind)
 
 
+def stream_requests(spark: SparkSession, folder: str, kind: str, files_per_batch: int | None = None) -> DataFrame:
+    """The same requests as a stream of the files that arrive in ``folder``,
+    with ``file`` and ``file_time`` of each line."""
+    reader = (spark.readStream.schema(raw_schema(kind)).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT))
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    raw = reader.json(folder).withColumns({"file": F.col("_metadata.file_path"), "file_time": F.col("_metadata.file_modification_time")})
+    return typed(raw, kind, "file", "file_time")
+
+
 def valid(requests: DataFrame) -> DataFrame:
     return requests.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
