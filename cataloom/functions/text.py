@@ -211,6 +211,60 @@ def _pieces(body: str) -> list[str]:
     return [piece for piece in said.split("\0") if _units(piece)]
 
 
+#: Characters that the collation compares one by one, each with a weight of
+#: its own letter: printable ASCII, and Latin-1 letters that are an ASCII letter with a mark.
+_BASES = {c: (unicodedata.normalize("NFD", c)[0].lower()) for c in ["\t", "\n", *map(chr, range(0x20, 0x7F)), *map(chr, range(0xC0, 0x100))]
+          if c.isascii() or (len(unicodedata.normalize("NFD", c)) > 1 and unicodedata.normalize("NFD", c)[0].isascii())}
+# Letters without a decomposition that it holds equal to one of those.
+_STRUCK = {"ł": "l", "Ł": "l", "ø": "o", "Ø": "o", "đ": "d", "Đ": "d", "ħ": "h", "Ħ": "h"}
+
+
+def _class(chars) -> str:
+    """A Java character class; characters one by one are looked up in a table."""
+    return "[" + "".join(f"\\x{ord(c):02X}" for c in chars) + "]"
+
+
+_BASE_CLASS = _class(_BASES)
+
+
+def _base(unit: str) -> str:
+    """Which characters of _BASES a unit equals: those of this base. Empty if
+    it equals none, having a letter of a script other than Latin; ``?`` if that isn't known."""
+    plain = unicodedata.normalize("NFD", unit)
+    if any(unicodedata.category(c) in ("Lo", "Ll", "Lu") and c not in "\u115f\u1160\u3164\uffa0" and "LATIN" not in unicodedata.name(c, "LATIN")
+           and all(ord(x) >= 0x370 for x in unicodedata.normalize("NFKD", c)) for c in plain):
+        return ""
+    marked = all(0x300 <= ord(c) < 0x345 for c in plain[1:])
+    return (_BASES.get(plain[0]) or _STRUCK.get(plain[0]) or "?") if marked else "?"
+
+
+def _near(c: Column, size: int, gap: str) -> Column:
+    """The text without what is more than ``size`` characters away from any
+    character outside _BASES: there, ``size`` times ``gap`` stands."""
+    # the last part goes first as far as it can and then gives back ``size``
+    return F.regexp_replace(c, f"({_BASE_CLASS}{{{size}}}){_BASE_CLASS}{{{size},}}({_BASE_CLASS}{{{size}}})", "$1" + gap * size + "$2")
+
+
+def _collated(c: Column, cleaned: str) -> Column:
+    """``c LIKE %cleaned%`` under the collation. What takes long is asked of
+    the surroundings of characters outside _BASES only: a match that is not
+    there lies in a run of _BASES, where a pattern finds it. With ``%`` within
+    the term this holds if all of its letters are foreign to _BASES: in a run
+    of them only wildcards match, and after as many characters as the term has nothing changes."""
+    whole = (lambda t: _collated_like(t, cleaned)) if has_wildcard(cleaned) else (lambda t: F.contains(F.collate(t, COLLATION), F.lit(unescape(cleaned))))
+    units, free = _pattern(cleaned)
+    bases = [u and _base(u) for u in units]
+    inner = any(0 < place < len(units) for place in free)
+    gap = next((g for g in "|~^`" if g not in bases), None)
+    if not units or "?" in bases or gap is None or (inner and any(bases)):
+        return whole(c)
+    near = F.exists(F.array(_near(c, len(units) + 1, gap)), whole)
+    if "" in bases:
+        return near
+    each = [_BASE_CLASS if b is None else _class(x for x, own in _BASES.items() if own == b) for b in bases]
+    return c.rlike(f"{each[0]}(?<=(?:^|{_BASE_CLASS}){each[0]}){''.join(each[1:])}(?={_BASE_CLASS}|\\z)") | near
+
+
 def contains_term(col, term: str, collation: str = INSENSITIVE) -> Column:
     """``col LIKE '%term%'``.
 
@@ -235,10 +289,9 @@ def contains_term(col, term: str, collation: str = INSENSITIVE) -> Column:
     if collation != INSENSITIVE:
         raise ValueError(f"collation is {INSENSITIVE!r} or {BINARY!r}")
     plain_term = re.match(_PLAIN.replace("\\z", "\\Z"), cleaned) is not None
+    collated = _collated(c, cleaned)
     if has_wildcard(cleaned):
-        collated = _collated_like(c, cleaned)
         quick = F.lower(c).rlike(like_regex(f"%{cleaned.lower()}%"))
     else:
-        collated = F.contains(F.collate(c, COLLATION), F.lit(unescape(cleaned)))
         quick = F.contains(F.lower(c), F.lit(unescape(cleaned).lower()))
     return F.when(c.rlike(_PLAIN), quick).otherwise(collated) if plain_term else collated

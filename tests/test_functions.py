@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cataloom.functions.paths import basename, dirname, image_path, path_join, replace_first
-from cataloom.functions.text import blank, clean_escapes, contains_term, has_wildcard, like_regex
+from cataloom.functions.text import COLLATION, _BASES, _collated, _collated_like, _near, blank, clean_escapes, contains_term, has_wildcard, like_regex, unescape
 
 SEG = st.text(alphabet="abcXYZ._- é", min_size=1, max_size=6).filter(lambda s: s.strip(". ") != "")
 
@@ -173,3 +173,28 @@ def test_a_long_term_with_wildcards(spark):
     """More characters than one number has bits."""
     df = spark.createDataFrame([(1, "é" + "ab" * 100 + "ç"), (2, "é" + "ab" * 99 + "ç"), (3, None)], "id int, t string")
     assert [r.id for r in df.where(contains_term("t", "E" + "aB" * 50 + "%" + "_b" * 50 + "C")).collect()] == [1]
+
+
+def test_the_collation_is_asked_about_surroundings_only(spark):
+    """Long runs of characters that it compares one by one are left out, and
+    every term finds what it finds in the whole text."""
+    rnd = random.Random(17)
+    letters = ["a", "b", "S", "É", "ö", "ø", "ß", "æ", "한", "국", "щ", "е\u0308", "e\u0301", "語", "書", "\U00010428", " ", "|", "\r", "\u200d", "²", "\u0600"]
+    texts = []
+    for _ in range(600):
+        own = rnd.sample(letters, rnd.randint(2, 8)) + ["a"] * rnd.choice([0, 20])
+        texts.append("".join(rnd.choice(own) * rnd.choice([1, 1, 2, 12]) for _ in range(rnd.randint(0, 40))))
+    texts += ["plain text " * 2000 + "한국어" + " und naïve Sätze" * 2000, "plain text " * 2000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").cache()
+    c = F.col("t")
+    kept = [len(r[0]) for r in df.where("id >= 600").orderBy("id").select(_near(c, 4, "|")).collect()]
+    assert kept == [8 + 4 + 3 + 4 + 8, 12]
+    for term in ["한국", "한_국", "語%書", "語_%_書", "ё", "a_b", "_a", "aab", "ss", "E", "oe", "ø", "|a", "a|b", "__", "_한", "\U00010400_", "a%書"]:
+        whole = _collated_like(c, term) if has_wildcard(term) else F.contains(F.collate(c, COLLATION), F.lit(unescape(term)))
+        assert df.where(~whole.eqNullSafe(_collated(c, term))).count() == 0, term
+
+
+def test_bases_are_what_the_collation_holds_equal(spark):
+    one = spark.createDataFrame(list(_BASES.items()), "c string, base string")
+    two = one.select(F.col("c").alias("d"), F.col("base").alias("other"))
+    assert one.crossJoin(two).where((F.collate("c", COLLATION) == F.collate("d", COLLATION)) != (F.col("base") == F.col("other"))).count() == 0
