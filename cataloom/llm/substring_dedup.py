@@ -149,27 +149,30 @@ def _told(batches):
                                                          ("kept_sha256", pa.string()), ("flags", pa.binary())]))
 
 
-_SUSPECT = pa.schema([("part", pa.int64()), ("ids", pa.list_(pa.int64())), ("flags", pa.list_(pa.binary())), ("texts", pa.list_(pa.string()))])
+_SUSPECT = pa.schema([("part", pa.int64()), ("ids", pa.list_(pa.int64())), ("flags", pa.list_(pa.binary())),
+                     ("ends", pa.list_(pa.int64())), ("texts", pa.binary())])
 
 
 def _gather(batches):
-    """Documents with shared representatives, in parts."""
+    """Documents with shared representatives, in parts. A part's texts are
+    compressed together: they are written and shuffled once more each."""
     seq = TaskContext.get().partitionId() << 32
-    for rows, _, _ in chunks(batches):
-        yield pa.RecordBatch.from_pydict({"part": [seq], "ids": [rows.column(0)], "flags": [rows.column(1)], "texts": [rows.column(2)]}, _SUSPECT)
+    for rows, data, offsets in chunks(batches):
+        yield pa.RecordBatch.from_pydict({"part": [seq], "ids": [rows.column(0)], "flags": [rows.column(1)], "ends": [offsets],
+                                          "texts": [pa.compress(data.tobytes(), codec="zstd", asbytes=True)]}, _SUSPECT)
         seq += 1
 
 
 def _open_windows(row: dict) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
     """(words, starts, owners, names) of a part's windows under shared
     representatives."""
-    raw = [t.encode() for t in row["texts"]]
-    w = Words(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])]))
+    offsets = np.array(row["ends"], np.int64)
+    w = Words(np.frombuffer(pa.decompress(row["texts"], int(offsets[-1]), codec="zstd"), np.uint8), offsets)
     starts, keys = representatives(w)
     at = _stretches(w, starts, keys)
     owner = w.owner()[starts]
     flags = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8))[:n] for f, n in
-                            zip(row["flags"], np.bincount(owner[at], minlength=len(raw)))]).astype(bool)
+                            zip(row["flags"], np.bincount(owner[at], minlength=len(row["ids"])))]).astype(bool)
     shared = np.repeat(flags, np.diff(at, append=len(starts)))
     return w, starts[shared], owner[shared], windows(w.name, WINDOW)[starts[shared]]
 
@@ -240,7 +243,7 @@ def substring_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     clean = told.where("flags is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept_text"))
     shared = stored(told.where("flags is not null").select("doc_id", "tag", "flags").dropDuplicates(["doc_id", "tag"]))
     suspects = stored(tagged.join(shared, ["doc_id", "tag"]).select("doc_id", "flags", "text")
-                      .mapInArrow(_gather, "part long, ids array<long>, flags array<binary>, texts array<string>"))
+                      .mapInArrow(_gather, "part long, ids array<long>, flags array<binary>, ends array<long>, texts binary"))
     named = suspects.mapInArrow(_name, "part long, keys binary, firsts binary")
     answers = ask(named, 64, total // 8, earlier=True)
     cut = (suspects.join(answers, "part")

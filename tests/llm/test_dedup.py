@@ -8,7 +8,7 @@ import support
 from cataloom.llm.exact_dedup import exact_dedup
 from cataloom.llm.line_windows import line_dedup
 from cataloom.llm.near_dedup import near_dedup
-from cataloom.llm.substring_dedup import substring_dedup
+from cataloom.llm.substring_dedup import _SUSPECT, _gather, _open_windows, substring_dedup
 
 EXACT = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
 CUT = ["doc_id", "n_words", "n_removed", "kept_sha256"]
@@ -84,3 +84,16 @@ def test_blocks_and_skipped_lists(spark, monkeypatch):
         rows.append((i, " ".join(own)))
     monkeypatch.setattr(module, "BLOCK", 7)
     support.same(near_dedup(support.frame(spark, rows)), near(rows), NEAR)
+
+
+def test_suspects_travel_compressed(spark):
+    """Parts of documents with shared windows take less room than their texts, which come back unchanged."""
+    text = " ".join(f"wörd{i % 97} other{i % 89}" for i in range(3000))
+    rows = [(i, b"\xff" * 2000, f"{i} {text}") for i in range(40)] + [(40, b"\xff", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, flags binary, text string").coalesce(1)
+    parts = [r.asDict() for r in docs.mapInArrow(_gather, "part long, ids array<long>, flags array<binary>, ends array<long>, texts binary").collect()]
+    assert list(parts[0]) == _SUSPECT.names
+    assert sum(len(p["texts"]) for p in parts) * 4 < sum(len(t.encode()) for *_, t in rows)
+    for part in parts:
+        w = _open_windows(part)[0]
+        assert [bytes(w.data[a:b]).decode() for a, b in zip(part["ends"], part["ends"][1:])] == [rows[i][2] for i in part["ids"]]
