@@ -17,7 +17,6 @@ from __future__ import annotations
 import heapq
 import itertools
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -87,8 +86,7 @@ class Lattice:
         joins = re.escape("".join(sorted({c for p in self.id_of if len(p) > 1 for c in p} - {" "})))
         self.cut = re.compile(f" *[{joins}]+| +|[^{joins} ]").findall
         names = list(self.id_of)
-        keys = np.array([self._key(p) for p in names], U)
-        self._index(keys, np.array([self.id_of[p] for p in names]))
+        self._index(self._keys(names), np.array([self.id_of[p] for p in names]))
         self.known: dict[str, int] = {}
         self._forget()
 
@@ -123,9 +121,11 @@ class Lattice:
         self.several: dict[tuple[str, int], list] = {}
 
     @staticmethod
-    def _key(piece: str) -> np.uint64:
-        codes = mix(np.array(list(map(ord, piece)), U))
-        return mix((codes * _CUP[:len(codes)]).sum(dtype=U, keepdims=True) + U(len(codes)))[0]
+    def _keys(pieces: list[str]) -> np.ndarray:
+        lengths = np.array(list(map(len, pieces)))
+        starts = np.cumsum(lengths) - lengths
+        codes = mix(np.frombuffer("".join(pieces).encode("utf-32-le"), "<u4").astype(U))
+        return mix(np.add.reduceat(codes * _CUP[np.arange(len(codes)) - np.repeat(starts, lengths)], starts) + lengths.astype(U))
 
     def edges(self, unit: str, end: int) -> list[tuple[int, int, tuple[int, ...]]]:
         """(start, score, ids) of the edges that end at ``end``."""
@@ -299,16 +299,11 @@ class Lattice:
         return text[1:] if text.startswith(" ") else text
 
 
-@lru_cache(maxsize=1)  # a Python worker outlives its query: the lattice of an earlier one goes
-def _worker(pieces) -> Lattice:
-    return Lattice(pieces.value)
-
-
 def _encoder(pieces, n: int, with_ids: int):
     import hashlib
 
     def encode(batches):
-        lattice = _worker(pieces)
+        lattice = Lattice(pieces.value)  # goes with its task: an idle Python worker keeps nothing of it
         for rows, _, _ in chunks(batches):
             out = {k: [] for k in _SCHEMA.names}
             units_of = [lattice.units_of(t) for t in rows.column(1).to_pylist()]
@@ -360,7 +355,7 @@ def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
     pieces = rows.sparkSession.sparkContext.broadcast(vocabulary(model))
 
     def back(batches):
-        lattice = _worker(pieces)
+        lattice = Lattice(pieces.value)
         for batch in batches:
             said = [None if ids is None else lattice.decode(np.array(ids, np.int64)) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.string())], ["doc_id", "text"])

@@ -1,13 +1,15 @@
 """N-best segmentation against all paths, the library and round trips."""
 
+import gc
 import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import support
-from cataloom.llm.sentencepiece_nbest import MODEL, Lattice, decode, encode_nbest, vocabulary
+from cataloom.llm.sentencepiece_nbest import MODEL, Lattice, _encoder, decode, encode_nbest, vocabulary
 
 
 @pytest.fixture(scope="module")
@@ -105,3 +107,23 @@ def test_awkward_rows(spark, lattice):
 
 def test_empty_table(spark):
     assert encode_nbest(support.frame(spark, [])).collect() == []
+
+
+def test_a_worker_keeps_nothing_of_a_finished_task(lattice):
+    """Idle Python workers stay beside the next stages' ones: what a task has learnt goes with it."""
+    class Shared:
+        value = vocabulary()
+
+    alive = lambda: [o for o in gc.get_objects() if isinstance(o, Lattice) and o is not lattice]
+    rows = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["the cat", "in the end."]})
+    before = len(alive())
+    assert sum(b.num_rows for b in _encoder(Shared, 2, 1)([rows])) == 2
+    gc.collect()
+    assert len(alive()) == before
+
+
+def test_names_of_pieces(lattice):
+    """Every piece is found by its name, and no other text is."""
+    pieces = list(lattice.id_of)
+    assert lattice._look_up(lattice._keys(pieces)).tolist() == list(lattice.id_of.values())
+    assert lattice._look_up(lattice._keys(["qzxqzx", "\U00010428", "▁"])).tolist() == [lattice.id_of.get(p, -1) for p in ("qzxqzx", "\U00010428", "▁")]
